@@ -99,6 +99,19 @@ def groups(column: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each span; spans are in order and do not overlap."""
+    out = np.empty(len(start), U64)
+    i = 0
+    while i < len(out):  # slices that end between spans
+        j = max(i + 1, int(np.searchsorted(end, start[i] + SLICE, "right")))
+        s = start[i]
+        pre = prefix(_TABLE[data[s : end[j - 1]]])
+        out[i:j] = spans_hash(pre, start[i:j] - s, end[i:j] - s)
+        i = j
+    return out
+
+
 class Words:
     """The words of some texts: where each starts and ends, its hash, and the first of each text."""
 
@@ -118,17 +131,7 @@ class Words:
         self.start = np.flatnonzero(inside & ~before[:-1])
         self.end = np.flatnonzero(inside & ~after[1:]) + 1
         self.first = np.searchsorted(self.start, at)
-        self.hash = np.zeros(0, U64)
-        if hashes:
-            out = np.empty(len(self.start), U64)
-            i = 0
-            while i < len(out):  # slices that end between words
-                j = max(i + 1, int(np.searchsorted(self.end, self.start[i] + SLICE, "right")))
-                s = self.start[i]
-                pre = prefix(_TABLE[data[s : self.end[j - 1]]])
-                out[i:j] = spans_hash(pre, self.start[i:j] - s, self.end[i:j] - s)
-                i = j
-            self.hash = out
+        self.hash = hash_spans(data, self.start, self.end) if hashes else np.zeros(0, U64)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
