@@ -18,21 +18,20 @@ def components(edges: DataFrame) -> DataFrame:
     a minimum, combined before the shuffle.  Each round is stored.
     """
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    if edges.isEmpty():
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    while True:
+    while not _stars(edges):
         # large step: larger neighbours (and the node) go to the smallest of node and neighbours
         both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = stored(large, "large")
+        large = edges.select(F.col("b").alias("a"), F.col("a").alias("v")).join(least, "a").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         # small step: smaller neighbours and the node go to the smallest
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        small = stored(small, "edges")
-        # done when every node has one smaller neighbour, and that is a root
-        stars = small.groupBy("a").agg(F.count("*").alias("n"))
-        open_ = stars.where("n > 1").limit(1).unionAll(small.select(F.col("b").alias("a"), F.lit(0).alias("n")).join(stars.select("a"), "a", "left_semi").limit(1))
-        edges = small
-        if open_.isEmpty():
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
+        edges = stored(small.where("a <> b").distinct(), "edges")
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Every node has one smaller neighbour, and that has none."""
+    roles = edges.groupBy(F.col("a").alias("x")).agg(F.count("*").alias("up"), F.lit(0).alias("down")).unionAll(edges.groupBy(F.col("b").alias("x")).agg(F.lit(0).cast("long").alias("up"), F.lit(1).alias("down")))
+    open_ = roles.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)")
+    return open_.isEmpty()

@@ -36,7 +36,7 @@ from .kernels import U64, WHITE, Words, covered, hash_spans, mix, rolling, text_
 from .runtime import stored
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
-SHARE, TAIL, LEAST, LEVELS = 0.75, 1 - 1e-9, 300, 32
+SHARE, TAIL, LEAST, LEVELS = 0.75, 1 - 1e-7, 300, 32
 #: Of each transformed statistic: lattice step and least standard deviation.
 STEPS = np.array([0.4, 0.1, 0.5, 0.5, 0.5, 0.4, 0.4])
 FLOORS = np.array([0.6, 0.15, 0.5, 0.5, 0.5, 0.4, 0.4])

@@ -181,8 +181,15 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return files.select("content").mapInArrow(run, schema).withColumn("record_id", F.xxhash64("warc_id"))
 
 
+SECTION = "^([A-Za-z]+://[^/?#]*/[^/?#]*).*$"
+
+
 def capture_log(pages: DataFrame) -> DataFrame:
-    """The pages table as a capture log: every third page is a revisit; validators and headers follow from the row."""
+    """The pages table as a log of captures of each page's section (host and first folder of its URL).
+
+    Every third page is a revisit; validators and headers follow from the row.
+    """
+    pages = pages.withColumn("url", F.regexp_replace("url", SECTION, "$1"))
     canon = canonical_url(F.col("url"))
     revisit = F.col("page_id") % 3 == 2
     at = F.col("page_id") * 60
@@ -198,14 +205,15 @@ def capture_log(pages: DataFrame) -> DataFrame:
 
 ORACLE = """
 with c as (
-  select page_id, url, page_id * 60 as at, page_id % 3 = 2 as revisit, html, regexp_replace(trim(url), '#.*$', '') as u from pages
+  select page_id, page_id * 60 as ts, page_id % 3 = 2 as revisit, html,
+    regexp_replace(trim(regexp_replace(url, '^([A-Za-z]+://[^/?#]*/[^/?#]*).*$', '\\1')), '#.*$', '') as u from pages
 ), h as (
   select *, regexp_replace(regexp_replace(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?@]*@)?([^/?]*)', 1)), ':(80|443)$', ''), '^www[0-9]*[.]', '') as host,
     regexp_replace(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1), '/+$', '') as path,
     array_to_string(list_sort(list_filter(string_split(regexp_extract(u, '[?](.*)$', 1), '&'), lambda p: p <> '' and not starts_with(p, 'utm_'))), '&') as query
   from c
 ), r as (
-  select page_id, url, at, revisit, case when host = '' then u else host || path || case when query <> '' then '?' || query else '' end end as canon, md5(coalesce(html, '')) as digest, length(html) as size from h
+  select page_id, ts, revisit, case when host = '' then u else host || path || case when query <> '' then '?' || query else '' end end as canon, md5(coalesce(html, '')) as digest, length(html) as size from h
 ), v as (
   select *, case when page_id % 7 <> 0 then '"' || substr(md5(coalesce(canon, '') || '-' || cast((page_id // 400) % 2 as varchar)), 1, 8) || '"' end as etag,
     case when page_id % 5 <> 0 then 'day ' || cast(page_id // 1000 as varchar) end as modified from r
@@ -220,8 +228,8 @@ with c as (
     when (validator = 'etag' and etag = b_etag) or (validator = 'last_modified' and modified = b_modified) or (validator = 'digest' and digest = b_digest) then 'resolved' else 'validator_mismatch' end as status from s
 )
 select page_id as record_id, canon as canonical_url, status, case status when 'response' then page_id when 'resolved' then b_id end as base_id, validator,
-  case status when 'resolved' then 'cache-control: max-age=' || (page_id % 5) || chr(10) || 'content-length: ' || b_size || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || at || chr(10) || 'x-cache: hit'
-  when 'response' then 'cache-control: max-age=' || (page_id % 5) || chr(10) || 'content-length: ' || size || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || at
-  else 'cache-control: max-age=' || (page_id % 5) || chr(10) || 'connection: close' || chr(10) || 'content-length: 0' || chr(10) || 'date: ' || at || chr(10) || 'x-cache: hit' end as headers
+  case status when 'resolved' then 'cache-control: max-age=' || (page_id % 5) || chr(10) || 'content-length: ' || b_size || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || ts || chr(10) || 'x-cache: hit'
+  when 'response' then 'cache-control: max-age=' || (page_id % 5) || chr(10) || 'content-length: ' || size || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || ts
+  else 'cache-control: max-age=' || (page_id % 5) || chr(10) || 'connection: close' || chr(10) || 'content-length: 0' || chr(10) || 'date: ' || ts || chr(10) || 'x-cache: hit' end as headers
 from t
 """
