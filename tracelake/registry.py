@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .adapters import canonical, with_tables
-from .operators import activity, analytics, cost, health, merge, reads, skills
+from .functions import scrub, text
+from .operators import activity, analytics, cost, fold, health, merge, reads, search, skills
+from .plans import export
+from .sources import records
+from .streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -168,3 +172,61 @@ register("q_skill_compliance", "skills", f"""select day, platform, beacon, case
 )
 register("q_skill_merge", "skills", """select skill_id as dedupe_key, arg_min(origin, k) as origin, arg_min(id, k) as id, coalesce(arg_max(outcome, t) filter (where outcome in ('ok', 'failed')), 'started') as outcome, any_value(skill) as skill from
  (select *, (case when origin = 'derived' then 'a' else 'b' end) || cast(occurred_at as varchar) || id as k, cast(occurred_at as varchar) || id as t from skills) group by 1""")(lambda r: skills.merged(r.withColumn("dedupe_key", F.col("skill_id"))))
+
+# scalar functions
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+register("q_message_kind", "messages", rf"select event_id, case when starts_with(t, 'This session is being continued') then 'compact_summary' when starts_with(t, '[Request interrupted') then 'interrupted' when starts_with(t, '<bash-stdout>') then 'command_output' when starts_with(t, '<ide_selection>') then 'ide_context' when starts_with(t, '<heartbeat>') then 'harness_injected' when regexp_matches(t, '^/[A-Za-z0-9_:.-]+([ \t\r\n]|$)') then 'slash_command' else 'human' end as kind from (select event_id, {_STRIP.format('case seq % 8 when 0 then ' + repr('[Request interrupted') + ' when 1 then ' + repr('/run ') + ' || text when 2 then ' + repr('<bash-stdout>') + ' when 3 then ' + repr('  <ide_selection>') + ' || text when 4 then ' + repr('<heartbeat>') + ' else text end')} as t from messages)")(
+    lambda m: m.select("event_id", text.user_kind(F.expr("case seq % 8 when 0 then '[Request interrupted' when 1 then concat('/run ', text) when 2 then '<bash-stdout>' when 3 then concat('  <ide_selection>', text) when 4 then '<heartbeat>' else text end")).alias("kind"))
+)
+register("q_title", "messages", rf"select event_id, left({_STRIP.format('split_part(' + _STRIP.format('text') + ', chr(10), 1)')}, 200) as title from messages")(lambda m: m.select("event_id", text.title(F.col("text")).alias("title")))
+register("q_text_hash", "messages", "select event_id, left(sha256(text), 8) as hash from messages")(lambda m: m.select("event_id", text.text_hash(F.col("text")).alias("hash")))
+register("q_canonical_thread", "events_c", "select id, case when id % 3 = 0 then '' when id % 3 = 1 then left(sha256(cast(id as varchar)), 16) else 'worker' end as thread from events_c")(
+    lambda e: e.select("id", text.canonical_thread(F.expr("case id % 3 when 1 then concat('agent-', left(sha2(cast(id as string), 256), 16)) when 2 then 'worker' end")).alias("thread"))
+)
+register("q_skill_name", "skills", "select id, plugin, skill from skills")(lambda r: r.select("id", *[c.alias(n) for c, n in zip(text.skill_name(F.upper(F.concat("plugin", F.lit(":"), "skill"))), ("plugin", "skill"), strict=True)]))
+register("q_dedupe_key", "skills", "select id, case when skill_id % 4 = 0 then 'tu:' || id when skill_id % 4 = 1 then 'inv:' || skill_id when skill_id % 4 = 2 then 'pr:' || session_ref || ':' || actor || ':' || skill else 'ev:' || id end as key from skills")(
+    lambda r: r.select("id", text.dedupe_key(F.expr("if(skill_id % 4 = 0, id, null)"), F.expr("if(skill_id % 4 = 1, cast(skill_id as string), null)"), F.expr("if(skill_id % 4 = 2, cast(session_ref as string), null)"), F.expr("cast(actor as string)"), F.col("skill"), F.col("id")).alias("key"))
+)
+_LINKED = "'see (https://github.com/o' || user_id || '/r' || (id % 5) || case id % 4 when 0 then '/pull/' || id when 1 then '/issues/' || id when 2 then '/commit/' || left(sha256(cast(id as varchar)), 40) else '' end || '), ok?'"
+register("q_links", "events_c", f"select id, trim(regexp_extract({_LINKED}, 'https?://[^ )]+')) as url, case id % 4 when 0 then 'pr' when 1 then 'issue' when 2 then 'commit' else 'repo' end as kind, 'o' || user_id || '/r' || (id % 5) || case id % 4 when 0 then '#' || id when 1 then '#' || id when 2 then '@' || left(sha256(cast(id as varchar)), 7) else '' end as ref from events_c")(
+    lambda e: e.select("id", F.explode(text.links(F.expr("concat('see (https://github.com/o', user_id, '/r', id % 5, case id % 4 when 0 then concat('/pull/', id) when 1 then concat('/issues/', id) when 2 then concat('/commit/', left(sha2(cast(id as string), 256), 40)) else '' end, '), ok?')"))).alias("url")).select("id", "url", text.link_kind(F.col("url")).alias("k")).select("id", "url", "k.kind", "k.ref")
+)
+register("q_scrub_shapes", "events_c", "select id, 'key [REDACTED:aws_access_key_id] and [REDACTED:github_token] by ' || email as text, 1 as keys from events_c")(
+    lambda e: e.select("id", F.expr("concat('key AKIA', upper(left(sha2(cast(id as string), 256), 16)), ' and ghp_', left(sha2(email, 256), 36), ' by ', email)").alias("t"), "email").select("id", scrub.scrub_shapes(F.col("t")).alias("text"), scrub.shape_count(F.col("t"), "aws_access_key_id").alias("keys"))
+)
+register("q_scrub", "events_c", "select id, 'postgres://app:[REDACTED:db_password]@db token: [REDACTED:generic_secret]' as text, 2 as found from events_c")(
+    lambda e: scrub.scrubbed(e.select("id", F.expr("concat('postgres://app:pw', id, '@db token: ', left(sha2(cast(id as string), 256), 12), 'QWzx90Lk')").alias("text")), "text").select("id", "text", F.expr("aggregate(map_values(redactions), 0, (a, x) -> a + x)").alias("found"))
+)
+
+# turns, exports, search, sources
+register("q_turn_fold", "events_c", None)(
+    lambda e: fold.turns(
+        e.select(
+            "session_id", F.col("id").cast("string").alias("id"), "seq", "type", "origin", F.expr("if(id % 17 = 0, concat('agent-', left(sha2(session_id, 256), 16)), null)").alias("agent_id"), "occurred_at",
+            F.expr("if(type = 'user_prompt' and id % 2 = 0, concat('p', seq), null)").alias("prompt_id"), F.expr("if(type = 'assistant_turn', concat('m', id div 2), null)").alias("message_id"),
+            F.lit(None).cast("string").alias("tool_use_id"), F.expr("if(type = 'user_prompt', 'human', null)").alias("kind"), F.expr("id % 5 <> 0").alias("has_text"), F.expr("id % 3 <> 0").alias("has_usage"), F.expr("left(sha2(cast(id div 2 as string), 256), 8)").alias("text_hash"),
+        )
+    )
+)
+register("q_search", "messages", """select count(*) as hits from messages where list_contains(list_transform(regexp_extract_all(lower(text), '([\\p{L}\\p{N}_]+)', 1), lambda w: case when length(regexp_replace(w, '(ingly|edly|ing|edly|ed|ly|ies|es|s)$', '')) >= 3 then regexp_replace(w, '(ingly|edly|ing|edly|ed|ly|ies|es|s)$', '') else w end), 'eron')
+ and not list_contains(list_transform(regexp_extract_all(lower(text), '([\\p{L}\\p{N}_]+)', 1), lambda w: case when length(regexp_replace(w, '(ingly|edly|ing|edly|ed|ly|ies|es|s)$', '')) >= 3 then regexp_replace(w, '(ingly|edly|ing|edly|ed|ly|ies|es|s)$', '') else w end), 'handly')""")(
+    lambda m: m.withColumn("tokens", search.tokens(F.col("text"))).where(search.matches(search.Query((("eron",),), ("handly",), ()))).agg(F.count("*").alias("hits"))
+)
+register("q_search_ranked", "messages", None)(lambda m: search.search(m.withColumn("occurred_at", F.col("seq")).withColumn("kind", F.when(F.col("role") == "user", "human").otherwise("assistant_text")).withColumn("final", F.lit(False)), "the or and or er"))
+register("q_retention", "events_c sessions", "select e.id, case when e.occurred_at < timestamp '2024-01-20 00:00:00' then '{\"expired\":true}' else 'body' || e.id end as body from events_c e where exists (select 1 from sessions s where s.session_id = e.session_id and s.ended_at >= timestamp '2024-01-10 00:00:00')")(
+    lambda e, s: export.retained(e.withColumn("body", F.concat(F.lit("body"), "id")), "2024-01-20 00:00:00", "2024-01-10 00:00:00", s).select("id", "body")
+)
+register("q_anonymise", "skills", "select id, case when session_ref % 3 <> 0 then actor_email end as actor_email, case when session_ref % 3 <> 0 then repo end as repo, skill, occurred_at from skills")(lambda r: export.anonymised(r, r.where("session_ref % 3 = 0").select("session_ref")))
+register("q_bundle", "sessions events_c", "select session_id, 0 as part, session_id as k1, n_events as k2 from sessions union all select session_id, 2, cast(id as varchar), seq from events_c where type not in ('compaction', 'system_reminder')")(
+    lambda s, e: export.bundle(s, s.select("session_id", F.lit(0).alias("turn_index")).where("false"), e.withColumn("occurred_at", F.col("id"))).select("session_id", "part", "k1", "k2")
+)
+register("q_vendor_sessions", "messages", "select session_id, count(*) filter (where role = 'user') as prompts, count(*) filter (where role = 'assistant') as answers, min_by(text, seq) filter (where role = 'user') as first_prompt from messages group by 1")(
+    lambda m: records.vendor_sessions(m.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("role").alias("type"), F.col("text").alias("message"), "event_id"))).alias("messages")))
+)
+register("q_vendor_messages", "messages", "select session_id, cast(row_number() over (partition by session_id order by seq) - 1 as bigint) as seq, event_id, role as type, text as message from messages")(
+    lambda m: records.vendor_messages(m.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("role").alias("type"), F.col("text").alias("message"), "event_id"))).alias("messages")))
+)
+register("q_windowed_counts", "events_c", "select date_trunc('hour', occurred_at) as since, type, count(*) as n from events_c group by 1, 2")(lambda e: ingest.windowed_counts(e).withColumn("since", F.col("since").cast("timestamp_ntz")))
+register("q_lineage_owner", "sessions", """select child_session, min(owner_session) as parent_session from (select c.session_id as child_session, o.session_id as owner_session from sessions c join sessions o on o.email = c.email and o.tokens % 50 = c.tokens % 50 and o.started_at <= c.started_at and o.session_id <> c.session_id) group by 1 having count(distinct owner_session) = 1""")(
+    lambda s: activity.lineage_owner(s.select(F.col("session_id").alias("child_session"), F.col("email").alias("child_email"), F.col("started_at").alias("child_started"), (F.col("tokens") % 50).alias("record_uuid")), s.select(F.col("session_id").alias("owner_session"), F.col("email").alias("owner_email"), F.col("started_at").alias("owner_started"), (F.col("tokens") % 50).alias("record_uuid")))
+)
