@@ -129,7 +129,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, spans: bool = False, n: int =
     """
     names = docs.columns
     key = [F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_text")]
-    found = _verified(docs, benchmark, n, set_bound, [*key, "text"], ["_doc", "_text"]).where("size(hit) > 0").select("_doc", "_text", F.col("hit").alias("_hit"))
+    found = _verified(docs, benchmark, n, set_bound, key, ["_doc", "_text"]).where("size(hit) > 0").select("_doc", "_text", F.col("hit").alias("_hit"))
     same = [F.col("doc_id").eqNullSafe(F.col("_doc")), F.xxhash64("text") == F.col("_text")]
     if not spans:
         return docs.join(found, same, "left_anti")

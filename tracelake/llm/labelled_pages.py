@@ -74,6 +74,9 @@ _PIECE = [("<p>", "</p>")] * 6 + [
     ("<pre><code>", "</code></pre>"),
     ("<figure><figcaption>", "</figcaption></figure>"),
     ("<div><p>", "</p></div>"),
+    ("", "<br>"),
+    ("", "<br><br>"),
+    ("<div>", "</div>"),
     ("<p><br>", "<br></p>"),
     ("<table><tr><td>", "</td></tr></table>"),
 ]

@@ -127,7 +127,9 @@ def scored(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS) -> DataFrame
     """doc_id, n_words, posterior, score and kept (score of at least one half) of every row."""
     labelled, _ = weak_labels(docs)
     docs = docs.select("doc_id", "text")
-    chosen = docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("h"), "doc_id", "text").orderBy("h", "doc_id").limit(sample)
+    hashed = docs.where("text is not null").withColumn("h", F.xxhash64("doc_id", "text"))
+    last = hashed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).collect()[0][0]  # only hashes are sorted, then texts up to the last one are taken
+    chosen = hashed.where(F.col("h") <= (last if last is not None else -(2**63))).dropDuplicates(["h"])
 
     def features(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows, 4 << 20):
