@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .adapters import canonical, with_tables
 from .functions import scrub, text
-from .operators import activity, analytics, cost, fold, health, merge, reads, search, skills
+from .operators import activity, analytics, catalog, cost, fleet, fold, health, merge, mirror, pairing, reads, search, skills
 from .plans import export
 from .sources import records
 from .streaming import ingest
@@ -230,3 +230,66 @@ register("q_windowed_counts", "events_c", "select date_trunc('hour', occurred_at
 register("q_lineage_owner", "sessions", """select child_session, min(owner_session) as parent_session from (select c.session_id as child_session, o.session_id as owner_session from sessions c join sessions o on o.email = c.email and o.tokens % 50 = c.tokens % 50 and o.started_at <= c.started_at and o.session_id <> c.session_id) group by 1 having count(distinct owner_session) = 1""")(
     lambda s: activity.lineage_owner(s.select(F.col("session_id").alias("child_session"), F.col("email").alias("child_email"), F.col("started_at").alias("child_started"), (F.col("tokens") % 50).alias("record_uuid")), s.select(F.col("session_id").alias("owner_session"), F.col("email").alias("owner_email"), F.col("started_at").alias("owner_started"), (F.col("tokens") % 50).alias("record_uuid")))
 )
+
+# mirror, catalog, fleet, pairing
+_POSTED = "select session_id, email, ended_at as posted_at from sessions where user_id % 3 = 0 and tokens % 4 = 0"
+_DUE = f"""select session_id from sessions s where (case when head_state = 'complete' then date_sub('minute', ended_at, timestamp '2024-01-28 00:00:00') >= 30 else date_sub('minute', ended_at, timestamp '2024-01-28 00:00:00') >= 2880 end)
+ and (user_turns >= 2 or tool_calls >= 10) and exists (select 1 from principals p where not p.disabled and p.email = s.email) and not exists (select 1 from ({_POSTED}) o where o.session_id = s.session_id)"""
+
+
+def _posted(s: DataFrame) -> DataFrame:
+    return s.where("user_id % 3 = 0 and tokens % 4 = 0").select("session_id", "email", F.col("ended_at").alias("posted_at"))
+
+
+def _due(s: DataFrame, p: DataFrame) -> DataFrame:
+    return mirror.eligible(s, p.withColumn("wanted", ~F.col("disabled")), _posted(s), "2024-01-28 00:00:00", 30, 2880)
+
+
+register("q_mirror_eligible", "sessions principals", _DUE)(lambda s, p: _due(s, p).select("session_id"))
+register("q_mirror_daily_cap", "sessions principals", f"select session_id from (select s.session_id, s.email, row_number() over (partition by s.email order by s.ended_at, s.session_id) + (select count(*) from ({_POSTED}) o where o.email = s.email and o.posted_at > timestamp '2024-01-27 00:00:00') as n from sessions s where s.session_id in ({_DUE})) where n <= 3")(
+    lambda s, p: mirror.under_daily_cap(_due(s, p), _posted(s), "2024-01-28 00:00:00", 3).select("session_id")
+)
+register("q_live_turns", "messages", "select max_by(event_id, seq) as final_event_id from (select *, sum(case when role = 'user' then 1 else 0 end) over (partition by session_id order by seq) as t from messages) where role = 'assistant' group by session_id, t having max(seq) % 4 <> 1")(
+    lambda m: mirror.live_turns(activity.interval_turns(m), m.where("seq % 4 = 1").select("event_id")).select("final_event_id")
+)
+register("q_live_milestones", "events_c", "select distinct session_id, left(sha256('https://github.com/o/r/pull/' || (id % 50)), 16) as key from events_c where id % 4 = 0 and id % 50 <> 8")(
+    lambda e: mirror.live_milestones(e.select("session_id", F.expr("if(id % 4 = 0, 'pr', 'repo')").alias("kind"), F.expr("concat('https://github.com/o/r/pull/', id % 50)").alias("url")), e.sparkSession.range(1).select(mirror.url_key(F.lit("https://github.com/o/r/pull/8")).alias("key"))).select("session_id", "key")
+)
+register("q_catalog_publish", "catalog", "select plugin, skill, case when entry_id % 5 = 0 then 'd' || source_repo when entry_id % 4 = 0 then 'e' || source_repo else 'd' || source_repo end as digest, entry_id % 5 <> 0 as present, case when entry_id % 7 = 0 and entry_id % 5 <> 0 then 'added' when entry_id % 5 = 0 then case when entry_id % 3 = 0 then 'absent' else 'retired' end when entry_id % 3 = 0 then 'returned' when entry_id % 4 = 0 then 'changed' else 'same' end as change from catalog where not (entry_id % 7 = 0 and entry_id % 5 = 0)")(
+    lambda c: catalog.published(c.where("entry_id % 7 <> 0").select("plugin", "skill", F.expr("concat('d', source_repo)").alias("digest"), F.expr("entry_id % 3 <> 0").alias("present")), c.where("entry_id % 5 <> 0").select("plugin", "skill", F.expr("concat(if(entry_id % 4 = 0, 'e', 'd'), source_repo)").alias("digest")))
+)
+register("q_catalog_shrink", "catalog", "select count(*) as present, count(*) filter (where entry_id % 5 = 0) as retiring from catalog where entry_id % 3 <> 0")(lambda c: catalog.shrink(c.withColumn("present", F.expr("entry_id % 3 <> 0")), c.where("entry_id % 5 <> 0")))
+register("q_alias_conflicts", "catalog", "select alias, count(distinct entry_id) as entries from (select entry_id, 'p:s' || (entry_id % 90) as alias from catalog union all select entry_id, 's' || (entry_id % 90) from catalog) group by 1 having count(distinct entry_id) > 1")(lambda c: catalog.alias_conflicts(c.select("entry_id", F.lit("p").alias("plugin"), F.expr("concat('s', entry_id % 90)").alias("skill"))))
+register("q_reconciler_mismatch", "skills", "select 'r' || d.n as run_id, 100 as counted, (select count(*) from skills s where s.platform = 'web' and cast(s.occurred_at as date) between d.a and d.b) as stored from (values (1, date '1997-01-01', date '1997-01-31'), (2, date '1800-01-01', date '1800-01-02')) as d(n, a, b)")(
+    lambda r: catalog.mismatched_runs(r.sparkSession.sql("select concat('r', n) as run_id, 'web' as platform, a as first_day, b as last_day, 100 as counted from values (1, date '1997-01-01', date '1997-01-31'), (2, date '1800-01-01', date '1800-01-02') as d(n, a, b)"), r)
+)
+register("q_fleet_coverage", "devices reports", "select d.email, d.devices, coalesce(r.recent, 0) as recent, r.last_at, r.last_worst from (select email, count(distinct device_id) as devices from devices where not revoked group by 1) d left join (select email, count(*) filter (where emitted_at >= timestamp '2024-01-29 00:00:00') as recent, max(emitted_at) as last_at, max_by(worst, epoch_us(emitted_at) * 10 + id % 10) as last_worst from reports group by 1) r on r.email = d.email")(
+    lambda d, r: fleet.coverage(d, r, "2024-01-29 00:00:00")
+)
+_MACHINES = """select coalesce(d.email, r.email) as email, coalesce(d.device_id, r.device_id) as device_id, d.email is not null as enrolled, r.emitted_at as last_at, coalesce(r.worst, 'never') as level from (select distinct email, device_id from devices where not revoked) d
+ full join (select * from reports where device_id is not null qualify row_number() over (partition by email, device_id order by emitted_at desc, id desc) = 1) r on r.email = d.email and r.device_id = d.device_id where not exists (select 1 from principals p where p.disabled and p.email = coalesce(d.email, r.email))"""
+register("q_fleet_machines", "devices reports principals", _MACHINES)(fleet.machines)
+register("q_calls_to_action", "devices reports principals", f"""select email, kind, case kind when 'capture_blocked' then 1 when 'enrolled_never_seen' then 2 else 3 end as rank, count(*) as machines, min(last_at) as since, kind = 'degraded' or email = 'u1@b.example' and kind = 'capture_blocked' as muted
+ from (select *, case level when 'never' then 'enrolled_never_seen' when 'critical' then 'capture_blocked' when 'degraded' then 'degraded' end as kind from ({_MACHINES})) where kind is not null group by 1, 2""")(
+    lambda d, r, p: fleet.calls_to_action(fleet.machines(d, r, p), d.sparkSession.sql("select * from values ('*', 'degraded', timestamp_ntz '2025-01-01 00:00:00'), ('u1@b.example', 'capture_blocked', timestamp_ntz '2025-01-01 00:00:00'), ('*', 'capture_blocked', timestamp_ntz '2023-01-01 00:00:00') as t(email, kind, until)"), "2024-01-30 00:00:00")
+)
+register("q_client_conditions", "reports", "select id, (case when reason = 'error' then 1 else 0 end) + (case when total * 200 > 1000 then 1 else 0 end) + (case when quarantine > 0 then 1 else 0 end) + (case when total % 3 > 0 then 1 else 0 end) as n, case when reason = 'error' or total * 200 > 10000 then 'critical' when total * 200 > 1000 or quarantine > 0 or total % 3 > 0 then 'degraded' else 'ok' end as worst from reports")(
+    lambda r: r.select("id", fleet.conditions(F.col("total") * 200, F.col("quarantine"), F.lit(0), F.col("total") % 3, F.col("reason") == "error", F.lit(False)).alias("c")).select("id", F.size("c").cast("bigint").alias("n"), fleet.worst_level(F.col("c")).alias("worst"))
+)
+register("q_drops_between", "reports", "select reason, cast(sum(total) filter (where emitted_at >= timestamp '2024-01-15 00:00:00') - sum(total) filter (where emitted_at < timestamp '2024-01-15 00:00:00') as bigint) as grown from reports group by 1 having sum(total) filter (where emitted_at >= timestamp '2024-01-15 00:00:00') > sum(total) filter (where emitted_at < timestamp '2024-01-15 00:00:00')")(
+    lambda r: fleet.drops_between(r.where("emitted_at < timestamp_ntz '2024-01-15 00:00:00'").groupBy("reason").agg(F.sum("total").alias("n")), r.where("emitted_at >= timestamp_ntz '2024-01-15 00:00:00'").groupBy("reason").agg(F.sum("total").alias("n")))
+)
+register("q_platform_summary", "skills", "select p.platform, 'api' as origin, max(s.occurred_at) as last_at, count(*) filter (where s.occurred_at >= timestamp '1999-01-01 00:00:00') as recent from (values ('web'), ('cli'), ('phone')) p(platform) left join skills s on s.platform = p.platform and s.origin = 'api' group by 1")(
+    lambda r: fleet.platform_summary(r, r.sparkSession.sql("select platform, 'api' as origin from values ('web'), ('cli'), ('phone') as p(platform)"), "1999-01-01 00:00:00")
+)
+register("q_label_metric", "events_c", "select date_trunc('day', occurred_at) as since, type as label, cast(case when cents >= 10000 then 2 when cents >= 2000 then 1 else 0 end as bigint) as bucket, count(*) as n from events_c group by 1, 2, 3")(lambda e: fleet.label_counts(e.select(F.col("occurred_at").alias("at"), F.col("type").alias("label"), F.col("cents").alias("value")), "day", [2000, 10000]))
+register("q_nearest_pairs", "events_c", None)(
+    lambda e: pairing.nearest(*[e.where(f"type = '{t}'").select("session_id", F.lit("x").alias("name"), "id", F.unix_timestamp(F.col("occurred_at").cast("timestamp")).alias("seconds")) for t in ("user_prompt", "assistant_turn")], within=3600)
+)
+register("q_resume_bundle", "messages", "select event_id from (select *, sum(strlen(text)) over (partition by session_id order by seq) as bytes, row_number() over (partition by session_id order by seq) as rn from messages) where bytes <= 700 or rn = 1")(lambda m: pairing.resume_bundle(m.withColumn("raw", F.col("text")).withColumn("id", F.col("event_id")), 700).select("event_id"))
+register("q_calls_with_results", "events_c", """select c.id, r.id as result_id from (select *, case when id % 3 = 0 then 'k' || (id // 10) else '#' || row_number() over (partition by session_id, id % 3 <> 0 order by seq) end as k from events_c where type = 'tool_call') c
+ left join (select *, case when id % 3 = 0 then 'k' || (id // 10) else '#' || row_number() over (partition by session_id, id % 3 <> 0 order by seq) end as k from events_c where type = 'tool_failed') r on r.session_id = c.session_id and r.k = c.k""")(
+    lambda e: pairing.calls_with_results(*[e.where(f"type = '{t}'").withColumn("tool_use_id", F.expr("if(id % 3 = 0, concat('k', id div 10), null)")) for t in ("tool_call", "tool_failed")]).select("id", "result_id")
+)
+register("q_line_diff", "messages", None)(lambda m: pairing.diffs(m.select("event_id", F.col("text").alias("before"), F.replace("text", F.lit(". "), F.lit(".\n")).alias("after"))).select("event_id", F.size("diff").alias("lines")))
+register("q_version_first_seen", "reports", "select build, min(emitted_at) as first_seen from reports group by 1")(lambda r: health.recent_builds(r).select("build", "first_seen"))
