@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from .kernels import U64, binary, fingerprints, ids, text_buffer
 
-PACKED = "bucket int, settled boolean, doc binary, fp binary, key binary, owner binary, start binary, length binary"
+PACKED = "bucket int, settled boolean, doc binary, fp binary, key binary, owner binary, start binary, length binary, times binary"
 FOUND = "doc long, fp long, start binary, length binary"
+FIRST = FOUND + ", first boolean"
 
 
 class Texts:
@@ -61,36 +62,59 @@ def not_earliest(key: np.ndarray, doc: np.ndarray, fp: np.ndarray, start: np.nda
     return out
 
 
-def packed(texts: Texts, key, owner, start, length, route, buckets: int, within: bool) -> pa.RecordBatch:
-    """One row per bucket of the records left to settle, and one per bucket of those that are settled here."""
+def _runs(place: np.ndarray, owner: np.ndarray, start: np.ndarray, length: np.ndarray, merge: bool) -> np.ndarray:
+    """First record of each run of adjoining records; unless merged, only records of one start form runs."""
+    if not len(owner):
+        return np.zeros(0, np.int64)
+    on = (place[1:] == place[:-1]) & (owner[1:] == owner[:-1]) & (start[1:] == start[:-1] + length[:-1])
+    if not merge:
+        on &= (length[1:] == 1) & (length[:-1] == 1)
+    return np.flatnonzero(np.append(True, ~on))
+
+
+def packed(texts: Texts, key, owner, start, length, route, buckets: int, within: bool, known=None) -> pa.RecordBatch:
+    """One row per bucket of the records left to settle, and one per bucket of those that are settled here.
+
+    Records that adjoin travel as runs.  known: owner, start and length of spans that the caller has settled.
+    """
     late = not_earliest(key, texts.doc[owner], texts.fp[owner], start, within)
-    places = [(mix_id(texts.doc[owner]) % U64(buckets)).astype(np.int32), (route % U64(buckets)).astype(np.int32)]
     out = []
-    for settled, mask in ((True, late), (False, ~late)):
-        at = np.flatnonzero(mask)
-        at = at[np.argsort(places[not settled][at], kind="stable")]
-        b = places[not settled][at]
-        cut = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else np.zeros(0, np.int64)
-        cuts = np.append(cut, len(b))
+    for settled in (True, False):
+        if settled:
+            o, s, n, k = owner[late], start[late], length[late], None
+            if known is not None:
+                o, s, n = (np.concatenate(x) for x in zip((o, s, n), known, strict=True))
+            place = (mix_id(texts.doc[o]) % U64(buckets)).astype(np.int32)
+        else:
+            o, s, n, k = owner[~late], start[~late], length[~late], key[~late]
+            place = (route[~late] % U64(buckets)).astype(np.int32)
+        order = np.lexsort((s, o, place))
+        o, s, n, place = o[order], s[order], n[order], place[order]
+        head = _runs(place, o, s, n, merge=settled)
+        ends = np.append(head[1:], len(o))[: len(head)]
+        times = np.ones(len(head), np.int64) if settled else ends - head
+        unit = s[ends - 1] + n[ends - 1] - s[head] if settled else n[head]
+        cut = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(o) else np.zeros(0, np.int64)
+        run_cuts = np.append(np.searchsorted(head, cut), len(head))
         # the texts of each bucket, once each
-        o = owner[at]
-        step = np.append(True, (o[1:] != o[:-1]) | (b[1:] != b[:-1])) if len(o) else np.zeros(0, bool)
+        ro, rp = o[head], place[head]
+        step = np.append(True, (ro[1:] != ro[:-1]) | (rp[1:] != rp[:-1])) if len(ro) else np.zeros(0, bool)
         who = np.flatnonzero(step)
-        local = np.cumsum(step) - 1
-        doc_cuts = np.append(np.searchsorted(who, cut), len(who))
-        local = local - np.repeat(doc_cuts[:-1], np.diff(cuts)) if len(b) else local
-        n = len(cut)
+        doc_cuts = np.append(np.searchsorted(who, run_cuts[:-1]), len(who))
+        local = np.cumsum(step) - 1 - np.repeat(doc_cuts[:-1], np.diff(run_cuts)) if len(ro) else ro
+        rows = len(cut)
         out.append(
             pa.RecordBatch.from_arrays(
                 [
-                    pa.array(b[cut], pa.int32()),
-                    pa.array(np.full(n, settled)),
-                    binary(texts.doc[o[who]], doc_cuts),
-                    binary(texts.fp[o[who]], doc_cuts),
-                    binary(key[at] if not settled else np.zeros(0, U64), cuts if not settled else np.zeros(n + 1, np.int64)),
-                    binary(local.astype(np.uint32), cuts),
-                    binary(start[at].astype(np.uint32), cuts),
-                    binary(length[at].astype(np.uint8), cuts),
+                    pa.array(place[cut], pa.int32()),
+                    pa.array(np.full(rows, settled)),
+                    binary(texts.doc[ro[who]], doc_cuts),
+                    binary(texts.fp[ro[who]], doc_cuts),
+                    binary(np.zeros(0, U64), np.zeros(rows + 1, np.int64)) if settled else binary(k[order], np.append(cut, len(o))),
+                    binary(local.astype(np.uint32), run_cuts),
+                    binary(s[head].astype(np.uint32), run_cuts),
+                    binary(unit.astype(np.uint32), run_cuts),
+                    binary(times.astype(np.uint32), run_cuts),
                 ],
                 names=[c.split()[0] for c in PACKED.split(", ")],
             )
@@ -105,49 +129,144 @@ def mix_id(x: np.ndarray) -> np.ndarray:
 
 
 def _unpack(table: pa.Table):
+    """doc, fp, start, length of every record, and the keys."""
     take = lambda name, kind: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
-    doc, fp, owner, start, length = (take(n, k) for n, k in (("doc", np.int64), ("fp", np.int64), ("owner", np.uint32), ("start", np.uint32), ("length", np.uint8)))
     join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-    return (
-        join([d[o] for d, o in zip(doc, owner, strict=True)], np.int64),
-        join([f[o] for f, o in zip(fp, owner, strict=True)], np.int64),
-        join(start, np.uint32),
-        join(length, np.uint8),
-        join(take("key", U64), U64),
-    )
+    owner = take("owner", np.uint32)
+    doc = join([d[o] for d, o in zip(take("doc", np.int64), owner, strict=True)], np.int64)
+    fp = join([f[o] for f, o in zip(take("fp", np.int64), owner, strict=True)], np.int64)
+    start, length, times = (join(take(c, np.uint32), np.uint32).astype(np.int64) for c in ("start", "length", "times"))
+    step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    doc, fp, start, length = (np.repeat(x, times) for x in (doc, fp, start, length))
+    return doc, fp, start + step * length, length, join(take("key", U64), U64)
 
 
-def found(table: pa.Table, within: bool) -> pa.Table:
-    """The late records of one bucket, by text."""
+def found(table: pa.Table, within: bool, firsts: bool = False) -> pa.Table:
+    """The late records of one bucket, by text; with firsts also those that are the earliest of their key."""
     import pyarrow.compute as pc
 
     settled = table.column("settled")
     d1, f1, s1, l1, _ = _unpack(table.filter(settled))
     d2, f2, s2, l2, key = _unpack(table.filter(pc.invert(settled)))
     late = not_earliest(key, d2, f2, s2, within)
-    doc, fp = np.concatenate([d1, d2[late]]), np.concatenate([f1, f2[late]])
-    start, length = np.concatenate([s1, s2[late]]), np.concatenate([l1, l2[late]])
+    out = by_text(np.concatenate([d1, d2[late]]), np.concatenate([f1, f2[late]]), np.concatenate([s1, s2[late]]), np.concatenate([l1, l2[late]]), merge=True)
+    if not firsts:
+        return out
+    rest = by_text(d2[~late], f2[~late], s2[~late], l2[~late], merge=False)
+    flag = pa.array(np.append(np.zeros(len(out), bool), np.ones(len(rest), bool)))
+    return pa.concat_tables([out, rest]).append_column("first", flag)
+
+
+def by_text(doc: np.ndarray, fp: np.ndarray, start: np.ndarray, length: np.ndarray, merge: bool) -> pa.Table:
+    """Spans packed by text, in order; merged: adjoining ones become one."""
     order = np.lexsort((start, fp, doc))
     doc, fp, start, length = doc[order], fp[order], start[order], length[order]
+    if merge and len(doc):
+        on = (doc[1:] == doc[:-1]) & (fp[1:] == fp[:-1]) & (start[1:] == start[:-1] + length[:-1])
+        run = np.flatnonzero(np.append(True, ~on))
+        ends = np.append(run[1:], len(doc)) - 1
+        doc, fp, start, length = doc[run], fp[run], start[run], start[ends] + length[ends] - start[run]
     head = np.append(True, (doc[1:] != doc[:-1]) | (fp[1:] != fp[:-1])) if len(doc) else np.zeros(0, bool)
     first = np.flatnonzero(head)
     cuts = np.append(first, len(doc))
-    return pa.table({"doc": doc[first], "fp": fp[first], "start": binary(start, cuts), "length": binary(length, cuts)})
+    return pa.table({"doc": doc[first], "fp": fp[first], "start": binary(start.astype(np.uint32), cuts), "length": binary(length.astype(np.uint32), cuts)})
+
+
+def late_rows(records: DataFrame, buckets: int, within: bool, firsts: bool = False) -> DataFrame:
+    """(doc, fp, starts, lengths) of the records with an earlier equal one, some rows per text."""
+    rows = records.repartition(buckets, "bucket").groupBy("bucket")
+    return rows.applyInArrow(lambda table: found(table, within, firsts), FIRST if firsts else FOUND)
+
+
+def gathered(late: DataFrame) -> DataFrame:
+    """One row per text: (doc, fp, late)."""
+    return late.groupBy("doc", "fp").agg(F.collect_list(F.struct("start", "length")).alias("late"))
 
 
 def settle(records: DataFrame, buckets: int, within: bool) -> DataFrame:
-    """(doc, fp, starts, lengths) of the records with an earlier equal one; one row per text."""
+    """One row per text of the starts and lengths of its records with an earlier equal one."""
+    return gathered(late_rows(records, buckets, within))
+
+
+def _late_places(doc: np.ndarray, fp: np.ndarray, bits: int) -> np.ndarray:
+    return place_of(mix_id(doc ^ mix_id(fp).view(np.int64)), bits)
+
+
+def bitmap_of(rows: DataFrame, places, bits: int) -> np.ndarray:
+    """A bitmap of fixed size from the places of each batch of rows."""
+    slices = 1 << 10
+
+    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_:
+            place = np.unique(places(batch))
+            of = place // ((1 << bits) // slices)
+            cut = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else of
+            low = (place - of * ((1 << bits) // slices)).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array(of[cut], pa.int64()), binary(low, np.append(cut, len(of)))], names=["slice", "places"])
 
     def one(table: pa.Table) -> pa.Table:
-        return found(table, within)
+        size = (1 << bits) // slices
+        place = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("places").to_pylist()]).astype(np.int64)
+        data = np.zeros(size >> 3, np.uint8)
+        np.bitwise_or.at(data, place >> 3, np.left_shift(1, place & 7).astype(np.uint8))
+        return pa.table({"at": pa.array([table.column("slice")[0].as_py() * (size >> 3)], pa.int64()), "bits": pa.array([data.tobytes()], pa.binary())})
 
-    late = records.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(one, FOUND)
-    return late.groupBy("doc", "fp").agg(F.collect_list(F.struct("start", "length")).alias("late"))
+    found_ = rows.mapInArrow(run, "slice long, places binary").groupBy("slice").applyInArrow(one, "at long, bits binary").collect()
+    return collected(found_, bits, "bits")
+
+
+def late_bitmap(late: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of fixed size over the texts that have late records; other texts need not be shuffled."""
+    return bitmap_of(late.select("doc", "fp"), lambda batch: _late_places(batch.column("doc").to_numpy(), batch.column("fp").to_numpy(), bits), bits)
+
+
+def span_places(doc: np.ndarray, fp: np.ndarray, start: np.ndarray, bits: int) -> np.ndarray:
+    """Places of spans, by text and start."""
+    return place_of(mix_id(mix_id(doc ^ mix_id(fp).view(np.int64)).view(np.int64) ^ start), bits)
+
+
+def first_bitmap(rows: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of fixed size over the records that are the earliest of their key."""
+
+    def places(batch: pa.RecordBatch) -> np.ndarray:
+        start = [np.frombuffer(x, np.uint32) for x in batch.column("start").to_pylist()]
+        n = [len(x) for x in start]
+        doc, fp = (np.repeat(batch.column(c).to_numpy(), n) for c in ("doc", "fp"))
+        return span_places(doc, fp, np.concatenate(start).astype(np.int64) if start else np.zeros(0, np.int64), bits)
+
+    return bitmap_of(rows.where("first").select("doc", "fp", "start"), places, bits)
 
 
-def with_late(analysed: DataFrame, late: DataFrame) -> DataFrame:
-    """Rows with columns (doc, fp), joined with what was found of them."""
-    return analysed.join(late, ["doc", "fp"], "left")
+def asks(texts: Texts, bitmap: np.ndarray, bits: int) -> np.ndarray:
+    """Texts that may have late records."""
+    place = _late_places(texts.doc, texts.fp, bits)
+    return (bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+
+
+LATE_BITS = 26
+
+
+def split_by_late(docs: DataFrame, late: DataFrame, measure) -> DataFrame:
+    """Per row of docs: doc_id, n and sha of its text where it has no late record; else its text (asked) and them (late).
+
+    measure gives n of each text of a group, and the sha of one text's bytes.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(late_bitmap(late, LATE_BITS))
+    count, digest = measure
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(rows):
+            texts = Texts(batch)
+            ask = asks(texts, shared.value, LATE_BITS).tolist()
+            sha = [None if a else digest(texts.data[texts.at[i] : texts.at[i + 1]].tobytes()) for i, a in enumerate(ask)]
+            asked = [t if a else None for t, a in zip(batch.column("text").to_pylist(), ask, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").cast(pa.int64()), pa.array(texts.doc), pa.array(texts.fp), pa.array(count(texts), pa.int64()), pa.array(sha, pa.string()), pa.array(asked, pa.string())],
+                names=["doc_id", "doc", "fp", "n", "sha", "asked"],
+            )
+
+    rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, doc long, fp long, n long, sha string, asked string")
+    return rows.join(late, ["doc", "fp"], "left")
 
 
 def spans(value) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +275,7 @@ def spans(value) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return (
         np.concatenate([np.frombuffer(x["start"], np.uint32) for x in value]).astype(np.int64),
-        np.concatenate([np.frombuffer(x["length"], np.uint8) for x in value]).astype(np.int64),
+        np.concatenate([np.frombuffer(x["length"], np.uint32) for x in value]).astype(np.int64),
     )
 
 

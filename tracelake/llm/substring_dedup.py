@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import earliest as E
 from .kernels import U64, Words, binary, covered, mix, rolling
-from .runtime import parts
+from .runtime import parts, stored
 
 LENGTH, BLOCK, BITS = 50, 25, 28
 
@@ -117,36 +117,21 @@ def _records(rows: Iterator[pa.RecordBatch], bitmap: E.Bitmap, buckets: int, len
         words = Words(texts.data, texts.at)
         start, key, route = _candidates(words, bitmap, length, block)
         owner = words.text_of_word()[start]
-        yield E.packed(texts, key, owner, start - words.first[owner], np.ones(len(start), np.uint8), route, buckets, within=False)
+        yield E.packed(texts, key, owner, start - words.first[owner], np.ones(len(start), np.int64), route, buckets, within=False)
 
 
-def _analysed(rows: Iterator[pa.RecordBatch], bitmap: E.Bitmap, length: int, block: int) -> Iterator[pa.RecordBatch]:
-    """Per row: what is final already, and the text where a candidate asks for more."""
-    for batch in E.batches(rows):
-        texts = E.Texts(batch)
-        words = Words(texts.data, texts.at)
-        start, _, _ = _candidates(words, bitmap, length, block)
-        asks = np.zeros(len(texts.doc), bool)
-        asks[words.text_of_word()[start]] = True
-        sha = [None if a else _digest(texts.data[texts.at[i] : texts.at[i + 1]]) for i, a in enumerate(asks)]
-        text = batch.column("text").to_pylist() if asks.any() else [None] * len(asks)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), pa.array(texts.doc), pa.array(texts.fp), pa.array(words.counts(), pa.int64()), pa.array(sha, pa.string()), pa.array([t if a else None for t, a in zip(text, asks, strict=True)], pa.string())],
-            names=["doc_id", "doc", "fp", "n_words", "sha", "asked"],
-        )
-
+def _digest(data: bytes) -> str:
+    return hashlib.sha256(b" ".join(data.split())).hexdigest()
 
-def _digest(data: np.ndarray) -> str:
-    return hashlib.sha256(b" ".join(data.tobytes().split())).hexdigest()
 
-
-def _kept(text: str, starts: np.ndarray, length: int) -> tuple[list[bytes], int]:
+def _kept(text: str, late, length: int) -> tuple[list[bytes], int]:
     words = text.encode().split()
-    gone = covered(len(words), starts, length)
+    starts, count = E.spans(late)
+    gone = covered(len(words), starts, count - 1 + length)
     return [w for w, g in zip(words, gone.tolist(), strict=True) if not g], int(gone.sum())
 
 
-def late_windows(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, bits: int = BITS) -> tuple[DataFrame, E.Bitmap]:
+def late_windows(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, bits: int = BITS) -> DataFrame:
     """Starts of the windows that an earlier document has, one row per (doc, fp)."""
     if length < 2 * block - 1:
         raise ValueError("a window of `length` words must hold a whole block: length >= 2 * block - 1")
@@ -154,14 +139,13 @@ def late_windows(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, bits
     shared = docs.sparkSession.sparkContext.broadcast(anchors(docs, block, bits))
     buckets = parts(docs, 8 << 20)
     records = docs.mapInArrow(lambda rows: _records(rows, E.Bitmap(bits, shared.value), buckets, length, block), E.PACKED)
-    return E.settle(records, buckets, within=False), shared
+    return stored(E.settle(records, buckets, within=False), "late")
 
 
 def digests(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, bits: int = BITS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
-    docs = docs.select("doc_id", "text")
-    late, shared = late_windows(docs, length, block, bits)
-    analysed = docs.mapInArrow(lambda rows: _analysed(rows, E.Bitmap(bits, shared.value), length, block), "doc_id long, doc long, fp long, n_words long, sha string, asked string")
+    late = late_windows(docs, length, block, bits)
+    rows = E.split_by_late(docs, late, (lambda texts: Words(texts.data, texts.at, hashes=False).counts(), _digest))
 
     def finish(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -169,37 +153,43 @@ def digests(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, bits: int
             for i, (text, late) in enumerate(zip(batch.column("asked").to_pylist(), batch.column("late").to_pylist(), strict=True)):
                 n = 0
                 if text is not None:
-                    words, n = _kept(text, E.spans(late)[0], length)
+                    words, n = _kept(text, late, length)
                     sha[i] = hashlib.sha256(b" ".join(words)).hexdigest()
                 removed.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return E.with_late(analysed, late).mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return rows.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def dedupe(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, bits: int = BITS) -> DataFrame:
     """The documents with covered words taken out; a text that loses none stays as it is, a shortened one is its kept words joined by a space."""
-    late, _ = late_windows(docs, length, block, bits)
+    late = late_windows(docs, length, block, bits)
+    shared = docs.sparkSession.sparkContext.broadcast(E.late_bitmap(late, E.LATE_BITS))
     names = docs.columns
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id"), F.col("text"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id"), F.col("text"))
+    kind = packed.schema["row"].dataType.simpleString()
 
     def keys(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in E.batches(rows):
             texts = E.Texts(batch)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts.doc), pa.array(texts.fp)], names=["row", "doc", "fp"])
+            ask = pa.array(E.asks(texts, shared.value, E.LATE_BITS))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts.doc), pa.array(texts.fp)], names=["row", "doc", "fp"]).filter(ask)
 
-    row_type = keyed.schema["row"].dataType.simpleString()
-    keyed = keyed.mapInArrow(keys, f"row {row_type}, doc long, fp long")
-    joined = E.with_late(keyed, late).select(F.col("row.text").alias("text"), "late", "row")
+    def others(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in E.batches(rows):
+            ask = E.asks(E.Texts(batch), shared.value, E.LATE_BITS)
+            yield batch.select(["row"]).filter(pa.array(~ask))
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             text = batch.column("text").to_pylist()
             for i, value in enumerate(batch.column("late").to_pylist()):
                 if value:
-                    words, n = _kept(text[i], E.spans(value)[0], length)
+                    words, n = _kept(text[i], value, length)
                     text[i] = b" ".join(words).decode() if n else text[i]
             yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), batch.column("row")], names=["text", "row"])
 
-    done = joined.mapInArrow(cut, f"text string, row {row_type}")
-    return done.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names])
+    touched = packed.mapInArrow(keys, f"row {kind}, doc long, fp long").join(late, ["doc", "fp"], "left").select(F.col("row.text").alias("text"), "late", "row")
+    done = touched.mapInArrow(cut, f"text string, row {kind}").select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names])
+    rest = packed.mapInArrow(others, f"row {kind}").select(*[F.col(f"row.`{c}`").alias(c) for c in names])
+    return done.unionByName(rest)
