@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import earliest as E
 from .kernels import U64, binary, byte_values, covered, mix, prefix, spans_hash
-from .runtime import parts
+from .runtime import parts, stored
 
 LENGTH, BITS = 100, 27
 _TILE = 1 << 20
@@ -46,13 +46,13 @@ _LOW = U64(0xFFFFFFFF)
 class Ranges:
     """Runs of suffix starts with one anchor, in some tiles of text: their starts, anchors' hashes and contexts."""
 
-    __slots__ = ("start", "count", "anchor", "context", "pre", "length")
+    __slots__ = ("start", "count", "anchor", "context")
 
     def __init__(self, data: np.ndarray, first: np.ndarray, last: np.ndarray, length: int):
         """Suffixes start in [first[i], last[i]) of the data, for each text i."""
         run = length // 2
         reach = length - run + 1
-        self.pre, self.length = prefix(byte_values(data)), length
+        pre = prefix(byte_values(data))
         n = len(data) - length + 1
         keep = covered(max(n, 0), np.minimum(first, max(n, 0)), np.maximum(np.minimum(last, max(n, 0)) - np.minimum(first, max(n, 0)), 0)) if n > 0 else np.zeros(0, bool)
         starts = np.flatnonzero(keep)
@@ -61,7 +61,7 @@ class Ranges:
             self.anchor = self.context = np.zeros(0, U64)
             return
         at = np.arange(len(data) - run + 1)
-        h = spans_hash(self.pre, at, at + run)
+        h = spans_hash(pre, at, at + run)
         least = (h & ~_LOW) | (_LOW - at.astype(U64))
         step = 1
         while step < reach:
@@ -74,13 +74,7 @@ class Ranges:
         self.start, self.count = starts[head], np.diff(np.append(head, len(starts)))
         self.anchor = h[anchor[head]]
         inside = (anchor[head] - self.start).astype(U64)
-        self.context = mix(spans_hash(self.pre, self.start, self.start + self.count - 1 + length) ^ (inside * U64(0x9E3779B97F4A7C15)))
-
-    def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Every start of the given ranges, and the hash of its bytes."""
-        count = self.count[which]
-        start = np.repeat(self.start[which], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        return start, spans_hash(self.pre, start, start + self.length)
+        self.context = mix(spans_hash(pre, self.start, self.start + self.count - 1 + length) ^ (inside * U64(0x9E3779B97F4A7C15)))
 
 
 def _tiles(at: np.ndarray, length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -148,29 +142,37 @@ def first_pass(docs: DataFrame, length: int = LENGTH, bits: int = BITS) -> tuple
 
 
 def _records_of(texts: E.Texts, twice: E.Bitmap, several: E.Bitmap, length: int):
-    """Key, text, start, number of starts and route of every range and suffix that is left to settle."""
-    out = [[np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, U64)]]
+    """Key, text, start, number of starts and route of what is left to settle, and the spans that a text of this group settles.
+
+    A range with the context of an earlier one here is settled whole; its suffixes need not be told apart.
+    """
+    found = []  # ranges that are left, by tile
     for s, e, first, last in _tiles(texts.at, length):
         r = Ranges(texts.data[s:e], first, last, length)
-        left = twice.has(r.anchor)
-        single = left & several.has(r.anchor)
-        whole = np.flatnonzero(left & ~single)
-        single = np.flatnonzero(single)
-        start, key = r.windows(single)
-        for to, values in zip(
-            out,
-            (
-                (mix(r.context[whole] + r.anchor[whole]), key),
-                (r.start[whole] + s, start + s),
-                (r.count[whole], np.ones(len(start), np.int64)),
-                (r.anchor[whole], np.repeat(r.anchor[single], r.count[single])),
-            ),
-            strict=True,
-        ):
-            to.extend(values)
-    key, start, count, route = map(np.concatenate, out)
+        left = np.flatnonzero(twice.has(r.anchor))
+        found.append((s, e, r.start[left] + s, r.count[left], r.anchor[left], r.context[left]))
+    start, count, anchor, context = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in list(zip(*found, strict=True))[2:] or [()] * 4)
+    anchor, context = anchor.astype(U64), context.astype(U64)
+    key = mix(context + anchor)
     owner = np.searchsorted(texts.at, start, "right") - 1
-    return key, owner, start - texts.at[owner], count, mix(route)
+    own = start - texts.at[owner]
+    late = E.not_earliest(key, texts.doc[owner], texts.fp[owner], own, within=True)
+    single = several.has(anchor) & ~late
+    whole = ~single & ~late
+    keys, starts, routes, counts, at = [key[whole]], [start[whole]], [anchor[whole]], [count[whole]], 0
+    for s, e, of_tile, *_ in found:
+        pick = at + np.flatnonzero(single[at : at + len(of_tile)])
+        at += len(of_tile)
+        if len(pick):
+            n = count[pick]
+            begin = np.repeat(start[pick], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            keys.append(spans_hash(prefix(byte_values(texts.data[s:e])), begin - s, begin - s + length))
+            starts.append(begin)
+            counts.append(np.ones(len(begin), np.int64))
+            routes.append(np.repeat(anchor[pick], n))
+    begin = np.concatenate(starts)
+    of = np.searchsorted(texts.at, begin, "right") - 1
+    return np.concatenate(keys), of, begin - texts.at[of], np.concatenate(counts), mix(np.concatenate(routes)), (owner[late], own[late], count[late])
 
 
 def _bitmaps(shared, bits: int) -> tuple[E.Bitmap, E.Bitmap]:
@@ -178,8 +180,8 @@ def _bitmaps(shared, bits: int) -> tuple[E.Bitmap, E.Bitmap]:
     return E.Bitmap(bits, twice), E.Bitmap(bits, several)
 
 
-def late_suffixes(docs: DataFrame, length: int = LENGTH, bits: int = BITS):
-    """Starts of the strings that start earlier too, one row per (doc, fp), and the shared bitmaps."""
+def late_suffixes(docs: DataFrame, length: int = LENGTH, bits: int = BITS) -> DataFrame:
+    """Starts of the strings that start earlier too, one row per (doc, fp)."""
     if not 16 <= length <= 400:
         raise ValueError("length must be 16 to 400 bytes")
     docs = docs.select("doc_id", "text")
@@ -187,12 +189,12 @@ def late_suffixes(docs: DataFrame, length: int = LENGTH, bits: int = BITS):
     buckets = parts(docs, 8 << 20)
 
     def records(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in E.batches(rows):
+        for batch in E.batches(rows, 6 << 20):
             texts = E.Texts(batch)
-            key, owner, start, count, route = _records_of(texts, *_bitmaps(shared, bits), length)
-            yield E.packed(texts, key, owner, start, count, route, buckets, within=True)
+            key, owner, start, count, route, known = _records_of(texts, *_bitmaps(shared, bits), length)
+            yield E.packed(texts, key, owner, start, count, route, buckets, True, known)
 
-    return E.settle(docs.mapInArrow(records, E.PACKED), buckets, within=True), shared
+    return stored(E.settle(docs.mapInArrow(records, E.PACKED), buckets, within=True), "late")
 
 
 def _kept(data: bytes, late, length: int) -> tuple[bytes, int, int]:
@@ -207,23 +209,8 @@ def _kept(data: bytes, late, length: int) -> tuple[bytes, int, int]:
 
 def digests(docs: DataFrame, length: int = LENGTH, bits: int = BITS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    docs = docs.select("doc_id", "text")
-    late, shared = late_suffixes(docs, length, bits)
-
-    def analysed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in E.batches(rows):
-            texts = E.Texts(batch)
-            asks = np.zeros(len(texts.doc), bool)
-            twice, _ = _bitmaps(shared, bits)
-            for s, e, first, last in _tiles(texts.at, length):
-                r = Ranges(texts.data[s:e], first, last, length)
-                asks[np.searchsorted(texts.at, r.start[twice.has(r.anchor)] + s, "right") - 1] = True
-            sha = [None if a else hashlib.sha256(texts.data[texts.at[i] : texts.at[i + 1]]).hexdigest() for i, a in enumerate(asks)]
-            text = batch.column("text").to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(texts.doc), pa.array(texts.fp), pa.array(np.diff(texts.at)), pa.array(sha, pa.string()), pa.array([t if a else None for t, a in zip(text, asks, strict=True)], pa.string())],
-                names=["doc_id", "doc", "fp", "n_bytes", "sha", "asked"],
-            )
+    late = late_suffixes(docs, length, bits)
+    rows = E.split_by_late(docs, late, (lambda texts: np.diff(texts.at), lambda data: hashlib.sha256(data).hexdigest()))
 
     def finish(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -234,17 +221,16 @@ def digests(docs: DataFrame, length: int = LENGTH, bits: int = BITS) -> DataFram
                 removed.append(n)
                 runs.append(r)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n_bytes"), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string())],
+                [batch.column("doc_id"), batch.column("n"), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string())],
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    joined = E.with_late(docs.mapInArrow(analysed, "doc_id long, doc long, fp long, n_bytes long, sha string, asked string"), late)
-    return joined.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def removed_spans(docs: DataFrame, length: int = LENGTH, bits: int = BITS) -> DataFrame:
     """The operator's own output: doc_id, start and end (byte offsets) of every maximal removed run."""
-    late, _ = late_suffixes(docs, length, bits)
+    late = late_suffixes(docs, length, bits)
 
     def runs(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
