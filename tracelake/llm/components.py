@@ -21,7 +21,8 @@ def components(edges: DataFrame) -> DataFrame:
     while not _stars(edges):
         # large step: larger neighbours (and the node) go to the smallest of node and neighbours
         both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        # stored, so that both sides of the join are shuffles that Spark can split at a node with very many neighbours
+        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), "least")
         large = edges.select(F.col("b").alias("a"), F.col("a").alias("v")).join(least, "a").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         # small step: smaller neighbours and the node go to the smallest
         least = large.groupBy("a").agg(F.min("b").alias("m"))
