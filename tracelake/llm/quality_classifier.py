@@ -39,16 +39,17 @@ STATISTICS = 8
 def votes() -> list[Column]:
     """The labellers, over the columns of COUNTS."""
     n, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
-    repeat, capitals, marks, symbols, mean = F.col("n_repeat_words") / n, F.col("n_capitals") / chars, F.col("n_marks") / chars, F.col("n_symbols") / n, chars / n
+    repeat, capitals, marks, symbols, mean, again = F.col("n_repeat_words") / n, F.col("n_capitals") / chars, F.col("n_marks") / chars, F.col("n_symbols") / n, chars / n, F.col("n_dup_lines")
     vote = lambda low, high: F.when(low, -1).when(high, 1).otherwise(0)
+    # they overlap: what is wrong with a document is seen by several
     return [
         vote(F.col("n_words") < 10, F.col("n_words") >= 50),
-        vote(repeat > 0.2, repeat < 0.02),
-        vote(capitals > 0.3, capitals < 0.08),
-        vote(marks > 0.12, marks < 0.06),
+        vote((repeat > 0.2) | (again > 2), (repeat < 0.02) & (again == 0)),
         vote(symbols > 0.1, symbols < 0.01),
+        vote((capitals > 0.3) | (marks > 0.12) | (symbols > 0.1), (capitals < 0.08) & (marks < 0.06) & (symbols < 0.01)),
+        vote((repeat > 0.2) | (symbols > 0.1) | (capitals > 0.3), (repeat < 0.05) & (symbols < 0.01) & (capitals < 0.1)),
         vote((mean < 2.5) | (mean > 11), (mean > 3.5) & (mean < 9)),
-        vote(F.col("n_dup_lines") > 2, F.lit(False)),
+        vote((marks > 0.12) | (symbols > 0.1) | (again > 2) | (repeat > 0.2), (marks < 0.06) & (symbols < 0.01) & (repeat < 0.02)),
     ]
 
 
