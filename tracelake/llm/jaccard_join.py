@@ -19,8 +19,10 @@ those.
 2. Components of that candidate graph are clusters; no link leaves its cluster.
 3. Within a cluster links are verified exactly by intersecting the sets: from
    each set reached, all sets not yet reached are tested through the cluster's
-   own inverted lists.  A cluster of more than `bound` elements is dealt into
-   blocks, and each pair of blocks is verified in a task of its own.
+   own inverted lists.  The sets of clusters of more than `bound` elements, held
+   together by passages that many documents share, are clustered again by wider
+   segments that may differ in one element.  A cluster that is still too large
+   is dealt into blocks, and each pair of blocks is verified in a task of its own.
 4. Components over the verified links, and the smallest doc_id of each.
 
 Defined cases.  Null or empty text, or no word: empty set, linked with nothing,
@@ -47,6 +49,9 @@ from .kernels import LOWER, U64, Words, binary, ids, mix, rolling, spans_hash, p
 from .runtime import parts, stored
 
 N, NUMERATOR, DENOMINATOR = 4, 85, 100
+SHARED = 0.005  # how likely an element of one set is in an unlike one
+LIGHT = 2  # segments of so many elements or fewer are left out where clusters are narrowed
+PAIR_COST = 3000  # of a pair that chance brings together, in keys
 BOUND = 2_000_000  # elements of all sets of a cluster that one task verifies
 _NULL = -(2**63)
 
@@ -102,7 +107,7 @@ def allocate(hi: int, sets: int, numerator: int = NUMERATOR, denominator: int =
     need = differences(hi, numerator, denominator) + 1
     lo = max(1, hi * numerator // denominator)
     best = None
-    for reserve in range(0, 8):
+    for reserve in range(0, 8 + need // 8):
         capacity = need + reserve
         for ones in {0, capacity // 4, capacity // 2, -(-capacity // 2)}:
             zeros = max(0, capacity - 2 * ones)
@@ -118,18 +123,40 @@ def allocate(hi: int, sets: int, numerator: int = NUMERATOR, denominator: int =
             over = max(over, 0.0)
             keys = zeros + ones * (1 + hi / m) + over * weak
             chance = sets * over * over * weak / 2  # pairs a set meets through empty segments
-            few = sum(sets * math.exp(-2 * mean) * (1 + 2 * mean) for _ in range(1)) * ones / max(m, 1)
-            cost = keys + 20 * (chance + few)
+            few = sets * math.exp(-2 * mean) * (1 + 2 * mean) * ones / m
+            alike = sets * (zeros * SHARED ** max(mean, 1.0) + ones * SHARED ** max(mean - 1, 1.0))  # segments that agree through common passages
+            cost = keys + PAIR_COST * (chance + few + alike)
             if best is None or cost < best[0]:
                 best = (cost, zeros, ones, reserve)
     return best[1:]
 
 
+def wide(hi: int, least: int, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> tuple[int, int, int]:
+    """Segments of budget 1 only, with a reserve that lets nearly all sets leave out segments of at most `least` elements."""
+    need = differences(hi, numerator, denominator) + 1
+    lo = max(1, hi * numerator // denominator)
+    for reserve in range(0, 4 + need, 2):
+        ones = -(-(need + reserve) // 2)
+        mean = lo / ones
+        light = 2 * ones * sum(math.exp(-mean) * mean**k / math.factorial(k) for k in range(least + 1))
+        if light + 2.5 * math.sqrt(2 * light) <= reserve:
+            break
+    return 0, ones, 2 * ones - need
+
+
 class Plan:
-    """Bands and their segments; sets are counted over all documents."""
+    """Bands and their segments; sets are counted over all documents.
+
+    Keys stand for at least `least` elements, but for sets that would leave out
+    more capacity than the reserve: these index all they have.
+    """
 
-    def __init__(self, counts: dict[int, int], most: int, numerator: int, denominator: int):
+    def __init__(self, counts: dict[int, int], most: int, numerator: int, denominator: int, least: int = 1):
         self.limits = band_limits(most, numerator, denominator)
+        self.least = least
+        if least > 1:
+            self.segments = [wide(self.limits[b + 1] - 1, least, numerator, denominator) for b in range(len(self.limits) - 1)]
+            return
         self.segments = [allocate(self.limits[b + 1] - 1, counts.get(b, 0) + counts.get(b + 1, 0), numerator, denominator) for b in range(len(self.limits) - 1)]
 
 
@@ -158,23 +185,24 @@ def keys_of(h: np.ndarray, first: np.ndarray, plan: Plan) -> tuple[np.ndarray, n
             total = np.add.reduceat(value, head)
             count = np.diff(np.append(head, len(place)))
             tag = lambda p: mix((p % m).astype(U64) * U64(0x9E3779B97F4A7C15) + salt)  # noqa: E731, B023
-            keys.append(mix(total ^ tag(full)))
-            sets.append(mine[full // m])
+            # an agreeing segment that is not light in one set has keys of `least` elements or more in both
+            present = np.zeros(len(mine) * m, np.int64)
+            present[full] = count
+            present = present.reshape(len(mine), m)
+            light = (present[:, :zeros] < plan.least).sum(1) + 2 * (present[:, zeros:] <= plan.least).sum(1)
+            over = light > reserve
+            emit = (count >= plan.least) | over[full // m]
+            keys.append(mix(total[emit] ^ tag(full[emit])))
+            sets.append(mine[full[emit] // m])
             if ones:  # segments from `zeros` on may differ in one element
-                may = place % m >= zeros
+                may = (place % m >= zeros) & ((np.repeat(count, count) > plan.least) | over[place // m])
                 gone = np.repeat(total, count)[may] - value[may]
                 keys.append(mix(gone ^ tag(place[may])))
                 sets.append(mine[place[may] // m])
-            # sets that leave out more than the reserve also index their empty segments
-            present = np.zeros(len(mine) * m, np.int64)
-            present[full] = count
-            present = present.reshape(len(mine), m)
-            weak = (present[:, :zeros] == 0).sum(1) + 2 * (present[:, zeros:] <= 1).sum(1)
-            over = np.flatnonzero(weak > reserve)
-            if len(over):
-                i, s = np.nonzero(present[over] == 0)
+            if over.any():
+                i, s = np.nonzero((present == 0) & over[:, None])
                 keys.append(mix(tag(s)))
-                sets.append(mine[over[i]])
+                sets.append(mine[i])
     return np.concatenate(keys), np.concatenate(sets)
 
 
@@ -225,16 +253,20 @@ def _keyed(rows: Iterator[pa.RecordBatch], n: int, plan: Plan, buckets: int) ->
         if not len(one):
             continue
         pick = np.concatenate([h[first[i] : first[i + 1]] for i in one])
-        key, owner = keys_of(pick, np.append(0, np.cumsum(np.diff(first)[one])), plan)
-        key, member, a, b = _stars(key, sid[one][owner])
-        a, b = forest(a, b)
-        for kind, k, m, of in ((0, key, member, key % U64(buckets)), (1, a.view(U64), b, mix(a.view(U64)) % U64(buckets))):
-            of = of.astype(np.int32)
-            order = np.argsort(of, kind="stable")
-            of, k, m = of[order], k[order], m[order]
-            cut = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
-            cuts = np.append(cut, len(of))
-            yield pa.RecordBatch.from_arrays([pa.array(of[cut], pa.int32()), pa.array(np.full(len(cut), kind, np.int32)), binary(k, cuts), binary(m, cuts)], names=["bucket", "kind", "key", "member"])
+        yield from _packed_keys(pick, np.append(0, np.cumsum(np.diff(first)[one])), sid[one], plan, buckets)
+
+
+def _packed_keys(h: np.ndarray, first: np.ndarray, sid: np.ndarray, plan: Plan, buckets: int) -> Iterator[pa.RecordBatch]:
+    key, owner = keys_of(h, first, plan)
+    key, member, a, b = _stars(key, sid[owner])
+    a, b = forest(a, b)
+    for kind, k, m, of in ((0, key, member, key % U64(buckets)), (1, a.view(U64), b, mix(a.view(U64)) % U64(buckets))):
+        of = of.astype(np.int32)
+        order = np.argsort(of, kind="stable")
+        of, k, m = of[order], k[order], m[order]
+        cut = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
+        cuts = np.append(cut, len(of))
+        yield pa.RecordBatch.from_arrays([pa.array(of[cut], pa.int32()), pa.array(np.full(len(cut), kind, np.int32)), binary(k, cuts), binary(m, cuts)], names=["bucket", "kind", "key", "member"])
 
 
 def _edges(table: pa.Table) -> pa.Table:
@@ -354,7 +386,28 @@ def links(docs: DataFrame, sets: DataFrame, n: int, numerator: int, denominator:
             raw = binary(h, first).take(pa.array(own))
             yield pa.RecordBatch.from_arrays([batch.column("root").take(pa.array(own)), pa.array(sid[own]), batch.column("block").take(pa.array(own)), batch.column("blocks").take(pa.array(own)), raw], names=["root", "sid", "block", "blocks", "elements"])
 
-    found = texts.mapInArrow(elements, "root long, sid long, block long, blocks long, elements binary")
+    found = stored(texts.mapInArrow(elements, "root long, sid long, block long, blocks long, elements binary"), "elements")
+    # clusters that one task can hold are verified; the sets of larger ones are clustered again by wider segments first
+    small = found.where("blocks = 1")
+    large = found.where("blocks > 1")
+    if not large.isEmpty():
+        again = Plan({}, max(r["most"] for r in stats), numerator, denominator, least=LIGHT)
+
+        def keyed_again(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in rows:
+                for i in range(0, len(batch), 2000):
+                    part = batch.slice(i, 2000)
+                    raw = [np.frombuffer(x, U64) for x in part.column("elements").to_pylist()]
+                    yield from _packed_keys(np.concatenate(raw), np.append(0, np.cumsum([len(x) for x in raw])), part.column("sid").to_numpy(), again, buckets)
+
+        edges = large.select("sid", "elements").mapInArrow(keyed_again, _KEYS).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_edges, "a long, b long")
+        narrow = stored(components(edges), "clusters")
+        members = narrow.select("node", "root").unionAll(narrow.select(F.col("root").alias("node"), "root").distinct())
+        large = large.select("sid", "elements").join(members, large["sid"] == members["node"])
+        total = large.groupBy("root").agg(F.sum(F.octet_length("elements") / 8).alias("count"))
+        large = large.join(total, "root").withColumn("blocks", F.when(F.col("count") <= bound, F.lit(1)).otherwise(F.ceil(2 * F.col("count") / bound)).cast("long"))
+        large = large.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks"))).select(*found.columns)
+        found = small.unionByName(large)
     pairs = found.withColumn("with", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("root", "sid", "block", F.least("block", "with").alias("part"), F.greatest("block", "with").alias("other"), "elements")
     verified = pairs.groupBy("root", "part", "other").applyInArrow(lambda t: _links(t, numerator, denominator), "a long, b long")
     return components(verified)
