@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .earliest import batches
 from .kernels import LOWER, U64, Words, binary, ids, mix, rolling, spans_hash, prefix, text_buffer
-from .runtime import parts, stored
+from .runtime import free_shuffles, parts, stored
 
 N, NUMERATOR, DENOMINATOR = 4, 85, 100
 SHARED = 0.005  # how likely an element of one set is in an unlike one
@@ -366,6 +366,8 @@ def links(docs: DataFrame, sets: DataFrame, n: int, numerator: int, denominator:
     buckets = parts(docs, 8 << 20)
     keyed = docs.select("text").mapInArrow(lambda rows: _keyed(rows, n, plan, buckets), _KEYS)
     clusters = stored(components(keyed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_edges, "a long, b long")), "clusters")
+    del keyed
+    free_shuffles(docs.sparkSession)  # the keys, the largest of all
     members = clusters.select("node", "root").unionAll(clusters.select(F.col("root").alias("node"), "root").distinct())
 
     sizes = sets.groupBy("sid").agg(F.max("n_shingles").alias("n"), F.min("doc").alias("doc"))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import earliest as E
 from .kernels import U64, Words, binary, covered, mix, rolling
-from .runtime import parts, stored
+from .runtime import free_shuffles, parts, stored
 
 LENGTH, BLOCK, BITS = 50, 25, 28
 
@@ -139,7 +139,10 @@ def late_windows(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, bits
     shared = docs.sparkSession.sparkContext.broadcast(anchors(docs, block, bits))
     buckets = parts(docs, 8 << 20)
     records = docs.mapInArrow(lambda rows: _records(rows, E.Bitmap(bits, shared.value), buckets, length, block), E.PACKED)
-    return stored(E.settle(records, buckets, within=False), "late")
+    late = stored(E.settle(records, buckets, within=False), "late")
+    del records
+    free_shuffles(docs.sparkSession)
+    return late
 
 
 def digests(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, bits: int = BITS) -> DataFrame:
