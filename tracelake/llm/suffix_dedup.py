@@ -8,14 +8,15 @@ passes, most significant first, are
    that lie in its first `length` bytes (rightmost of equal ones).  Neighbouring
    suffixes share an anchor, so they move as one range.  A suffix whose anchor
    occurs once in the corpus is alone in its group and leaves the sort.
-2. the context: all bytes of the range.  Where all ranges of an anchor have one
-   context, the range is settled as a whole.
-3. the `length` bytes of each suffix, for the ranges that are left: those whose
-   anchor has several contexts.
+2. the context: all bytes of the range.  A range with the context of an earlier
+   one is settled as a whole.
+3. the `length` bytes of each suffix, for the ranges that are left: the first of
+   each context, where the anchor has several contexts.
 
 The first pass counts anchors and contexts per hash bucket into two bitmaps of
-fixed size, which all executors get; a full bitmap only leaves more suffixes to
-the later passes.  The last passes look for the earliest of each group (module
+fixed size, the second marks the first range of each context in a third; all
+executors get them.  A full bitmap only leaves more suffixes to the later
+passes.  The last two passes look for the earliest of each group (module
 earliest).  No text, group or bucket is collected whole.
 
 Defined cases.  Null or empty text: no bytes.  Texts shorter than `length` are
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import earliest as E
 from .kernels import U64, binary, byte_values, covered, mix, prefix, spans_hash
-from .runtime import parts, stored
+from .runtime import free_shuffles, parts, stored
 
 LENGTH, BITS = 100, 27
 _TILE = 1 << 20
@@ -141,38 +142,44 @@ def first_pass(docs: DataFrame, length: int = LENGTH, bits: int = BITS) -> tuple
     return E.collected(rows, bits, "twice"), E.collected(rows, bits, "several")
 
 
-def _records_of(texts: E.Texts, twice: E.Bitmap, several: E.Bitmap, length: int):
-    """Key, text, start, number of starts and route of what is left to settle, and the spans that a text of this group settles.
-
-    A range with the context of an earlier one here is settled whole; its suffixes need not be told apart.
-    """
-    found = []  # ranges that are left, by tile
+def _ranges_of(texts: E.Texts, twice: E.Bitmap, length: int):
+    """Start, count, anchor and context of the ranges that are left in the sort, over the buffer; and the tiles."""
+    start, count, anchor, context, tiles = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, U64)], [np.zeros(0, U64)], []
     for s, e, first, last in _tiles(texts.at, length):
         r = Ranges(texts.data[s:e], first, last, length)
         left = np.flatnonzero(twice.has(r.anchor))
-        found.append((s, e, r.start[left] + s, r.count[left], r.anchor[left], r.context[left]))
-    start, count, anchor, context = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in list(zip(*found, strict=True))[2:] or [()] * 4)
-    anchor, context = anchor.astype(U64), context.astype(U64)
-    key = mix(context + anchor)
+        for to, x in zip((start, count, anchor, context), (r.start[left] + s, r.count[left], r.anchor[left], r.context[left]), strict=True):
+            to.append(x)
+        tiles.append((s, e, len(left)))
+    return np.concatenate(start), np.concatenate(count), np.concatenate(anchor), np.concatenate(context), tiles
+
+
+def _range_records(texts: E.Texts, twice: E.Bitmap, length: int):
+    """Key, text, start, number of starts and route of every range that is left: the second digit."""
+    start, count, anchor, context, _ = _ranges_of(texts, twice, length)
     owner = np.searchsorted(texts.at, start, "right") - 1
-    own = start - texts.at[owner]
-    late = E.not_earliest(key, texts.doc[owner], texts.fp[owner], own, within=True)
-    single = several.has(anchor) & ~late
-    whole = ~single & ~late
-    keys, starts, routes, counts, at = [key[whole]], [start[whole]], [anchor[whole]], [count[whole]], 0
-    for s, e, of_tile, *_ in found:
-        pick = at + np.flatnonzero(single[at : at + len(of_tile)])
-        at += len(of_tile)
+    return mix(context + anchor), owner, start - texts.at[owner], count, mix(anchor)
+
+
+def _suffix_records(texts: E.Texts, twice: E.Bitmap, several: E.Bitmap, firsts: np.ndarray, bits: int, length: int):
+    """The same of every suffix that is left: in ranges whose anchor has several contexts, and of those in the first of its context."""
+    start, count, anchor, _, tiles = _ranges_of(texts, twice, length)
+    owner = np.searchsorted(texts.at, start, "right") - 1
+    place = E.span_places(texts.doc[owner], texts.fp[owner], start - texts.at[owner], bits)
+    single = several.has(anchor) & ((firsts[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0)
+    keys, starts, routes, at = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, U64)], 0
+    for s, e, n_ranges in tiles:
+        pick = at + np.flatnonzero(single[at : at + n_ranges])
+        at += n_ranges
         if len(pick):
             n = count[pick]
             begin = np.repeat(start[pick], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             keys.append(spans_hash(prefix(byte_values(texts.data[s:e])), begin - s, begin - s + length))
             starts.append(begin)
-            counts.append(np.ones(len(begin), np.int64))
             routes.append(np.repeat(anchor[pick], n))
     begin = np.concatenate(starts)
     of = np.searchsorted(texts.at, begin, "right") - 1
-    return np.concatenate(keys), of, begin - texts.at[of], np.concatenate(counts), mix(np.concatenate(routes)), (owner[late], own[late], count[late])
+    return np.concatenate(keys), of, begin - texts.at[of], np.ones(len(begin), np.int64), mix(np.concatenate(routes))
 
 
 def _bitmaps(shared, bits: int) -> tuple[E.Bitmap, E.Bitmap]:
@@ -188,13 +195,25 @@ def late_suffixes(docs: DataFrame, length: int = LENGTH, bits: int = BITS) -> Da
     shared = docs.sparkSession.sparkContext.broadcast(first_pass(docs, length, bits))
     buckets = parts(docs, 8 << 20)
 
-    def records(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ranges(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in E.batches(rows, 16 << 20):
+            texts = E.Texts(batch)
+            yield E.packed(texts, *_range_records(texts, _bitmaps(shared, bits)[0], length), buckets, True)
+
+    settled = stored(E.late_rows(docs.mapInArrow(ranges, E.PACKED), buckets, True, firsts=True), "ranges")
+    free_shuffles(docs.sparkSession)
+    firsts = docs.sparkSession.sparkContext.broadcast(E.first_bitmap(settled, bits))
+
+    def suffixes(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in E.batches(rows, 6 << 20):
             texts = E.Texts(batch)
-            key, owner, start, count, route, known = _records_of(texts, *_bitmaps(shared, bits), length)
-            yield E.packed(texts, key, owner, start, count, route, buckets, True, known)
+            yield E.packed(texts, *_suffix_records(texts, *_bitmaps(shared, bits), firsts.value, bits, length), buckets, True)
 
-    return stored(E.settle(docs.mapInArrow(records, E.PACKED), buckets, within=True), "late")
+    rest = E.late_rows(docs.mapInArrow(suffixes, E.PACKED), buckets, True)
+    late = stored(E.gathered(settled.where("not first").drop("first").unionAll(rest)), "late")
+    del rest
+    free_shuffles(docs.sparkSession)
+    return late
 
 
 def _kept(data: bytes, late, length: int) -> tuple[bytes, int, int]:
