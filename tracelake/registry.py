@@ -155,6 +155,7 @@ _CELLS = "(select plugin, skill, count(*) as invocations, count(distinct actor_e
 register("q_skill_totals", "skills", "select count(*) as invocations, count(distinct skill) as skills, count(distinct actor_email) as people, count(distinct session_ref) as sessions, count(*) filter (where outcome = 'failed') as failed, count(*) filter (where trigger = 'user') as by_user, count(*) filter (where trust = 'device' and origin = 'derived') as proven from skills")(skills.totals)
 register("q_skill_by_bucket", "skills", "select cast(date_trunc('month', occurred_at) as date) as bucket, platform, count(*) as invocations, count(distinct actor_email) as people from skills group by 1, 2 having count(distinct actor_email) >= 3")(lambda r: skills.by_bucket(r, "month", False))
 register("q_skill_by_lineage", "skills", f"select {_FOLD.format('plugin')}, {_FOLD.format('skill')}, cast(sum(invocations) as bigint) as invocations, cast(sum(people) as bigint) as people, max(case when people >= 3 then last_used end) as last_used from {_CELLS.format('occurred_at < timestamp ' + repr('1994-01-01 00:00:00'))} group by 1, 2")(lambda r: skills.by_lineage(r.where("occurred_at < timestamp_ntz '1994-01-01 00:00:00'")))
+register("q_skill_by_lineage_all", "skills", f"select {_FOLD.format('plugin')}, {_FOLD.format('skill')}, cast(sum(invocations) as bigint) as invocations, cast(sum(people) as bigint) as people, max(case when people >= 3 then last_used end) as last_used from {_CELLS.format('true')} group by 1, 2")(skills.by_lineage)
 register("q_skill_by_lineage_prefix", "skills", f"select plugin, skill, invocations, people, last_used from {_CELLS.format('starts_with(skill, ' + repr('skill1') + ')')}")(lambda r: skills.by_lineage(r, "skill1", True))
 register("q_skill_by_platform", "skills", f"select {_FOLD.format('platform')}, {_FOLD.format('origin')}, {_FOLD.format('trust')}, cast(sum(invocations) as bigint) as invocations, cast(sum(people) as bigint) as people from (select platform, origin, trust, count(*) as invocations, count(distinct actor_email) as people from skills group by 1, 2, 3) group by 1, 2, 3")(skills.by_platform)
 register("q_skill_by_person", "skills", """select actor_email, cast(sum(n) as bigint) as invocations, count(*) as skills, max(case when rn = 1 then skill end) as top_skill, any_value(platforms) as platforms from (select *, row_number() over (partition by actor_email order by n desc, skill) as rn, (select string_agg(distinct platform, ',' order by platform) from skills k where k.actor_email = c.actor_email) as platforms from (select actor_email, skill, count(*) as n from skills group by 1, 2) c) group by 1""")(skills.by_person)
