@@ -15,9 +15,16 @@ def small(spark, tmp_path):
     rows = [(i, 1, part, person, "O", "A", 30.0, datetime(1996, 1, day)) for i, (part, person, day) in enumerate(USED)]
     schema = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_linestatus string, l_returnflag string, l_quantity double, l_shipdate timestamp_ntz"
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "lineitem.parquet"))
+    parts = [(i, brand, 20, 1.0) for i, brand in enumerate(["b", "a", "c", "a"], 1)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
     return str(tmp_path)
 
 
 def test_small_cells_are_folded(spark, small):
     got = {tuple(r) for r in registry.QUERIES["q_skill_by_lineage_all"](spark, small).select("plugin", "skill", "invocations", "people", "last_used").collect()}
     assert got == {("plugin1", "skill1", 3, 3, datetime(1996, 1, 7)), ("other", "other", 4, 3, None)}
+
+
+def test_last_use_of_small_groups_is_hidden(spark, small):
+    got = {tuple(r) for r in registry.QUERIES["q_skill_last_used_all"](spark, small).select("entry_id", "last_used", "people").collect()}
+    assert got == {(1, datetime(1996, 1, 7), 3), (2, None, 2), (3, None, 1), (4, None, 0)}
