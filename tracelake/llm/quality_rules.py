@@ -11,8 +11,9 @@ The estimate covers all rows in bounded memory: rows are first summed up on a
 lattice of the vector space (count, sums and cross products of each cell: exact
 moments, map-side combined), and the concentration steps order cells, not rows.
 A source that holds a third of all rows is no larger than its cells, of which
-there are at most LEVELS ** 7 and some thousands in practice.  A group of fewer
-than `least` rows takes the estimate of its language, or of all rows.
+there are at most LEVELS ** 7 and some thousands in practice.  A group in which
+fewer than `least` rows pass the plain limits (five for each dimension) takes
+the estimate of its language, and if that has fewer too, the one of all rows.
 
 Defined cases.  Null or empty text: no words, rejected by the plain limits.
 Null language or source: a group of their own.  A statistic that hardly varies
@@ -36,11 +37,12 @@ from .kernels import U64, WHITE, Words, covered, hash_spans, mix, rolling, text_
 from .runtime import stored
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
-SHARE, TAIL, LEAST, LEVELS = 0.75, 1 - 1e-7, 300, 32
+SHARE, TAIL, LEVELS = 0.75, 1 - 1e-7, 32
 #: Of each transformed statistic: lattice step and least standard deviation.
 STEPS = np.array([0.4, 0.1, 0.5, 0.5, 0.5, 0.4, 0.4])
 FLOORS = np.array([0.6, 0.15, 0.5, 0.5, 0.5, 0.4, 0.4])
 D = len(STEPS)
+LEAST = 5 * D
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals", "n_marks")
 
 _SYMBOL, _CAPITAL, _MARK = (np.zeros(256, bool) for _ in range(3))
