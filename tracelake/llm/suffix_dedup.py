@@ -1,17 +1,18 @@
-"""Removal of byte strings of `length` bytes that start earlier too (depth-limited radix sort of suffixes).
+"""Removal of byte strings of `length` bytes that start earlier too (minimiser ranges, grouped by hashes).
 
 Suffixes are only told apart by their first `length` bytes; groups that are
-still equal then are exactly the repeated strings.  The digits of the radix
-passes, most significant first, are
+still equal then are the repeated strings, up to collisions of 64-bit hashes.
+This stands in for a depth-limited radix sort: no suffix is ordered and no digit
+of its bytes is passed over, as only equality counts.  The passes group by
 
 1. the anchor: the least hash among the suffix's byte runs of half the length
    that lie in its first `length` bytes (rightmost of equal ones).  Neighbouring
    suffixes share an anchor, so they move as one range.  A suffix whose anchor
-   occurs once in the corpus is alone in its group and leaves the sort.
-2. the context: all bytes of the range.  A range with the context of an earlier
-   one is settled as a whole.
-3. the `length` bytes of each suffix, for the ranges that are left: the first of
-   each context, where the anchor has several contexts.
+   occurs once in the corpus is alone in its group and leaves the passes.
+2. the context: a hash of all bytes of the range.  A range with the context of
+   an earlier one is settled as a whole.
+3. one hash of the `length` bytes of each suffix, for the ranges that are left:
+   the first of each context, where the anchor has several contexts.
 
 The first pass counts anchors and contexts per hash bucket into two bitmaps of
 fixed size, the second marks the first range of each context in a third; all
