@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tracelake.llm import quality_rules
+from tracelake.llm import jaccard_join, quality_rules
 
 
 def test_group_is_judged_by_its_own_estimate(spark):
@@ -17,3 +17,15 @@ def test_group_is_judged_by_its_own_estimate(spark):
     both = found(docs)
     assert len(alone) == 60 and None not in alone.values()
     assert {d: both[d] for d in alone} == pytest.approx(alone)
+
+
+def test_groups_with_a_null_id_leave_one_row(spark):
+    say = lambda k: " ".join(f"{k}x{i}" for i in range(200))
+    rows = [(i, say("a")) for i in range(20)] + [(None, say("a"))] * 2  # copies
+    rows += [(None, f"{say('b')} one"), (None, f"{say('b')} two"), (50, say("b"))]  # near copies, two without id
+    rows += [(60, say("c")), (61, say("c"))]
+    rows += [(60, f"{say('d')} one"), (60, f"{say('d')} two"), (59, say("d"))]  # an id with texts of two groups
+    rows += [(None, None), (70, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["text"] or "-").split("x")[0], r["doc_id"] or 0) for r in jaccard_join.deduplicated(docs).collect())
+    assert got == [("-", 0), ("-", 70), ("a", 0), ("b", 0), ("c", 60), ("d", 59)]

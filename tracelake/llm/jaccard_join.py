@@ -345,14 +345,14 @@ def _links(table: pa.Table, numerator: int, denominator: int) -> pa.Table:
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc (id, null as the smallest), sid and n_shingles of every row."""
+    """doc (id, null as the smallest), fp (a fingerprint of the text), sid and n_shingles of every row."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
             h, first = shingle_sets(batch.column("text"), n)
-            yield pa.RecordBatch.from_arrays([pa.array(ids(batch.column("doc_id"))), pa.array(set_ids(h, first)), pa.array(np.diff(first))], names=["doc", "sid", "n_shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids(batch.column("doc_id"))), batch.column("fp"), pa.array(set_ids(h, first)), pa.array(np.diff(first))], names=["doc", "fp", "sid", "n_shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc long, sid long, n_shingles long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("fp")).mapInArrow(run, "doc long, fp long, sid long, n_shingles long")
 
 
 def links(docs: DataFrame, sets: DataFrame, n: int, numerator: int, denominator: int, bound: int) -> DataFrame:
@@ -415,15 +415,20 @@ def links(docs: DataFrame, sets: DataFrame, n: int, numerator: int, denominator:
     return components(verified)
 
 
-def joined(docs: DataFrame, n: int = N, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, bound: int = BOUND) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def _grouped(docs: DataFrame, n: int, numerator: int, denominator: int, bound: int) -> DataFrame:
+    """doc, fp, sid, n_shingles, and root and component (its smallest doc; both null without words) of every row."""
     sets = stored(_sets(docs, n), "sets")
     found = stored(links(docs, sets, n, numerator, denominator, bound), "links")
     least = sets.where("n_shingles > 0").groupBy("sid").agg(F.min("doc").alias("doc"))
     rooted = least.join(found, least["sid"] == found["node"], "left").select("sid", "doc", F.coalesce("root", "sid").alias("root"))
     first = rooted.groupBy("root").agg(F.min("doc").alias("component"))
-    component = rooted.join(first, "root").select(F.col("sid").alias("s"), "component")
-    out = sets.join(component, sets["sid"] == F.col("s"), "left")
+    component = rooted.join(first, "root").select(F.col("sid").alias("s"), "root", "component")
+    return sets.join(component, sets["sid"] == F.col("s"), "left").drop("s")
+
+
+def joined(docs: DataFrame, n: int = N, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, bound: int = BOUND) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    out = _grouped(docs, n, numerator, denominator, bound)
     real = lambda c: F.when(c != _NULL, c)
     return out.select(real(F.col("doc")).alias("doc_id"), "n_shingles", real(F.coalesce("component", "doc")).alias("component_id"))
 
@@ -431,8 +436,10 @@ def joined(docs: DataFrame, n: int = N, numerator: int = NUMERATOR, denominator:
 def deduplicated(docs: DataFrame, n: int = 5, numerator: int = 80, denominator: int = 100, bound: int = BOUND) -> DataFrame:
     """One document of each component, the one with the smallest id, and all without words; all columns.
 
-    Rows that repeat that id are kept with it if they are the same text only once.
+    Of several texts with that id (or null) the one with the least fingerprint is kept, and of equal rows one.
     """
-    groups = joined(docs, n, numerator, denominator, bound).where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("_kept")).distinct()
+    first = _grouped(docs, n, numerator, denominator, bound).where("component is null or doc = component")
+    first = first.groupBy("root", "doc", F.when(F.col("root").isNull(), F.col("fp"))).agg(F.min("fp").alias("_fp")).select(F.col("doc").alias("_doc"), "_fp").distinct()
     rows = docs.dropDuplicates(["doc_id", "text"])
-    return rows.join(groups, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)) == F.col("_doc")) & (F.xxhash64("text") == F.col("_fp"))
+    return rows.join(first, same, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
