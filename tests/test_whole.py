@@ -5,14 +5,20 @@ from datetime import datetime
 import pytest
 
 from tracelake import registry
+from tracelake.operators import skills
 
-#: skill1 has three people, skill2 two, skill3 one; nobody used skill4.
+#: skill1 has three people, skill2 two, skill3 one; nobody used skill4; the catalog does not have skill5.
 USED = [(1, 1, 5), (1, 2, 7), (1, 3, 6), (2, 1, 9), (2, 2, 8), (3, 1, 3), (3, 1, 4)]
+UNKNOWN = [(5, 1, 2), (5, 4, 9)]
 
 
 @pytest.fixture
 def small(spark, tmp_path):
-    rows = [(i, 1, part, person, "O", "A", 30.0, datetime(1996, 1, day)) for i, (part, person, day) in enumerate(USED)]
+    return tables(spark, tmp_path, USED)
+
+
+def tables(spark, tmp_path, used):
+    rows = [(i, 1, part, person, "O", "A", 30.0, datetime(1996, 1, day)) for i, (part, person, day) in enumerate(used)]
     schema = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_linestatus string, l_returnflag string, l_quantity double, l_shipdate timestamp_ntz"
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "lineitem.parquet"))
     parts = [(i, brand, 20, 1.0) for i, brand in enumerate(["b", "a", "c", "a"], 1)]
@@ -28,3 +34,18 @@ def test_small_cells_are_folded(spark, small):
 def test_last_use_of_small_groups_is_hidden(spark, small):
     got = {tuple(r) for r in registry.QUERIES["q_skill_last_used_all"](spark, small).select("entry_id", "last_used", "people").collect()}
     assert got == {(1, datetime(1996, 1, 7), 3), (2, None, 2), (3, None, 1), (4, None, 0)}
+
+
+def test_names_are_looked_up_in_the_whole_catalog(spark, tmp_path):
+    folder = tables(spark, tmp_path, USED + UNKNOWN)
+    got = {tuple(r) for r in registry.QUERIES["q_skill_catalog_copy_all"](spark, folder).select("plugin", "skill", "source_repo", "entry_id").collect()}
+    assert got == {("plugin1", "skill1", "b", 1), ("plugin2", "skill2", "a", 2), ("plugin3", "skill3", "c", 3), ("plugin5", "skill5", None, None)}
+    got = {tuple(r) for r in registry.QUERIES["q_skill_unknown_all"](spark, folder).select("plugin", "skill", "invocations", "first_seen", "last_seen", "suggestion").collect()}
+    assert got == {("plugin5", "skill5", 2, datetime(1996, 1, 2), datetime(1996, 1, 9), None)}
+
+
+def test_other_plugins_entries_are_copies_and_suggestions(spark):
+    used = spark.createDataFrame([("p", "x", datetime(1996, 1, 1)), ("q", "x", datetime(1996, 1, 2))], "plugin string, skill string, occurred_at timestamp_ntz")
+    entries = spark.createDataFrame([(1, "z", "p", "x"), (2, "b", "r", "x"), (3, "a", "s", "x")], "entry_id long, source_repo string, plugin string, skill string")
+    assert {tuple(r) for r in skills.with_catalog(used, entries).collect()} == {("p", "x", "z", 1), ("q", "x", "a", 3)}
+    assert [tuple(r) for r in skills.unknown(used, entries, entries).select("plugin", "skill", "invocations", "suggestion").collect()] == [("q", "x", 1, "s")]

@@ -161,12 +161,14 @@ register("q_skill_by_platform", "skills", f"select {_FOLD.format('platform')}, {
 register("q_skill_by_person", "skills", """select actor_email, cast(sum(n) as bigint) as invocations, count(*) as skills, max(case when rn = 1 then skill end) as top_skill, any_value(platforms) as platforms from (select *, row_number() over (partition by actor_email order by n desc, skill) as rn, (select string_agg(distinct platform, ',' order by platform) from skills k where k.actor_email = c.actor_email) as platforms from (select actor_email, skill, count(*) as n from skills group by 1, 2) c) group by 1""")(skills.by_person)
 register("q_skill_by_repo", "skills", "select repo, count(*) as invocations, count(distinct skill) as skills from skills group by 1 order by 2 desc, 1 limit 500")(skills.by_repo)
 register("q_skill_catalog_copy", "skills catalog", "select plugin, skill, source_repo, entry_id from (select n.plugin, n.skill, c.source_repo, c.entry_id, row_number() over (partition by n.plugin, n.skill order by case when c.plugin = n.plugin then 0 else 1 end, c.source_repo nulls last, c.entry_id) as rn from (select distinct plugin, skill from skills) n left join (select * from catalog where entry_id % 3 <> 0) c on c.skill = n.skill) where rn = 1")(lambda r, c: skills.with_catalog(r, c.where("entry_id % 3 <> 0")))
+register("q_skill_catalog_copy_all", "skills catalog", "select plugin, skill, source_repo, entry_id from (select n.plugin, n.skill, c.source_repo, c.entry_id, row_number() over (partition by n.plugin, n.skill order by case when c.plugin = n.plugin then 0 else 1 end, c.source_repo nulls last, c.entry_id) as rn from (select distinct plugin, skill from skills) n left join catalog c on c.skill = n.skill) where rn = 1")(skills.with_catalog)
 register("q_skill_last_used", "skills catalog", "select c.entry_id, case when u.people >= 3 then u.last_used end as last_used, coalesce(u.people, 0) as people from catalog c left join (select plugin, skill, max(occurred_at) as last_used, count(distinct actor_email) as people from skills where occurred_at < timestamp '1994-01-01 00:00:00' group by 1, 2) u on u.plugin = c.plugin and u.skill = c.skill")(lambda r, c: skills.last_used(r.where("occurred_at < timestamp_ntz '1994-01-01 00:00:00'"), c).select("entry_id", "last_used", "people"))
 register("q_skill_last_used_all", "skills catalog", "select c.entry_id, case when u.people >= 3 then u.last_used end as last_used, coalesce(u.people, 0) as people from catalog c left join (select plugin, skill, max(occurred_at) as last_used, count(distinct actor_email) as people from skills group by 1, 2) u on u.plugin = c.plugin and u.skill = c.skill")(lambda r, c: skills.last_used(r, c).select("entry_id", "last_used", "people"))
 _UNUSED = "not exists (select 1 from skills s where s.plugin = c.plugin and s.skill = c.skill and s.occurred_at >= timestamp '2001-06-01 00:00:00')"
 register("q_skill_unused", "skills catalog", f"select entry_id, plugin, skill from catalog c where {_UNUSED}")(lambda r, c: skills.unused(r, c, "2001-06-01 00:00:00").select("entry_id", "plugin", "skill"))
 register("q_skill_pruning", "skills catalog", f"select entry_id, plugin, skill, case when age_days < 5 then 'too_new' when not installable then 'not_installable' else 'archive' end as verdict, case when age_days >= 5 and installable then 'archive_pr' else 'flag_only' end as action from catalog c where {_UNUSED}")(lambda r, c: skills.pruning(r, c, "2001-06-01 00:00:00"))
 register("q_skill_unknown", "skills catalog", "select s.plugin, s.skill, count(*) as invocations, min(s.occurred_at) as first_seen, max(s.occurred_at) as last_seen, any_value((select min_by(c.plugin, c.source_repo || lpad(cast(c.entry_id as varchar), 12, '0')) from catalog c where c.skill = s.skill)) as suggestion from skills s where not exists (select 1 from catalog c where c.entry_id % 4 <> 0 and c.plugin = s.plugin and c.skill = s.skill) group by 1, 2")(lambda r, c: skills.unknown(r, c.where("entry_id % 4 <> 0"), c))
+register("q_skill_unknown_all", "skills catalog", "select s.plugin, s.skill, count(*) as invocations, min(s.occurred_at) as first_seen, max(s.occurred_at) as last_seen, any_value((select min_by(c.plugin, c.source_repo || lpad(cast(c.entry_id as varchar), 12, '0')) from catalog c where c.skill = s.skill)) as suggestion from skills s where not exists (select 1 from catalog c where c.plugin = s.plugin and c.skill = s.skill) group by 1, 2")(lambda r, c: skills.unknown(r, c, c))
 _RUNS = "(values ('web', date '1997-01-01', date '1997-12-31'), ('cli', date '1997-06-01', date '1998-05-31'), ('web', date '1997-12-01', date '1998-01-31')) as t(platform, first_day, last_day)"
 register("q_skill_compliance", "skills", f"""select day, platform, beacon, case when covered then reconciler end as reconciler, case when covered and reconciler > 0 then round(least(1.0, beacon / reconciler), 6) end as share from
  (select *, exists (select 1 from {_RUNS} where t.platform = c.platform and c.day between first_day and last_day) as covered from (select cast(occurred_at as date) as day, platform, count(*) filter (where origin = 'api') as beacon, count(*) filter (where origin = 'derived') as reconciler from skills group by 1, 2) c)""")(
