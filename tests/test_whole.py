@@ -1,11 +1,15 @@
 """Registered queries over small tables that hold the cases the driver's tables lack."""
 
+import json
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
+from tests.conftest import SMALL
 from tracelake import registry
-from tracelake.operators import skills
+from tracelake.operators import activity, skills
+from tracelake.plans import export
 
 #: skill1 has three people, skill2 two, skill3 one; nobody used skill4; the catalog does not have skill5.
 USED = [(1, 1, 5), (1, 2, 7), (1, 3, 6), (2, 1, 9), (2, 2, 8), (3, 1, 3), (3, 1, 4)]
@@ -49,3 +53,25 @@ def test_other_plugins_entries_are_copies_and_suggestions(spark):
     entries = spark.createDataFrame([(1, "z", "p", "x"), (2, "b", "r", "x"), (3, "a", "s", "x")], "entry_id long, source_repo string, plugin string, skill string")
     assert {tuple(r) for r in skills.with_catalog(used, entries).collect()} == {("p", "x", "z", 1), ("q", "x", "a", 3)}
     assert [tuple(r) for r in skills.unknown(used, entries, entries).select("plugin", "skill", "invocations", "suggestion").collect()] == [("q", "x", 1, "s")]
+
+
+def test_bundle_holds_every_turn(spark):
+    got = registry.QUERIES["q_bundle_turns"](spark, SMALL).collect()
+    events = sorted(spark.read.parquet(f"{SMALL}/events.parquet").select("user_id", "ts", "event_id", "event_type").collect(), key=lambda r: (r["ts"], r["event_id"]))
+    turns, at = set(), {}
+    for r in events:
+        session = f"s{r['user_id']}-{r['ts']:%Y-%m-%d}"
+        at[session] = at.get(session, 0) + (r["event_type"] == "signup")
+        turns.add((session, at[session]))
+    lines = [(r["session_id"], r["k2"]) for r in got if r["part"] == 1]
+    assert len(lines) == len(turns) and set(lines) == turns
+    assert [r["part"] for r in got if r["session_id"] == lines[0][0]] == sorted(r["part"] for r in got if r["session_id"] == lines[0][0])
+
+
+def test_turn_lines_of_a_bundle(spark):
+    messages = spark.createDataFrame([("s", 1, "user", 10), ("s", 2, "assistant", 11), ("s", 3, "user", 12)], "session_id string, seq long, role string, event_id long")
+    session = spark.createDataFrame([("s", 3)], "session_id string, n_events long")
+    events = messages.select("session_id", F.col("event_id").alias("occurred_at"), "seq", F.lit("tool_call").alias("type"))
+    rows = export.bundle(session, activity.interval_turns(messages), events).collect()
+    assert [r["part"] for r in rows] == [0, 1, 1, 2, 2, 2]
+    assert [json.loads(r["line"]) for r in rows if r["part"] == 1] == [{"session_id": "s", "turn_index": 1, "messages": 2, "answers": 1, "final_event_id": 11}, {"session_id": "s", "turn_index": 2, "messages": 1, "answers": 0}]

@@ -224,6 +224,10 @@ register("q_anonymise", "skills", "select id, case when session_ref % 3 <> 0 the
 register("q_bundle", "sessions events_c", "select session_id, 0 as part, session_id as k1, n_events as k2 from sessions union all select session_id, 2, cast(id as varchar), seq from events_c where type not in ('compaction', 'system_reminder')")(
     lambda s, e: export.bundle(s, s.select("session_id", F.lit(0).alias("turn_index")).where("false"), e.withColumn("occurred_at", F.col("id"))).select("session_id", "part", "k1", "k2")
 )
+register("q_bundle_turns", "sessions events_c", """select session_id, 0 as part, session_id as k1, n_events as k2 from sessions union all select session_id, 2, cast(id as varchar), seq from events_c where type not in ('compaction', 'system_reminder')
+ union all select distinct session_id, 1, session_id, turn_index from (select session_id, cast(sum(case when type = 'user_prompt' then 1 else 0 end) over (partition by session_id order by seq) as bigint) as turn_index from events_c)""")(
+    lambda s, e: export.bundle(s, activity.interval_turns(e.withColumns({"role": F.expr("case type when 'user_prompt' then 'user' when 'assistant_turn' then 'assistant' end"), "event_id": F.col("id")})), e.withColumn("occurred_at", F.col("id"))).select("session_id", "part", "k1", "k2")
+)
 register("q_vendor_sessions", "messages", "select session_id, count(*) filter (where role = 'user') as prompts, count(*) filter (where role = 'assistant') as answers, min_by(text, seq) filter (where role = 'user') as first_prompt from messages group by 1")(
     lambda m: records.vendor_sessions(m.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("role").alias("type"), F.col("text").alias("message"), "event_id"))).alias("messages")))
 )
