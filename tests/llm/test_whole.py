@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from tracelake.llm import jaccard_join, quality_rules
+from tests.llm import brute
+from tracelake.llm import decontamination, jaccard_join, quality_rules
 
 
 def test_group_is_judged_by_its_own_estimate(spark):
@@ -29,3 +30,17 @@ def test_groups_with_a_null_id_leave_one_row(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r["text"] or "-").split("x")[0], r["doc_id"] or 0) for r in jaccard_join.deduplicated(docs).collect())
     assert got == [("-", 0), ("-", 70), ("a", 0), ("b", 0), ("c", 60), ("d", 59)]
+
+
+@pytest.mark.parametrize("bound", [50_000, 0])
+def test_every_document_is_reported(spark, bound):
+    say = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    items = [(1, say("a", 12)), (2, say("b", 10)), (3, "z")]
+    rows = [(1, f"x {say('a', 12)} z")] * 3  # repeated, with many hits
+    rows += [(2, f"{say('a', 10)} y"), (2, f"y {say('b', 10)}"), (2, say("c", 11))]  # one id, other texts of 11 words
+    rows += [(None, say("b", 10)), (None, say("c", 10)), (None, None), (None, None), (3, ""), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = [tuple(r) for r in decontamination.report(docs, benchmark, set_bound=bound).collect()]
+    want = [(d, *brute.contaminated([(0, t)], items)[0]) for d, t in rows]
+    assert sorted(got, key=str) == sorted(want, key=str)

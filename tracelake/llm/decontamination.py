@@ -13,9 +13,9 @@ With more benchmark windows every text window becomes a row and one join, a
 shuffle unless Spark proves the benchmark small, does both.
 
 Defined cases.  Null text or item: no words.  Empty benchmark: nothing is hit.
-Items with equal windows all count.  Documents that share a doc_id and a number
-of words give one row; repeated rows too.  Null doc_id is kept.  Extra columns
-do not matter in `report`, and stay in `remove`.
+Items with equal windows all count.  Every document gives one row, also repeated
+rows and other texts of one doc_id (told apart by a 64-bit hash).  Null doc_id is
+kept.  Extra columns do not matter in `report`, and stay in `remove`.
 """
 
 from __future__ import annotations
@@ -73,7 +73,10 @@ def benchmark_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
 
 
 def _hits(docs: DataFrame, windows: DataFrame, n: int, set_bound: int, key: list) -> DataFrame:
-    """One row per text window that may be a benchmark window (key columns, n_words, len, p, win), and at least one per text (null p)."""
+    """One row per text window that may be a benchmark window (key columns, n_words, pos, len, p, win), and at least one per text (null p).
+
+    Every text has one row with pos 0 or null, its first.
+    """
     sizes = windows.groupBy("len").agg(F.count("*").alias("n")).collect()  # at most n rows
     lengths = sorted(r["len"] for r in sizes)
     texts = docs.select(*key, _words().alias("words")).withColumn("n_words", F.size("words").cast("long"))
@@ -93,11 +96,11 @@ def _hits(docs: DataFrame, windows: DataFrame, n: int, set_bound: int, key: list
     else:
         texts = texts.withColumn("found", F.expr(none))
     names = [c for c in texts.columns if c not in {"words", "found", *(f"h{i}" for i in range(1, n + 1))}]
-    return texts.select(*names, F.explode_outer("found").alias("f")).select(*names, "f.len", "f.p", "f.win")
+    return texts.select(*names, F.posexplode_outer("found").alias("pos", "f")).select(*names, "pos", "f.len", "f.p", "f.win")
 
 
 def _verified(docs: DataFrame, benchmark: DataFrame, n: int, set_bound: int, key: list, names: list[str]) -> DataFrame:
-    """Per text: its key, n_words, hit (word places from 1, each once) and items (ids as strings, sorted)."""
+    """Per key: n_words, hit (word places from 1, each once), items (ids as strings, sorted) and copies (rows with that key)."""
     windows = benchmark_windows(benchmark, n)
     rows = _hits(docs, windows, n, set_bound, key)
     joined = rows.join(windows.select("len", "win", "items"), ["len", "win"], "left")
@@ -105,13 +108,15 @@ def _verified(docs: DataFrame, benchmark: DataFrame, n: int, set_bound: int, key
     spans = joined.groupBy(*names, "n_words").agg(
         F.collect_set(F.when(F.col("items").isNotNull(), F.struct("p", "len"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+        F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("copies"),
     )
     return spans.withColumn("hit", F.expr("array_distinct(flatten(transform(spans, s -> sequence(s.p, s.p + s.len - 1))))")).drop("spans")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = N, set_bound: int = SET_BOUND) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
-    found = _verified(docs, benchmark, n, set_bound, ["doc_id"], ["doc_id"])
+    found = _verified(docs, benchmark, n, set_bound, ["doc_id", F.xxhash64("text").alias("_text")], ["doc_id", "_text"])
+    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return found.select(
         "doc_id",
         "n_words",
