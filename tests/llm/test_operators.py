@@ -73,12 +73,39 @@ def test_suffixes(request, table):
     assert sum(r["end"] - r["start"] for r in spans) == sum(v[1] for v in want.values())
 
 
-def test_suffixes_with_full_bitmaps(hard):
+def test_substrings_with_full_bitmap(hard):
     rows, df = hard
-    assert by_id(suffix_dedup.digests(df, bits=16)) == brute.suffixes(rows)
     assert by_id(substring_dedup.digests(df, bits=16)) == brute.substrings(rows)
 
 
+def test_suffixes_of_hot_anchors_travel_one_by_one(hard):
+    rows, df = hard
+    assert len(suffix_dedup.hot_anchors(df, hot=1))
+    assert by_id(suffix_dedup.digests(df, hot=1)) == brute.suffixes(rows)
+
+
+@pytest.mark.parametrize("length", [16, 40, 100, 333])
+def test_bucket_sort(length, monkeypatch):
+    """The passes over one bucket of ranges, a few suffixes at a time, against all suffixes in a dictionary."""
+    monkeypatch.setattr(suffix_dedup, "_SUFFIXES", 500)
+    rng = random.Random(length)
+    passage = "".join(rng.choice("ab c") for _ in range(900))
+    texts_ = ["".join(rng.choice("ab c") for _ in range(300)) + passage[rng.randrange(200) :] + "".join(rng.choice("abc") for _ in range(60)) for _ in range(8)] + ["z" * 700, "yz" * 400, passage, passage]
+    data, at = kernels.text_buffer(pa.array(texts_))
+    start, count, place, _, _ = suffix_dedup._all_ranges(data, at, length)
+    owner = np.searchsorted(at, start, "right") - 1
+    size = count - 1 + length
+    body = np.concatenate([data[s : s + n] for s, n in zip(start, size, strict=True)])
+    which, step, n = suffix_dedup.sort_bucket(owner, np.zeros(len(owner), np.int64), start - at[owner], count, place.astype(np.uint16), body, length)
+    got = {(int(owner[r]), int(start[r] - at[owner[r]]) + s + k) for r, s, m in zip(which, step, n, strict=True) for k in range(m)}
+    seen, want = set(), set()
+    for i, t in enumerate(texts_):
+        for s in range(len(t) - length + 1):
+            want |= {(i, s)} if t[s : s + length] in seen else set()
+            seen.add(t[s : s + length])
+    assert got == want
+
+
 def test_long_texts_are_tiled(spark, monkeypatch):
     rng = random.Random(1)
     long = "".join(rng.choice("abcdefg ") for _ in range(9000))

@@ -21,7 +21,6 @@ from .kernels import U64, binary, fingerprints, ids, text_buffer
 
 PACKED = "bucket int, settled boolean, doc binary, fp binary, key binary, owner binary, start binary, length binary, times binary"
 FOUND = "doc long, fp long, start binary, length binary"
-FIRST = FOUND + ", first boolean"
 
 
 class Texts:
@@ -141,20 +140,15 @@ def _unpack(table: pa.Table):
     return doc, fp, start + step * length, length, join(take("key", U64), U64)
 
 
-def found(table: pa.Table, within: bool, firsts: bool = False) -> pa.Table:
-    """The late records of one bucket, by text; with firsts also those that are the earliest of their key."""
+def found(table: pa.Table, within: bool) -> pa.Table:
+    """The late records of one bucket, by text."""
     import pyarrow.compute as pc
 
     settled = table.column("settled")
     d1, f1, s1, l1, _ = _unpack(table.filter(settled))
     d2, f2, s2, l2, key = _unpack(table.filter(pc.invert(settled)))
     late = not_earliest(key, d2, f2, s2, within)
-    out = by_text(np.concatenate([d1, d2[late]]), np.concatenate([f1, f2[late]]), np.concatenate([s1, s2[late]]), np.concatenate([l1, l2[late]]), merge=True)
-    if not firsts:
-        return out
-    rest = by_text(d2[~late], f2[~late], s2[~late], l2[~late], merge=False)
-    flag = pa.array(np.append(np.zeros(len(out), bool), np.ones(len(rest), bool)))
-    return pa.concat_tables([out, rest]).append_column("first", flag)
+    return by_text(np.concatenate([d1, d2[late]]), np.concatenate([f1, f2[late]]), np.concatenate([s1, s2[late]]), np.concatenate([l1, l2[late]]), merge=True)
 
 
 def by_text(doc: np.ndarray, fp: np.ndarray, start: np.ndarray, length: np.ndarray, merge: bool) -> pa.Table:
@@ -172,10 +166,10 @@ def by_text(doc: np.ndarray, fp: np.ndarray, start: np.ndarray, length: np.ndarr
     return pa.table({"doc": doc[first], "fp": fp[first], "start": binary(start.astype(np.uint32), cuts), "length": binary(length.astype(np.uint32), cuts)})
 
 
-def late_rows(records: DataFrame, buckets: int, within: bool, firsts: bool = False) -> DataFrame:
+def late_rows(records: DataFrame, buckets: int, within: bool) -> DataFrame:
     """(doc, fp, starts, lengths) of the records with an earlier equal one, some rows per text."""
     rows = records.repartition(buckets, "bucket").groupBy("bucket")
-    return rows.applyInArrow(lambda table: found(table, within, firsts), FIRST if firsts else FOUND)
+    return rows.applyInArrow(lambda table: found(table, within), FOUND)
 
 
 def gathered(late: DataFrame) -> DataFrame:
@@ -220,23 +214,6 @@ def late_bitmap(late: DataFrame, bits: int) -> np.ndarray:
     return bitmap_of(late.select("doc", "fp"), lambda batch: _late_places(batch.column("doc").to_numpy(), batch.column("fp").to_numpy(), bits), bits)
 
 
-def span_places(doc: np.ndarray, fp: np.ndarray, start: np.ndarray, bits: int) -> np.ndarray:
-    """Places of spans, by text and start."""
-    return place_of(mix_id(mix_id(doc ^ mix_id(fp).view(np.int64)).view(np.int64) ^ start), bits)
-
-
-def first_bitmap(rows: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of fixed size over the records that are the earliest of their key."""
-
-    def places(batch: pa.RecordBatch) -> np.ndarray:
-        start = [np.frombuffer(x, np.uint32) for x in batch.column("start").to_pylist()]
-        n = [len(x) for x in start]
-        doc, fp = (np.repeat(batch.column(c).to_numpy(), n) for c in ("doc", "fp"))
-        return span_places(doc, fp, np.concatenate(start).astype(np.int64) if start else np.zeros(0, np.int64), bits)
-
-    return bitmap_of(rows.where("first").select("doc", "fp", "start"), places, bits)
-
-
 def asks(texts: Texts, bitmap: np.ndarray, bits: int) -> np.ndarray:
     """Texts that may have late records."""
     place = _late_places(texts.doc, texts.fp, bits)
@@ -246,6 +223,12 @@ def asks(texts: Texts, bitmap: np.ndarray, bits: int) -> np.ndarray:
 LATE_BITS = 26
 
 
+def with_late(texts: DataFrame, late: DataFrame) -> DataFrame:
+    """doc_id, text and late (null: none) of every row; texts: doc_id, text, fp."""
+    keyed = texts.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
+    return keyed.join(late, ["doc", "fp"], "left").select("doc_id", "text", "late")
+
+
 def split_by_late(docs: DataFrame, late: DataFrame, measure) -> DataFrame:
     """Per row of docs: doc_id, n and sha of its text where it has no late record; else its text (asked) and them (late).
 

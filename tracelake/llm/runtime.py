@@ -43,16 +43,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def input_size(df: DataFrame, each: int = 8 << 20) -> int:
+    """Bytes of the plan's inputs; one whose size Spark does not know counts as `each` for every shuffle partition."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    unknown = each * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(x if x < 1 << 58 else unknown for x in sizes)
+
+
 def parts(df: DataFrame, each: int, least: int = 32) -> int:
     """A power of two, such that a part gets about so many bytes of the plan's inputs.
 
     It follows the inputs' size, so the work of one part stays the same at any size; it never changes a result.
-    An input whose size Spark does not know counts as one part for each shuffle partition.
     """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    unknown = each * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    estimate = sum(x if x < 1 << 58 else unknown for x in sizes)
+    estimate = input_size(df, each)
     n = least
     while n * each < estimate and n < 1 << 20:
         n *= 2

@@ -1,29 +1,29 @@
-"""Removal of byte strings of `length` bytes that start earlier too (minimiser ranges, grouped by hashes).
-
-Suffixes are only told apart by their first `length` bytes; groups that are
-still equal then are the repeated strings, up to collisions of 64-bit hashes.
-This stands in for a depth-limited radix sort: no suffix is ordered and no digit
-of its bytes is passed over, as only equality counts.  The passes group by
-
-1. the anchor: the least hash among the suffix's byte runs of half the length
-   that lie in its first `length` bytes (rightmost of equal ones).  Neighbouring
-   suffixes share an anchor, so they move as one range.  A suffix whose anchor
-   occurs once in the corpus is alone in its group and leaves the passes.
-2. the context: a hash of all bytes of the range.  A range with the context of
-   an earlier one is settled as a whole.
-3. one hash of the `length` bytes of each suffix, for the ranges that are left:
-   the first of each context, where the anchor has several contexts.
-
-The first pass counts anchors and contexts per hash bucket into two bitmaps of
-fixed size, the second marks the first range of each context in a third; all
-executors get them.  A full bitmap only leaves more suffixes to the later
-passes.  The last two passes look for the earliest of each group (module
-earliest).  No text, group or bucket is collected whole.
+"""Removal of byte strings of `length` bytes that start earlier too (depth-limited radix sort).
+
+Suffixes are ordered by their first `length` bytes only, by passes over leading
+digits; groups that are still equal after the last digit are the repeated
+strings.  All passes compare bytes, never hashes of them.
+
+1. The first digit decides the bucket: a suffix's anchor, the run of `length`/4
+   bytes with the least hash among those that lie in its first `length` bytes
+   (the last of equal ones), and where in the suffix it is.  Equal strings have
+   equal anchors.  Neighbouring suffixes share one, so they travel as one range
+   of bytes.  Equal ranges of one batch of texts travel once.
+2. A bucket takes the anchors' bytes digit by digit (eight bytes each).  Ranges
+   alone with theirs leave.  Equal ranges that are left are settled as a whole.
+3. The suffixes of the ranges that are left, grouped by anchor and place, go
+   through the digits of their `length` bytes; a suffix alone in its group
+   leaves at once.  Of each group that remains, all but the earliest are late.
+
+What is sent follows the size of the input, however much of it repeats.  An
+anchor that would fill a bucket by itself (a passage of a third of all texts)
+is found in a sample of the texts, and its suffixes travel one by one, spread by
+all of their bytes; the sample decides the route only, never the result.
 
 Defined cases.  Null or empty text: no bytes.  Texts shorter than `length` are
 kept.  Null doc_id counts as the smallest id.  Rows of one doc_id but other
-texts are ordered by a fingerprint of the text; repeated rows give equal
-results and don't remove each other.  Extra columns do not matter.
+texts are ordered by a hash of the text; repeated rows give equal results and
+don't remove each other.  Extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -37,34 +37,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import earliest as E
-from .kernels import U64, binary, byte_values, covered, mix, prefix, spans_hash
-from .runtime import free_shuffles, parts, stored
+from .kernels import U64, byte_values, covered, ids, mix, prefix, rolling, spans_hash, text_buffer
+from .runtime import free_shuffles, input_size, parts, stored
 
-LENGTH, BITS = 100, 27
+LENGTH = 100
+HOT = 4 << 20  # bytes of ranges with one anchor, from which its suffixes travel one by one
 _TILE = 1 << 20
+_BATCH = 16 << 20
+_SUFFIXES = 1 << 21  # suffixes that a bucket takes through the digits at a time
 _LOW = U64(0xFFFFFFFF)
+_ROWS = "bucket int, kind int, size long, body binary"
+
+
+def run_of(length: int) -> int:
+    """Bytes of an anchor: whole digits."""
+    return max(8, length // 4 // 8 * 8)
 
 
 class Ranges:
-    """Runs of suffix starts with one anchor, in some tiles of text: their starts, anchors' hashes and contexts."""
+    """Runs of suffix starts with one anchor, in a tile of text: their starts, lengths, the anchor's place in them, its hash and one of all bytes."""
 
-    __slots__ = ("start", "count", "anchor", "context")
+    __slots__ = ("start", "count", "place", "anchor", "context")
 
-    def __init__(self, data: np.ndarray, first: np.ndarray, last: np.ndarray, length: int):
+    def __init__(self, data: np.ndarray, first: np.ndarray, last: np.ndarray, length: int, hot: np.ndarray | None = None):
         """Suffixes start in [first[i], last[i]) of the data, for each text i."""
-        run = length // 2
+        run = run_of(length)
         reach = length - run + 1
-        pre = prefix(byte_values(data))
-        n = len(data) - length + 1
-        keep = covered(max(n, 0), np.minimum(first, max(n, 0)), np.maximum(np.minimum(last, max(n, 0)) - np.minimum(first, max(n, 0)), 0)) if n > 0 else np.zeros(0, bool)
-        starts = np.flatnonzero(keep)
+        n = max(len(data) - length + 1, 0)
+        starts = np.flatnonzero(covered(n, np.minimum(first, n), np.maximum(np.minimum(last, n) - np.minimum(first, n), 0)))
         if not len(starts):
-            self.start = self.count = np.zeros(0, np.int64)
+            self.start = self.count = self.place = np.zeros(0, np.int64)
             self.anchor = self.context = np.zeros(0, U64)
             return
-        at = np.arange(len(data) - run + 1)
-        h = spans_hash(pre, at, at + run)
-        least = (h & ~_LOW) | (_LOW - at.astype(U64))
+        values = byte_values(data)
+        pre = prefix(values)
+        h = rolling(values, run)
+        least = (h & ~_LOW) | (_LOW - np.arange(len(h)).astype(U64))
         step = 1
         while step < reach:
             by = min(step, reach - step)
@@ -73,10 +81,21 @@ class Ranges:
         anchor = (_LOW - (least[starts] & _LOW)).astype(np.int64)
         text = np.searchsorted(first, starts, "right")
         head = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (np.diff(starts) != 1) | (text[1:] != text[:-1])))
-        self.start, self.count = starts[head], np.diff(np.append(head, len(starts)))
-        self.anchor = h[anchor[head]]
-        inside = (anchor[head] - self.start).astype(U64)
-        self.context = mix(spans_hash(pre, self.start, self.start + self.count - 1 + length) ^ (inside * U64(0x9E3779B97F4A7C15)))
+        start, count = starts[head], np.diff(np.append(head, len(starts)))
+        place, key = anchor[head] - start, h[anchor[head]]
+        route = mix(key)
+        if hot is not None and len(hot):  # suffix by suffix, each routed by all its bytes
+            of = np.isin(key, hot)
+            n = count[of]
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            single = np.repeat(start[of], n) + step
+            start, count = np.append(start[~of], single), np.append(count[~of], np.ones(len(single), np.int64))
+            place, key = np.append(place[~of], np.repeat(place[of], n) - step), np.append(key[~of], np.repeat(key[of], n))
+            route = np.append(route[~of], spans_hash(pre, single, single + length))
+            order = np.argsort(start)
+            start, count, place, route = start[order], count[order], place[order], route[order]
+        self.start, self.count, self.place, self.anchor = start, count, place, route
+        self.context = mix(spans_hash(pre, start, start + count - 1 + length) ^ (place.astype(U64) * U64(0x9E3779B97F4A7C15)))
 
 
 def _tiles(at: np.ndarray, length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -96,125 +115,246 @@ def _tiles(at: np.ndarray, length: int) -> Iterator[tuple[int, int, np.ndarray,
             i = j
 
 
-def _anchors(rows: Iterator[pa.RecordBatch], bits_of_bucket: int, length: int) -> Iterator[pa.RecordBatch]:
-    """Per group of texts and bucket: anchor (30 bits) and context (33), each pair once, flagged if found twice."""
-    for batch in E.batches(rows):
-        data, at = E.text_buffer(batch.column("text"))
-        value = [np.zeros(0, U64)]
-        bucket = [np.zeros(0, np.int32)]
-        for s, e, first, last in _tiles(at, length):
-            r = Ranges(data[s:e], first, last, length)
-            bucket.append((r.anchor >> U64(64 - bits_of_bucket)).astype(np.int32))
-            value.append(((r.anchor >> U64(34 - bits_of_bucket)) & U64((1 << 30) - 1)) << U64(34) | (r.context >> U64(31)) << U64(1))
-        value, bucket = np.concatenate(value), np.concatenate(bucket)
-        if not len(value):
+def _all_ranges(data: np.ndarray, at: np.ndarray, length: int, hot: np.ndarray | None = None):
+    """Start (in the buffer), count, place, route and context of every range of the texts."""
+    out: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in (np.int64, np.int64, np.int64, U64, U64)]
+    for s, e, first, last in _tiles(at, length):
+        r = Ranges(data[s:e], first, last, length, hot)
+        for to, x in zip(out, (r.start + s, r.count, r.place, r.anchor, r.context), strict=True):
+            to.append(x)
+    return [np.concatenate(x) for x in out]
+
+
+def _digits(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as a number (a view, of data with at least eight bytes)."""
+    return np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))
+
+
+def _codec() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=3)
+
+
+def _pack(arrays: list[np.ndarray]) -> tuple[int, bytes]:
+    raw = b"".join([np.array([len(a) for a in arrays], np.int64).tobytes(), *[np.ascontiguousarray(a).tobytes() for a in arrays]])
+    return len(raw), _codec().compress(raw, asbytes=True)
+
+
+def _unpack(size: int, body: bytes, kinds: list) -> list[np.ndarray]:
+    raw = _codec().decompress(body, decompressed_size=size, asbytes=True)
+    out, at = [], 8 * len(kinds)
+    for n, kind in zip(np.frombuffer(raw, np.int64, len(kinds)).tolist(), kinds, strict=True):
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    return out
+
+
+def _copies(data: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray, order: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Of spans of the data, those whose bytes an earlier one (in the given order) has too; equal keys are compared byte by byte."""
+    late = np.zeros(len(start), bool)
+    by = np.argsort(key, kind="stable")
+    k = key[by]
+    new = np.append(True, k[1:] != k[:-1]) if len(k) else np.zeros(0, bool)
+    many = by[~(new & np.append(new[1:], True))] if len(k) else by
+    if not len(many):
+        return late
+    many = many[np.lexsort((*[x[many] for x in order], key[many]))]
+    head = np.append(True, key[many][1:] != key[many][:-1])
+    first = many[np.flatnonzero(head)[np.cumsum(head) - 1]]
+    some, first = many[~head], first[~head]
+    same = size[some] == size[first]
+    some, first = some[same], first[same]
+    view, n = _digits(data), -(-size[some] // 8)
+    i = 0
+    while i < len(some):
+        j = max(i + 1, i + int(np.searchsorted(np.cumsum(n[i : i + (1 << 18)]), 1 << 21, "right")))
+        count, s = n[i:j], size[some[i:j]]
+        step = 8 * (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
+        step = np.minimum(step, np.repeat(s, count) - 8)
+        unlike = view[np.repeat(start[some[i:j]], count) + step] != view[np.repeat(start[first[i:j]], count) + step]
+        late[some[i:j]] = np.add.reduceat(unlike, np.cumsum(count) - count) == 0
+        i = j
+    return late
+
+
+def _packed(rows: Iterator[pa.RecordBatch], buckets: int, length: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row per bucket and batch of texts: the ranges that are new in the batch (kind 0), and spans that are late in it (kind 1)."""
+    for batch in E.batches(rows, _BATCH):
+        doc, fp = ids(batch.column("doc_id")), batch.column("fp").to_numpy()
+        _, one = np.unique(np.stack([doc, fp]), axis=1, return_index=True)  # repeated rows are one text
+        batch, doc, fp = batch.take(pa.array(np.sort(one))), doc[np.sort(one)], fp[np.sort(one)]
+        data, at = text_buffer(batch.column("text"))
+        start, count, place, route, context = _all_ranges(data, at, length, hot)
+        if not len(start):
             continue
-        order = np.lexsort((value, bucket))
-        value, bucket = value[order], bucket[order]
-        head = np.flatnonzero(np.append(True, (value[1:] != value[:-1]) | (bucket[1:] != bucket[:-1])))
-        many = np.diff(np.append(head, len(value))) > 1
-        value, bucket = value[head] | many.astype(U64), bucket[head]
-        cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int32()), binary(value, np.append(cut, len(value)))], names=["bucket", "value"])
-
-
-def _slices(table: pa.Table, bits_of_bucket: int, bits: int) -> pa.Table:
-    """The bucket's slices of two bitmaps: anchors found twice, and anchors with several contexts."""
-    value = np.concatenate([np.frombuffer(x, U64) for x in table.column("value").to_pylist()])
-    value.sort()
-    key, context = value >> U64(34), value >> U64(1)
-    head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    twice = (np.diff(np.append(head, len(value))) > 1) | (np.bitwise_or.reduceat(value & U64(1), head) > 0)
-    end = np.append(head[1:], len(value)) - 1
-    several = context[head] != context[end]
-    place = (key[head] >> U64(30 + bits_of_bucket - bits)).astype(np.int64)
-    out = []
-    for mask in (twice, several):
-        bitmap = np.zeros(1 << (bits - bits_of_bucket - 3), np.uint8)
-        np.bitwise_or.at(bitmap, place[mask] >> 3, np.left_shift(1, place[mask] & 7).astype(np.uint8))
-        out.append(pa.array([bitmap.tobytes()], pa.binary()))
-    return pa.table({"at": pa.array([table.column("bucket")[0].as_py() * (1 << (bits - bits_of_bucket - 3))], pa.int64()), "twice": out[0], "several": out[1]})
-
-
-def first_pass(docs: DataFrame, length: int = LENGTH, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    log = min(parts(docs, 8 << 20).bit_length() - 1, bits - 10)
-    pairs = docs.select("text").mapInArrow(lambda rows: _anchors(rows, log, length), "bucket int, value binary")
-    rows = pairs.repartition(min(1 << log, 1 << 14), "bucket").groupBy("bucket").applyInArrow(lambda t: _slices(t, log, bits), "at long, twice binary, several binary").collect()
-    return E.collected(rows, bits, "twice"), E.collected(rows, bits, "several")
-
-
-def _ranges_of(texts: E.Texts, twice: E.Bitmap, length: int):
-    """Start, count, anchor and context of the ranges that are left in the sort, over the buffer; and the tiles."""
-    start, count, anchor, context, tiles = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, U64)], [np.zeros(0, U64)], []
-    for s, e, first, last in _tiles(texts.at, length):
-        r = Ranges(texts.data[s:e], first, last, length)
-        left = np.flatnonzero(twice.has(r.anchor))
-        for to, x in zip((start, count, anchor, context), (r.start[left] + s, r.count[left], r.anchor[left], r.context[left]), strict=True):
+        owner = np.searchsorted(at, start, "right") - 1
+        late = _copies(data, start, count - 1 + length, context, (start, fp[owner], doc[owner]))
+        out = []
+        o = owner[late]
+        to = (E.mix_id(doc[o]) % U64(buckets)).astype(np.int32)
+        by = np.argsort(to, kind="stable")
+        cut = np.flatnonzero(np.append(True, to[by][1:] != to[by][:-1])) if len(by) else by
+        for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(by)], strict=False):
+            x = by[i:j]
+            out.append((int(to[x[0]]), 1, *_pack([doc[o[x]], fp[o[x]], (start[late][x] - at[o[x]]).astype(np.int64), count[late][x].astype(np.uint32)])))
+        left = np.flatnonzero(~late)
+        to = (route[left] % U64(buckets)).astype(np.int32)
+        by = np.argsort(to, kind="stable")
+        cut = np.flatnonzero(np.append(True, to[by][1:] != to[by][:-1]))
+        for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(by)], strict=True):
+            x = left[by[i:j]]
+            size = count[x] - 1 + length
+            who, first = np.unique(owner[x], return_index=True)
+            from_ = np.repeat(start[x], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            per = np.diff(np.append(first, len(x)))
+            base = np.repeat(at[who], per)
+            step = np.diff(start[x] - base, prepend=0)
+            step[first] = (start[x] - base)[first]  # places in a text as steps, which pack well
+            out.append((int(to[by[i]]), 0, *_pack([doc[who], fp[who], per.astype(np.int64), step.astype(np.uint32), count[x].astype(np.uint16), place[x].astype(np.uint16), data[from_]])))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.int64()), pa.array([r[3] for r in out], pa.binary())], names=["bucket", "kind", "size", "body"])
+
+
+def _pass(group: np.ndarray, digit: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One digit: each group is ordered by it and falls apart into new groups; items alone in theirs leave."""
+    if not len(group):
+        return group, item
+    order = np.lexsort((digit, group))
+    group, digit, item = group[order], digit[order], item[order]
+    new = np.append(True, (group[1:] != group[:-1]) | (digit[1:] != digit[:-1]))
+    stay = ~(new & np.append(new[1:], True))
+    return (np.cumsum(new) - 1)[stay], item[stay]
+
+
+def _beaten(group: np.ndarray, doc: np.ndarray, fp: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each group all that start later than its first, and those that start with it but for one (the same text twice)."""
+    order = np.lexsort((start, fp, doc, group))
+    g, d, f, s = group[order], doc[order], fp[order], start[order]
+    head = np.append(True, g[1:] != g[:-1]) if len(g) else np.zeros(0, bool)
+    first = np.flatnonzero(head)[np.cumsum(head) - 1] if len(g) else order
+    late = E.earlier_than(d, f, s, first, True)
+    out, twin = np.zeros(len(group), bool), np.zeros(len(group), bool)
+    out[order], twin[order] = late, ~late & ~head
+    return out, twin
+
+
+def sort_bucket(doc: np.ndarray, fp: np.ndarray, start: np.ndarray, count: np.ndarray, place: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Passes two and three over the ranges of a bucket: range, first late suffix in it and number of late suffixes from there on."""
+    run = run_of(length)
+    size = count - 1 + length
+    at = np.cumsum(size) - size
+    view = _digits(data)
+    none = np.zeros(0, np.int64)
+    if not len(doc):
+        return none, none, none
+    group, item = np.zeros(len(doc), np.int64), np.arange(len(doc))
+    for j in range(0, run, 8):
+        group, item = _pass(group, view[at[item] + place[item] + j], item)
+    anchor = np.full(len(doc), -1)
+    anchor[item] = group
+    # ranges that are equal as a whole
+    group, item = _pass(group, place[item].astype(np.int64) << 32 | count[item], item)
+    j, equal = 0, []
+    while len(item):
+        group, item = _pass(group, view[at[item] + np.minimum(j, size[item] - 8)], item)
+        j += 8
+        done = size[item] <= j
+        equal.append((group[done], item[done]))
+        group, item = group[~done], item[~done]
+    late, twin = np.zeros(len(doc), bool), np.zeros(len(doc), bool)
+    for group, item in equal:
+        late[item], twin[item] = _beaten(group, doc[item], fp[item], start[item])
+    whole = np.flatnonzero(late)
+    out = [(whole, np.zeros(len(whole), np.int64), count[whole].astype(np.int64))]
+    # suffixes of the ranges that are left, by anchor
+    live = np.flatnonzero((anchor >= 0) & ~late & ~twin)
+    live = live[np.argsort(anchor[live], kind="stable")]
+    a = anchor[live]
+    new = np.append(True, a[1:] != a[:-1]) if len(a) else np.zeros(0, bool)
+    live = live[~(new & np.append(new[1:], True))] if len(a) else live
+    a, total = anchor[live], np.cumsum(count[live].astype(np.int64))
+    i = 0
+    while i < len(live):
+        j = int(np.searchsorted(total, (total[i - 1] if i else 0) + _SUFFIXES, "right"))
+        j = int(np.searchsorted(a, a[min(max(j, i), len(a) - 1)], "left"))  # whole anchors
+        if j <= i:
+            j = int(np.searchsorted(a, a[i], "right"))
+        if total[-1] <= (total[i - 1] if i else 0) + _SUFFIXES:
+            j = len(live)
+        part = live[i:j]
+        n = count[part].astype(np.int64)
+        of = np.repeat(part, n)
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        from_ = at[of] + step
+        group, item = _pass(anchor[of], place[of].astype(np.int64) - step, np.arange(len(of)))
+        for d in range(0, length, 8):
+            group, item = _pass(group, view[from_[item] + min(d, length - 8)], item)
+        beaten, _ = _beaten(group, doc[of[item]], fp[of[item]], start[of[item]] + step[item])
+        item = np.sort(item[beaten])
+        out.append((of[item], step[item], np.ones(len(item), np.int64)))
+        i = j
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _late(table: pa.Table, length: int) -> pa.Table:
+    """Starts and lengths of the late spans of one bucket, by text."""
+    kind, size = table.column("kind").to_pylist(), table.column("size").to_pylist()
+    body = table.column("body").to_pylist()
+    spans = [[np.zeros(0, np.int64)] for _ in range(4)]
+    rows: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in (np.int64, np.int64, np.int64, np.uint16, np.uint16, np.uint8)]
+    for k, n, b in zip(kind, size, body, strict=True):
+        if k:
+            for to, x in zip(spans, _unpack(n, b, [np.int64, np.int64, np.int64, np.uint32]), strict=True):
+                to.append(x.astype(np.int64))
+            continue
+        doc, fp, per, step, count, place, data = _unpack(n, b, [np.int64, np.int64, np.int64, np.uint32, np.uint16, np.uint16, np.uint8])
+        start = np.cumsum(step.astype(np.int64))
+        first = np.cumsum(per) - per
+        start -= np.repeat(start[first] - step[first], per)
+        for to, x in zip(rows, (np.repeat(doc, per), np.repeat(fp, per), start, count, place, data), strict=True):
             to.append(x)
-        tiles.append((s, e, len(left)))
-    return np.concatenate(start), np.concatenate(count), np.concatenate(anchor), np.concatenate(context), tiles
-
-
-def _range_records(texts: E.Texts, twice: E.Bitmap, length: int):
-    """Key, text, start, number of starts and route of every range that is left: the second digit."""
-    start, count, anchor, context, _ = _ranges_of(texts, twice, length)
-    owner = np.searchsorted(texts.at, start, "right") - 1
-    return mix(context + anchor), owner, start - texts.at[owner], count, mix(anchor)
-
-
-def _suffix_records(texts: E.Texts, twice: E.Bitmap, several: E.Bitmap, firsts: np.ndarray, bits: int, length: int):
-    """The same of every suffix that is left: in ranges whose anchor has several contexts, and of those in the first of its context."""
-    start, count, anchor, _, tiles = _ranges_of(texts, twice, length)
-    owner = np.searchsorted(texts.at, start, "right") - 1
-    place = E.span_places(texts.doc[owner], texts.fp[owner], start - texts.at[owner], bits)
-    single = several.has(anchor) & ((firsts[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0)
-    keys, starts, routes, at = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, U64)], 0
-    for s, e, n_ranges in tiles:
-        pick = at + np.flatnonzero(single[at : at + n_ranges])
-        at += n_ranges
-        if len(pick):
-            n = count[pick]
-            begin = np.repeat(start[pick], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            keys.append(spans_hash(prefix(byte_values(texts.data[s:e])), begin - s, begin - s + length))
-            starts.append(begin)
-            routes.append(np.repeat(anchor[pick], n))
-    begin = np.concatenate(starts)
-    of = np.searchsorted(texts.at, begin, "right") - 1
-    return np.concatenate(keys), of, begin - texts.at[of], np.ones(len(begin), np.int64), mix(np.concatenate(routes))
-
-
-def _bitmaps(shared, bits: int) -> tuple[E.Bitmap, E.Bitmap]:
-    twice, several = shared.value
-    return E.Bitmap(bits, twice), E.Bitmap(bits, several)
-
-
-def late_suffixes(docs: DataFrame, length: int = LENGTH, bits: int = BITS) -> DataFrame:
-    """Starts of the strings that start earlier too, one row per (doc, fp)."""
-    if not 16 <= length <= 400:
-        raise ValueError("length must be 16 to 400 bytes")
-    docs = docs.select("doc_id", "text")
-    shared = docs.sparkSession.sparkContext.broadcast(first_pass(docs, length, bits))
-    buckets = parts(docs, 8 << 20)
+    body.clear()
+    doc, fp, start, count, place, data = (np.concatenate(x) for x in rows)
+    rows.clear()
+    which, step, n = sort_bucket(doc, fp, start, count.astype(np.int64), place, data, length)
+    for to, x in zip(spans, (doc[which], fp[which], start[which] + step, n), strict=True):
+        to.append(x)
+    return E.by_text(*(np.concatenate(x) for x in spans), merge=True)
 
-    def ranges(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in E.batches(rows, 16 << 20):
-            texts = E.Texts(batch)
-            yield E.packed(texts, *_range_records(texts, _bitmaps(shared, bits)[0], length), buckets, True)
 
-    settled = stored(E.late_rows(docs.mapInArrow(ranges, E.PACKED), buckets, True, firsts=True), "ranges")
-    free_shuffles(docs.sparkSession)
-    firsts = docs.sparkSession.sparkContext.broadcast(E.first_bitmap(settled, bits))
+def hot_anchors(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> np.ndarray:
+    """Hashes of the anchors whose ranges make up more than `hot` bytes, going by a sample of 32 MB or a thousandth of the texts."""
+    share = min(1.0, max(2**-10, (32 << 20) / max(input_size(docs), 1)))
+
+    def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in E.batches(rows, _BATCH):
+            data, at = text_buffer(batch.column("text"))
+            _, _, _, _, context = found = _all_ranges(data, at, length)
+            _, one = np.unique(context, return_index=True)
+            route, n = np.unique(found[3][one], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(route.view(np.int64)), pa.array(n)], names=["route", "n"])
+
+    sums = docs.select("text").sample(share, 7).mapInArrow(count, "route long, n long").groupBy("route").agg(F.sum("n").alias("n"))
+    least = max(8 if share < 1 else 2, int(hot * share / (1.5 * length)))
+    return np.array([r["route"] for r in sums.where(F.col("n") >= least).orderBy(F.col("n").desc()).limit(1 << 16).collect()], np.int64).view(U64)
 
-    def suffixes(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in E.batches(rows, 6 << 20):
-            texts = E.Texts(batch)
-            yield E.packed(texts, *_suffix_records(texts, *_bitmaps(shared, bits), firsts.value, bits, length), buckets, True)
 
-    rest = E.late_rows(docs.mapInArrow(suffixes, E.PACKED), buckets, True)
-    late = stored(E.gathered(settled.where("not first").drop("first").unionAll(rest)), "late")
-    del rest
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("fp"))
+
+
+def late_suffixes(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+    """Starts of the strings that start earlier too, one row per (doc, fp)."""
+    if not 16 <= length <= 400:
+        raise ValueError("length must be 16 to 400 bytes")
+    docs = _texts(docs)
+    buckets = parts(docs, 8 << 20)
+    shared = docs.sparkSession.sparkContext.broadcast(hot_anchors(docs, length, hot))
+    rows = docs.mapInArrow(lambda batches: _packed(batches, buckets, length, shared.value), _ROWS)
+    late = rows.repartition(min(buckets, 1 << 14), "bucket").groupBy("bucket").applyInArrow(lambda t: _late(t, length), E.FOUND)
+    out = stored(E.gathered(late), "late")
+    del rows, late
+    shared.destroy()
     free_shuffles(docs.sparkSession)
-    return late
+    return out
 
 
 def _kept(data: bytes, late, length: int) -> tuple[bytes, int, int]:
@@ -227,30 +367,28 @@ def _kept(data: bytes, late, length: int) -> tuple[bytes, int, int]:
     return np.frombuffer(data, np.uint8)[~gone].tobytes(), int(gone.sum()), runs
 
 
-def digests(docs: DataFrame, length: int = LENGTH, bits: int = BITS) -> DataFrame:
+def digests(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    late = late_suffixes(docs, length, bits)
-    rows = E.split_by_late(docs, late, (lambda texts: np.diff(texts.at), lambda data: hashlib.sha256(data).hexdigest()))
+    late = late_suffixes(docs, length, hot)
+    rows = E.with_late(_texts(docs), late)
 
     def finish(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            removed, runs, sha = [], [], batch.column("sha").to_pylist()
-            for i, (text, late) in enumerate(zip(batch.column("asked").to_pylist(), batch.column("late").to_pylist(), strict=True)):
-                kept, n, r = (b"", 0, 0) if text is None else _kept(text.encode(), late, length)
-                sha[i] = sha[i] if text is None else hashlib.sha256(kept).hexdigest()
+        for batch in E.batches(rows):
+            size, removed, runs, sha = [], [], [], []
+            for text, found in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("late").to_pylist(), strict=True):
+                kept, n, r = _kept(text or b"", found, length)
+                size.append(len(text or b""))
+                sha.append(hashlib.sha256(kept).hexdigest())
                 removed.append(n)
                 runs.append(r)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n"), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string())],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *[pa.array(x, pa.int64()) for x in (size, removed, runs)], pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return rows.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def removed_spans(docs: DataFrame, length: int = LENGTH, bits: int = BITS) -> DataFrame:
+def removed_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """The operator's own output: doc_id, start and end (byte offsets) of every maximal removed run."""
-    late = late_suffixes(docs, length, bits)
+    late = late_suffixes(docs, length, hot)
 
     def runs(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
