@@ -3,6 +3,9 @@
 import hashlib
 import re
 from collections import Counter
+from statistics import NormalDist
+
+import numpy as np
 
 
 def sha(data):
@@ -104,3 +107,30 @@ def contaminated(rows, items, n=10):
                     found |= windows[tuple(w[p : p + k])]
         out[d] = (len(w), sum(hit), len(found), sha(",".join(sorted(found))), any(hit))
     return out
+
+
+def mcd_distances(x, floor, share=0.75, starts=60):
+    """Squared distances of rows from their minimum-covariance-determinant estimate."""
+    n, d = x.shape
+    quantile = lambda p: d * (1 - 2 / (9 * d) + NormalDist().inv_cdf(p) * (2 / (9 * d)) ** 0.5) ** 3
+
+    def moments(rows):
+        cov = np.cov(rows.T, bias=True)
+        return rows.mean(0), cov + np.diag(np.maximum(floor**2 - np.diag(cov), 0)) + 0.1 * np.eye(d)
+
+    def distance(mean, cov):
+        return (((x - mean) @ np.linalg.inv(cov)) * (x - mean)).sum(1)
+
+    rng, best, h = np.random.default_rng(1), None, int(np.ceil(share * n))
+    spread = np.maximum(np.median(np.abs(x - np.median(x, 0)), 0) * 1.4826, np.maximum(floor, 1))
+    for k in range(starts):
+        mean, cov = (np.median(x, 0), np.diag(spread**2)) if not k else moments(x[rng.choice(n, d + 1, replace=False)])
+        for _ in range(60):
+            mean, cov = moments(x[np.argsort(distance(mean, cov))[:h]])
+        det = np.linalg.slogdet(cov)[1]
+        if best is None or det < best[0]:
+            best = det, mean, cov
+    _, mean, cov = best
+    cov = cov * max(np.median(distance(mean, cov)) / quantile(0.5), 1)
+    mean, cov = moments(x[distance(mean, cov) <= quantile(0.975)])
+    return distance(mean, cov * max(np.median(distance(mean, cov)) / quantile(0.5), 1))

@@ -1,25 +1,33 @@
 """Quality rules: plain limits, then robust multivariate outliers.
 
 Each text gives counts (words, characters, symbols, repeated lines and windows,
-capitals, punctuation).  Texts that pass the plain limits are turned into
-vectors of logarithms, and for every language and source the
+capitals, punctuation, lines).  Texts that pass the plain limits are turned into
+vectors of D transformed statistics, and for every language and source the
 minimum-covariance-determinant estimate of centre and scatter is found: the
-`share` of rows whose covariance has the least determinant.  Rows whose
-Mahalanobis distance is beyond the chi-squared quantile `tail` are rejected.
-
-The estimate covers all rows in bounded memory: rows are first summed up on a
-lattice of the vector space (count, sums and cross products of each cell: exact
-moments, map-side combined), and the concentration steps order cells, not rows.
-A source that holds a third of all rows is no larger than its cells, of which
-there are at most LEVELS ** 7 and some thousands in practice.  A group in which
-fewer than `least` rows pass the plain limits (five for each dimension) takes
-the estimate of its language, and if that has fewer too, the one of all rows.
+`share` of rows whose covariance has the least determinant, made consistent and
+reweighted once.  Rows whose squared Mahalanobis distance is beyond the
+chi-squared quantile `tail` are rejected.
+
+Shares are taken with PRIOR words of an ordinary text added, so that the chance
+variation of short texts does not widen the scatter.  Only the share of symbols,
+which is zero in most texts, has a least spread (FLOOR); the spread of all other
+statistics is what the estimate finds.
+
+The estimate covers all rows in bounded memory.  Rows are summed up in cells of
+about a sixth of a usual standard deviation (count, sums and cross products of
+whole numbers: exact, and the same in any order of arrival), combined before the
+shuffle, and the concentration steps order cells.  Most cells of a group of some
+ten thousand rows hold one row.  A group with more than CELLS cells is summed up
+again in cells twice, four times, ... as wide, until it has no more than that.
+
+A group in which fewer than `least` rows pass the plain limits (five for each
+dimension) takes the estimate of its language, and if that has fewer too, the
+one of all rows.
 
 Defined cases.  Null or empty text: no words, rejected by the plain limits.
-Null language or source: a group of their own.  A statistic that hardly varies
-has at least the spread in FLOORS.  Empty table: no rows.  Repeated rows count
-as often as they occur and give equal results.  Extra columns do not matter in
-`judged`, and stay in `passing`.
+Null language or source: a group of their own.  Empty table: no rows.  Repeated
+rows count as often as they occur and give equal results.  Extra columns do not
+matter in `judged`, and stay in `passing`.
 """
 
 from __future__ import annotations
@@ -37,13 +45,16 @@ from .kernels import U64, WHITE, Words, covered, hash_spans, mix, rolling, text_
 from .runtime import stored
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
-SHARE, TAIL, LEVELS = 0.75, 1 - 1e-7, 32
-#: Of each transformed statistic: lattice step and least standard deviation.
-STEPS = np.array([0.4, 0.1, 0.5, 0.5, 0.5, 0.4, 0.4])
-FLOORS = np.array([0.6, 0.15, 0.5, 0.5, 0.5, 0.4, 0.4])
-D = len(STEPS)
+SHARE, TAIL = 0.75, 0.999
+D = 6
 LEAST = 5 * D
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals", "n_marks")
+PRIOR = 200  # words of an ordinary text: five characters each, one line in ten, 16 capitals and 28 marks in a thousand characters
+#: Whole-number units of each statistic (some 200 in a usual standard deviation), their origin, and the least standard deviations.
+UNITS = np.array([256, 8192, 512, 2048, 2048, 256])
+ORIGIN = np.array([5.5, 1.6, 2.5, 1.3, 1.7, 0.0])
+FLOOR = np.array([0.0, 0.0, 0.0, 0.0, 0.0, 0.5])
+CELL, CELLS, COARSER = 5, 1 << 15, (0, 1, 2, 3, 4, 6, 8)  # bits of a cell's width; most cells of a group; bits added
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals", "n_marks", "n_lines")
 
 _SYMBOL, _CAPITAL, _MARK = (np.zeros(256, bool) for _ in range(3))
 _SYMBOL[list(b"#[*$%&|<>]".replace(b"[", b"").replace(b"]", b""))] = True
@@ -94,20 +105,20 @@ def counts(column: pa.Array) -> dict[str, np.ndarray]:
         "n_repeat_words": np.bincount(texts[repeated], minlength=len(n)) if len(n) else n,
         "n_capitals": per_text(_CAPITAL[data]),
         "n_marks": per_text(_MARK[data]),
+        "n_lines": np.bincount(of, minlength=len(n)) if len(of) else np.zeros(len(n), np.int64),
     }
     return {k: v.astype(np.int64) for k, v in out.items()}
 
 
-def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns to keep and the counts of every row."""
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+def measured(docs: DataFrame, text: str = "text") -> DataFrame:
+    """All columns and the counts of every row."""
+    names, kinds = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows, 4 << 20):
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(v) for v in counts(batch.column("text")).values()], names=[*keep, *COUNTS])
+        for batch in batches(rows, 4 << 20, text):
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(v) for v in counts(batch.column(text)).values()]], names=[*names, *COUNTS])
 
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [f"{c} long" for c in COUNTS])
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return docs.mapInArrow(run, f"{kinds}, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def base_failed() -> Column:
@@ -115,17 +126,18 @@ def base_failed() -> Column:
 
 
 def vector() -> list[Column]:
-    """The transformed statistics of a row with words."""
-    n, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
-    return [
-        F.log(n.cast("double")),
+    """The transformed statistics of a row with words, in whole units."""
+    c = {name: F.col(name) for name in COUNTS}
+    n, chars = c["n_words"] + PRIOR, c["word_chars"] + 5 * PRIOR
+    x = [
+        F.log(F.greatest(c["n_words"], F.lit(1)) + 50.0),
         F.log(chars / n),
-        F.log1p(100 * F.col("n_symbols") / n),
-        F.log1p(100 * F.col("n_dup_lines") / n),
-        F.log1p(100 * F.col("n_repeat_words") / n),
-        F.log1p(100 * F.col("n_capitals") / chars),
-        F.log1p(100 * F.col("n_marks") / chars),
+        F.log((c["n_words"] + 20.0) / (c["n_lines"] + 2.0)),
+        10 * F.sqrt((c["n_capitals"] + 0.016 * 5 * PRIOR) / chars),
+        10 * F.sqrt((c["n_marks"] + 0.028 * 5 * PRIOR) / chars),
+        F.log1p(100 * c["n_symbols"] / (c["n_words"] + 50.0)),
     ]
+    return [F.round((v - float(o)) * int(u)).cast("long") for v, o, u in zip(x, ORIGIN, UNITS, strict=True)]
 
 
 def chi2(p: float, d: int = D) -> float:
@@ -145,7 +157,7 @@ class Cells:
         n = self.n[which].sum()
         mean = self.sums[which].sum(0) / n
         cov = self.cross[which].sum(0) / n - np.outer(mean, mean)
-        return mean, cov + np.diag(np.maximum(FLOORS**2 - np.diag(cov), 0)) + 1e-9 * np.eye(D)
+        return mean, cov + np.diag(np.maximum((FLOOR * UNITS) ** 2 - np.diag(cov), 0)) + 0.1 * np.eye(D)  # 0.1: what rounding to units adds
 
     def distance(self, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
         x = self.mean - mean
@@ -168,7 +180,7 @@ def mcd(cells: Cells, share: float = SHARE, starts: int = 12, seed: int = 11) ->
 
     centre = np.array([cells.quantile(cells.mean[:, j], 0.5) for j in range(D)])
     spread = np.array([cells.quantile(np.abs(cells.mean[:, j] - centre[j]), 0.5) for j in range(D)]) * 1.4826
-    begin = [(centre, np.diag(np.maximum(spread, FLOORS) ** 2))]
+    begin = [(centre, np.diag(np.maximum(spread, np.maximum(FLOOR * UNITS, 1)) ** 2))]
     for _ in range(starts - 1):
         some = rng.choice(len(cells.n), size=min(len(cells.n), D + 1), replace=False, p=cells.n / cells.n.sum()) if len(cells.n) > D else np.arange(len(cells.n))
         begin.append(cells.moments(some))
@@ -214,38 +226,39 @@ def _estimate(table: pa.Table) -> pa.Table:
     )
 
 
-def estimates(vectors: DataFrame) -> DataFrame:
-    """Centre and inverse scatter for every (lang, source), lang, and all rows; vectors: lang, source, x0, x1, ..."""
-    cell = [F.least(F.floor(F.col(f"x{i}") / STEPS[i]), F.lit(LEVELS - 1)).cast("int").alias(f"c{i}") for i in range(D)]
-    names = [f"c{i}" for i in range(D)]
-    cells = vectors.groupBy("lang", "source", *cell).agg(
-        F.count("*").alias("n"),
-        *[F.sum(f"x{i}").alias(f"s{i}") for i in range(D)],
-        *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i, j in _PAIRS],
-    )
-    sums = [F.sum(c).alias(c) for c in ("n", *(f"s{i}" for i in range(D)), *(f"p{i}_{j}" for i, j in _PAIRS))]
-    by_lang = cells.groupBy("lang", *names).agg(*sums)
-    whole = by_lang.groupBy(*names).agg(*sums)
+def estimates(vectors: DataFrame, least: int = LEAST, cells: int = CELLS) -> DataFrame:
+    """Centre and inverse scatter for every (lang, source), and where one has too few rows for its lang and for all rows; vectors: lang, source, x0, x1, ..."""
+    x, p = [f"x{i}" for i in range(D)], [f"p{i}_{j}" for i, j in _PAIRS]
+    key = ["level", "lang", "source"]
+    lattice = [F.shiftright(c, CELL).alias(f"c{i}") for i, c in enumerate(x)]
+    fine = vectors.groupBy("lang", "source", *lattice).agg(F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(x)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i, j in _PAIRS])
+    fine = stored(fine, "cells")
+    rows = fine.withColumn("level", F.lit(0))
     none = F.lit(None).cast("string")
-    rows = (
-        cells.withColumn("level", F.lit(0))
-        .unionByName(by_lang.withColumns({"source": none, "level": F.lit(1)}))
-        .unionByName(whole.withColumns({"lang": none, "source": none, "level": F.lit(2)}))
-    )
-    return rows.groupBy("level", "lang", "source").applyInArrow(_estimate, _ESTIMATE)
-
-
-def _scored(docs: DataFrame, keep: list[str], tail: float, least: int) -> DataFrame:
-    lang = F.col("lang").cast("string").alias("_lang")
-    rows = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"])], lang, F.col("source").cast("string").alias("_source"))
-    rows = measured(rows, [*keep, "_lang", "_source"]).withColumn("base_failed", base_failed())
-    rows = stored(rows, "counts") if keep == ["doc_id"] else rows
+    sizes = fine.groupBy("lang", "source").agg(F.sum("n").alias("n"))
+    few = sizes.where(F.col("n") < least).select(F.col("lang").alias("l")).distinct()
+    if not few.isEmpty():
+        rows = rows.unionByName(fine.join(few, F.col("lang").eqNullSafe(F.col("l")), "left_semi").withColumns({"source": none, "level": F.lit(1)}))
+        if not sizes.groupBy("lang").agg(F.sum("n").alias("n")).where(F.col("n") < least).isEmpty():
+            rows = rows.unionByName(fine.withColumns({"lang": none, "source": none, "level": F.lit(2)}))
+    at = lambda k: [F.shiftright(f"c{i}", k) for i in range(D)]
+    counted = rows.groupBy(*key).agg(*[F.approx_count_distinct(F.xxhash64(*at(k))).alias(f"k{k}") for k in COARSER])
+    width = F.coalesce(*[F.when(F.col(f"k{k}") <= cells, F.lit(k)) for k in COARSER], F.lit(COARSER[-1]))
+    counted = counted.select(*[F.col(c).alias(f"g_{c}") for c in key], width.alias("k"))
+    rows = rows.join(counted, (F.col("level") == F.col("g_level")) & F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")))
+    wide = rows.groupBy(*key, *[F.expr(f"shiftright(c{i}, k)").alias(f"c{i}") for i in range(D)]).agg(*[F.sum(c).alias(c) for c in ("n", *(f"s{i}" for i in range(D)), *p)])
+    return wide.groupBy(*key).applyInArrow(_estimate, _ESTIMATE)
+
+
+def _scored(rows: DataFrame, tail: float, least: int) -> DataFrame:
+    """Stored rows with counts, _lang and _source; base_failed, distance2 and kept beside them."""
+    rows = rows.withColumn("base_failed", base_failed())
     vectors = rows.where(~F.col("base_failed")).select(F.col("_lang").alias("lang"), F.col("_source").alias("source"), *[v.alias(f"x{i}") for i, v in enumerate(vector())])
-    found = stored(estimates(vectors), "estimates")
-    groups = found.where("level = 0").select("lang", "source", "n", F.struct("mean", "inverse").alias("e0"))
+    found = stored(estimates(vectors, least), "estimates")
+    groups = found.where("level = 0").select("lang", "source", "n", F.struct("mean", "inverse").alias("e0"), F.lit(2).alias("two"))
     by_lang = found.where("level = 1").select(F.col("lang").alias("l1"), F.col("n").alias("n1"), F.struct("mean", "inverse").alias("e1"))
-    whole = found.where("level = 2").select(F.struct("mean", "inverse").alias("e2"))
-    groups = groups.join(by_lang, F.col("lang").eqNullSafe(F.col("l1"))).join(F.broadcast(whole))  # one row
+    whole = found.where("level = 2").select(F.col("level").alias("two"), F.struct("mean", "inverse").alias("e2"))
+    groups = groups.join(by_lang, F.col("lang").eqNullSafe(F.col("l1")), "left").join(F.broadcast(whole), "two", "left")  # one row at most
     groups = groups.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), F.when(F.col("n") >= least, F.col("e0")).when(F.col("n1") >= least, F.col("e1")).otherwise(F.col("e2")).alias("e"))
     joined = rows.join(groups, F.col("_lang").eqNullSafe(F.col("g_lang")) & F.col("_source").eqNullSafe(F.col("g_source")), "left")
     x = [v - F.col("e.mean")[i] for i, v in enumerate(vector())]
@@ -253,14 +266,19 @@ def _scored(docs: DataFrame, keep: list[str], tail: float, least: int) -> DataFr
     return joined.withColumn("distance2", F.when(~F.col("base_failed"), d2)).withColumn("kept", ~F.col("base_failed") & (F.col("distance2") <= chi2(tail)))
 
 
+def _group() -> list[Column]:
+    return [F.col("lang").cast("string").alias("_lang"), F.col("source").cast("string").alias("_source")]
+
+
 def judged(docs: DataFrame, tail: float = TAIL, least: int = LEAST) -> DataFrame:
     """doc_id, the counts, base_failed, kept and the squared distance of every row."""
-    out = _scored(docs, ["doc_id"], tail, least)
-    return out.select("doc_id", *COUNTS[:5], "base_failed", "kept", *COUNTS[5:], "distance2")
+    rows = measured(docs.select("doc_id", "text", *_group())).drop("text")
+    return _scored(stored(rows, "counts"), tail, least).select("doc_id", *COUNTS[:5], "base_failed", "kept", *COUNTS[5:], "distance2")
 
 
 def passing(docs: DataFrame, tail: float = TAIL, least: int = LEAST) -> DataFrame:
-    """The documents that are kept, with all their columns."""
+    """The documents that are kept, with all their columns; every text is measured once, and its row stored with the counts."""
     names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "text", "lang", "source")
-    return _scored(packed, ["row"], tail, least).where("kept").select(*[F.col(f"row.`{c}`").alias(c) for c in names])
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"d{i}") for i, c in enumerate(names)], *_group())
+    rows = stored(measured(rows, f"d{names.index('text')}"), "counts")
+    return _scored(rows, tail, least).where("kept").select(*[F.col(f"d{i}").alias(c) for i, c in enumerate(names)])
