@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm import bpe, decontamination, jaccard_join, quality_rules, substring_dedup
-from tracelake.llm.runtime import stored
+from tracelake.llm.runtime import made, release, stored
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +48,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each is written as Parquet and read again by the next."""
+    """All stages over the documents; each is written as Parquet and read again by the next.
+
+    Tables that operators have stored before are deleted after each stage.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = made()
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        release(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -180,15 +180,60 @@ def test_quality_counts(request, table):
     assert quality_rules.passing(df).columns == df.columns
 
 
-def test_outliers_are_rejected_and_clean_rows_kept():
-    rng = np.random.default_rng(0)
-    clean = rng.normal(0, 1, (4000, quality_rules.D)) * quality_rules.FLOORS * 1.5
-    bad = clean[:700] + 12 * quality_rules.FLOORS
-    x = np.concatenate([clean, bad])
-    cells = quality_rules.Cells(np.ones(len(x)), x, np.einsum("ni,nj->nij", x, x))
-    mean, cov = quality_rules.mcd(cells)
-    d2 = cells.distance(mean, cov)
-    assert (d2[:4000] > quality_rules.chi2(quality_rules.TAIL)).mean() < 0.001 and (d2[4000:] > quality_rules.chi2(quality_rules.TAIL)).all()
+def _vectors(rows, judged):
+    """Transformed statistics of rows that pass the plain limits, worked out anew."""
+    out = {}
+    for d, _ in rows:
+        r = judged[d]
+        if not r["base_failed"]:
+            n, c = r["n_words"], r["word_chars"]
+            x = [np.log(n + 50), np.log((c + 1000) / (n + 200)), np.log((n + 20) / (r["n_lines"] + 2)), 10 * np.sqrt((r["n_capitals"] + 16) / (c + 1000)), 10 * np.sqrt((r["n_marks"] + 28) / (c + 1000)), np.log1p(100 * r["n_symbols"] / (n + 50))]
+            out[d] = (np.array(x) - quality_rules.ORIGIN) * quality_rules.UNITS
+    return out
+
+
+def test_verdicts_are_those_of_a_rowwise_estimate(spark):
+    """Every group of sf0.01 with enough rows, and the languages of the others, against concentration steps over rows from many starts."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    judged = {r["doc_id"]: r for r in quality_rules.judged(docs).collect()}
+    rows = [(r["doc_id"], (r["lang"], r["source"])) for r in docs.select("doc_id", "lang", "source").collect()]
+    vectors, groups = _vectors(rows, judged), {}
+    for d, g in rows:
+        if d in vectors:
+            groups.setdefault(g, []).append(d)
+    cut, seen, right = quality_rules.chi2(quality_rules.TAIL), 0, 0
+    for lang in {g[0] for g in groups}:
+        small = [d for g, m in groups.items() if g[0] == lang and len(m) < quality_rules.LEAST for d in m]
+        of_lang = [d for g, m in groups.items() if g[0] == lang for d in m]
+        for members, of in [(of_lang, small), *[(m, m) for g, m in groups.items() if g[0] == lang and len(m) >= quality_rules.LEAST]]:
+            if len(members) >= quality_rules.LEAST:
+                d2 = dict(zip(members, brute.mcd_distances(np.array([vectors[d] for d in members]), quality_rules.FLOOR * quality_rules.UNITS), strict=True))
+                seen += len(of)
+                right += sum(judged[d]["kept"] == bool(d2[d] <= cut) for d in of)
+    assert seen > 500 and right >= 0.99 * seen
+
+
+def test_spread_is_estimated_not_given(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = quality_rules.measured(docs.select("doc_id", "text", *quality_rules._group())).where(quality_rules.base_failed() == F.lit(False))
+    found = quality_rules.estimates(rows.select(F.col("_lang").alias("lang"), F.col("_source").alias("source"), *[v.alias(f"x{i}") for i, v in enumerate(quality_rules.vector())])).collect()
+    assert len({r["level"] for r in found}) >= 2
+    for r in found:
+        if r["n"] >= quality_rules.LEAST:
+            spread = np.sqrt(np.diag(np.linalg.inv(np.array(r["inverse"]).reshape(quality_rules.D, -1))))
+            assert (spread > 5).all() and (np.abs(spread / quality_rules.UNITS - quality_rules.FLOOR) > 1e-3).sum() >= quality_rules.D - 1
+
+
+def test_cells_that_are_too_many_are_widened(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 200, (3000, quality_rules.D)).round().astype(int)
+    x[:300] += 3000
+    rows = spark.createDataFrame([("en", "a", *map(int, r)) for r in x], "lang string, source string, " + ", ".join(f"x{i} long" for i in range(quality_rules.D)))
+    for cells in (1 << 15, 200):
+        (r,) = quality_rules.estimates(rows, cells=cells).collect()
+        y = x - np.array(r["mean"])
+        d2 = np.einsum("ij,jk,ik->i", y, np.array(r["inverse"]).reshape(quality_rules.D, -1), y)
+        assert r["n"] == 3000 and (d2[:300] > quality_rules.chi2(quality_rules.TAIL)).all() and (d2[300:] > quality_rules.chi2(quality_rules.TAIL)).mean() < 0.01
 
 
 def test_labelled_documents_are_told_apart(spark):
@@ -201,20 +246,29 @@ def test_labelled_documents_are_told_apart(spark):
         assert np.mean(good) > 0.95 and np.mean(poor) < 0.1
 
 
-@pytest.mark.parametrize("bound", [50_000, 0])
+@pytest.mark.parametrize("bound", [decontamination.BROADCAST, 0])
 def test_decontamination(spark, hard, documents, bound):
     for rows, df in (hard, documents):
         items = [(i, t) for i, (_, t) in enumerate(rows) if i % 7 == 3] + [(900, "a B c"), (901, None), (902, "one!"), (903, "A-b C")]
         bench = spark.createDataFrame(items, "item_id long, text string")
         want = brute.contaminated(rows, items)
-        assert by_id(decontamination.report(df, bench, set_bound=bound)) == want
-        assert {r["doc_id"] for r in decontamination.remove(df, bench, set_bound=bound).collect()} == {d for d in want if not want[d][4]}
-        cut = decontamination.remove(df, bench, spans=True, set_bound=bound)
+        assert by_id(decontamination.report(df, bench, broadcast=bound)) == want
+        assert {r["doc_id"] for r in decontamination.remove(df, bench, broadcast=bound).collect()} == {d for d in want if not want[d][4]}
+        cut = decontamination.remove(df, bench, spans=True, broadcast=bound)
         assert cut.columns == df.columns
         left = {r["doc_id"]: len(brute._WORD.findall(brute.lower(r["text"]))) for r in cut.collect()}
         assert left == {d: v[0] - v[1] for d, v in want.items()}
 
 
+def test_window_join_carries_no_words(spark, hard):
+    _, df = hard
+    windows = decontamination.benchmark_windows(df.select(F.col("doc_id").alias("item_id"), "text"))
+    for bound in (decontamination.BROADCAST, 0):
+        plan = decontamination._hits(df, windows, bound)._jdf.queryExecution().optimizedPlan().toString()
+        joined = plan[: plan.index("Generate")]
+        assert "Join Inner" in joined and "words#" not in joined.replace("n_words#", "") and ("strategy=broadcast" in joined) == (bound > 0)
+
+
 def test_empty_benchmark(spark, hard):
     rows, df = hard
     bench = spark.createDataFrame([], "item_id long, text string")
@@ -244,16 +298,50 @@ def test_tokens_of_odd_text(spark):
 
 
 def test_memo_is_bounded(monkeypatch):
-    monkeypatch.setattr(bpe, "PIECES", 50)
-    monkeypatch.setattr(bpe, "CHUNKS", 10)
+    monkeypatch.setattr(bpe, "WORD_BYTES", 5000)
+    monkeypatch.setattr(bpe, "CHUNK_BYTES", 20_000)
     coder = bpe.Coder(bpe.vocabulary_path())
     for seed in range(5):
         column = pa.array([t for _, t in texts(seed)])
         got = coder.batch(bpe.chunked(column))
-        for t, (n, ids, decoded) in zip(column.to_pylist(), got, strict=True):
+        for t, ids in zip(column.to_pylist(), got, strict=True):
             want = coder.tokenizer.encode(t or "", add_special_tokens=False).ids
-            assert ids == " ".join(map(str, want)) and n == len(want) and decoded == coder.tokenizer.decode(want, skip_special_tokens=False)
-        assert len(coder.pieces) <= 50 and len(coder.chunks) <= 10
+            assert ids.tolist() == want and coder.written(ids) == (" ".join(map(str, want)), coder.tokenizer.decode(want, skip_special_tokens=False))
+        assert coder.words.size <= 5000 and len(coder.chunks) < 100
+    coder.forget()
+    assert not coder.chunks and not coder.words.index
+
+
+def test_chunks_are_encoded_once():
+    coder = bpe.Coder(bpe.vocabulary_path())
+    rng = random.Random(8)
+    passage = " ".join(f"w{rng.randrange(500)}" for _ in range(6000))
+    column = pa.array([passage, f"one more {passage}", f"{passage} and on"])
+    chunks = bpe.chunked(column)
+    got = coder.batch(chunks)
+    assert coder.encoded == len({c for t in chunks for c in t}) < len(chunks[0]) + 8
+    assert [x.tolist() for x in got] == [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in column.to_pylist()]
+
+
+@pytest.mark.parametrize("cut", [1, 2, 5])
+def test_joins_are_repaired(monkeypatch, cut):
+    """Chunks of a few bytes: words over many chunks."""
+    coder = bpe.Coder(bpe.vocabulary_path())
+    for _, t in texts(3):
+        raw = t or ""
+        chunks = [raw[i : i + cut].encode() for i in range(0, min(len(raw), 600), cut)]
+        assert coder.batch([chunks])[0].tolist() == coder.tokenizer.encode(raw[:600], add_special_tokens=False).ids
+
+
+def test_vocabulary_that_does_not_split_at_white_space(spark):
+    path = bpe.vocabulary_path("byte_bpe_50k.json")
+    rows = [(i, t) for i, (_, t) in enumerate(texts(6))]
+    got = by_id(bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"), path))
+    tokenizer = bpe.coder(path).tokenizer
+    assert not bpe.coder(path).splits
+    for i, t in rows:
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids
+        assert got[i] == (ids, tokenizer.decode(ids, skip_special_tokens=False))
 
 
 def test_shards(hard):

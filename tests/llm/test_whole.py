@@ -32,7 +32,7 @@ def test_groups_with_a_null_id_leave_one_row(spark):
     assert got == [("-", 0), ("-", 70), ("a", 0), ("b", 0), ("c", 60), ("d", 59)]
 
 
-@pytest.mark.parametrize("bound", [50_000, 0])
+@pytest.mark.parametrize("bound", [decontamination.BROADCAST, 0])
 def test_every_document_is_reported(spark, bound):
     say = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
     items = [(1, say("a", 12)), (2, say("b", 10)), (3, "z")]
@@ -41,6 +41,6 @@ def test_every_document_is_reported(spark, bound):
     rows += [(None, say("b", 10)), (None, say("c", 10)), (None, None), (None, None), (3, ""), (3, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    got = [tuple(r) for r in decontamination.report(docs, benchmark, set_bound=bound).collect()]
+    got = [tuple(r) for r in decontamination.report(docs, benchmark, broadcast=bound).collect()]
     want = [(d, *brute.contaminated([(0, t)], items)[0]) for d, t in rows]
     assert sorted(got, key=str) == sorted(want, key=str)

@@ -6,11 +6,13 @@ Texts are lower-cased (A-Z only) and cut into words of letters and digits
 built by doubling (1, 2, 4, 8, ... words) on arrays, so a window costs a few
 array steps and no row.
 
-The hashes of all benchmark windows are broadcast as a hash set inside the plan,
-if a count shows that there are at most `set_bound` of them; the few windows
-that hit become rows and are verified against the windows' words by a join.
-With more benchmark windows every text window becomes a row and one join, a
-shuffle unless Spark proves the benchmark small, does both.
+1. Window hashes of all texts meet the benchmark's in a join on the hash alone.
+   Only hashes and places go through it, never words.  A count of the benchmark's
+   windows shows whether their hashes are at most BROADCAST; then they are a
+   broadcast hash set and no text window is shuffled.  With more, Spark joins by
+   a shuffle of the same lean rows.
+2. Texts with hits are verified: the words at each hit are compared with the
+   words of the benchmark's windows.  The hits, some rows per text, are stored.
 
 Defined cases.  Null text or item: no words.  Empty benchmark: nothing is hit.
 Items with equal windows all count.  Every document gives one row, also repeated
@@ -23,7 +25,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-N, SET_BOUND = 10, 50_000
+from .runtime import stored
+
+N, BROADCAST = 10, 4_000_000  # hashes of eight bytes
 _SEPARATOR = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]"
 
 
@@ -56,10 +60,6 @@ def _hashes(df: DataFrame, lengths: list[int]) -> DataFrame:
     return df
 
 
-def _window(n: int, at: str) -> str:
-    return "concat_ws(' ', " + ", ".join(f"element_at(words, {at} + {k})" for k in range(n)) + ")"
-
-
 def benchmark_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
     """len, win (its words), hash and items (who has it, as strings) of every distinct window."""
     items = benchmark.select("item_id", _words().alias("words")).where("size(words) > 0").withColumn("len", F.expr(f"least(size(words), {n})"))
@@ -72,74 +72,73 @@ def benchmark_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
     return out
 
 
-def _hits(docs: DataFrame, windows: DataFrame, n: int, set_bound: int, key: list) -> DataFrame:
-    """One row per text window that may be a benchmark window (key columns, n_words, pos, len, p, win), and at least one per text (null p).
-
-    Every text has one row with pos 0 or null, its first.
-    """
-    sizes = windows.groupBy("len").agg(F.count("*").alias("n")).collect()  # at most n rows
-    lengths = sorted(r["len"] for r in sizes)
-    texts = docs.select(*key, _words().alias("words")).withColumn("n_words", F.size("words").cast("long"))
-    none = "cast(array() as array<struct<len:int, p:int, win:string>>)"
-    if sum(r["n"] for r in sizes) <= set_bound:
-        known: dict[int, list[int]] = {}
-        for r in windows.select("len", "hash").collect():  # at most set_bound
-            known.setdefault(r["len"], []).append(r["hash"])
-        test = {k: f"h in ({', '.join(f'{x}L' for x in sorted(known[k]))})" for k in lengths}
-    else:
-        test = dict.fromkeys(lengths, "true")
-    texts = _hashes(texts, lengths)
-    if lengths:
-        places = [f"array_compact(transform(slice(h{k}, 1, greatest(size(words) - {k} + 1, 0)), (h, i) -> if({test[k]}, struct({k} as len, i + 1 as p), null)))" for k in lengths]
-        texts = texts.withColumn("found", F.expr(f"concat({', '.join(places)})" if len(places) > 1 else places[0]))
-        texts = texts.withColumn("found", F.expr(f"transform(found, f -> struct(f.len as len, f.p as p, case f.len {' '.join(f'when {k} then {_window(k, "f.p")}' for k in lengths)} end as win))"))
-    else:
-        texts = texts.withColumn("found", F.expr(none))
-    names = [c for c in texts.columns if c not in {"words", "found", *(f"h{i}" for i in range(1, n + 1))}]
-    return texts.select(*names, F.posexplode_outer("found").alias("pos", "f")).select(*names, "pos", "f.len", "f.p", "f.win")
-
-
-def _verified(docs: DataFrame, benchmark: DataFrame, n: int, set_bound: int, key: list, names: list[str]) -> DataFrame:
-    """Per key: n_words, hit (word places from 1, each once), items (ids as strings, sorted) and copies (rows with that key)."""
-    windows = benchmark_windows(benchmark, n)
-    rows = _hits(docs, windows, n, set_bound, key)
-    joined = rows.join(windows.select("len", "win", "items"), ["len", "win"], "left")
-    # a place is hit if a verified window holds it: spans first, so a text gathers one value per hit
-    spans = joined.groupBy(*names, "n_words").agg(
-        F.collect_set(F.when(F.col("items").isNotNull(), F.struct("p", "len"))).alias("spans"),
+def _hits(docs: DataFrame, windows: DataFrame, broadcast: int) -> DataFrame:
+    """doc_id, _text, n_words, len and p of each text window whose hash is a benchmark window's, and a row with p 0 for every text."""
+    sizes = {r["len"]: r["n"] for r in windows.groupBy("len").agg(F.count("*").alias("n")).collect()}  # a row for each length up to n
+    lengths = sorted(sizes)
+    texts = docs.select("doc_id", F.xxhash64("text").alias("_text"), _words().alias("words")).withColumn("n_words", F.size("words").cast("long"))
+    count = {k: f"greatest(n_words - {k} + 1, 0)" for k in lengths}
+    # one array of hashes: a zero that stands for the text, then the windows of each length
+    arrays = ["array(0L)", *[f"slice(h{k}, 1, cast({count[k]} as int))" for k in lengths]]
+    rows = _hashes(texts, lengths).select("doc_id", "_text", "n_words", F.posexplode(F.expr(f"concat({', '.join(arrays)})")).alias("pos", "hash"))
+    known = windows.select("hash").unionAll(windows.sparkSession.range(1).select(F.lit(0).cast("long").alias("hash"))).distinct()
+    hits = rows.join(F.broadcast(known) if sum(sizes.values()) <= broadcast else known, "hash")
+    length, place, before = "0", "0", "1"
+    for k in lengths:
+        length = f"if(pos >= {before} and pos < {before} + {count[k]}, {k}, {length})"
+        place = f"if(pos >= {before} and pos < {before} + {count[k]}, pos - ({before}) + 1, {place})"
+        before = f"{before} + {count[k]}"
+    return hits.select("doc_id", "_text", "n_words", F.expr(length).cast("int").alias("len"), F.expr(place).cast("int").alias("p"))
+
+
+def _same(a: str, b: str):
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}._text") == F.col(f"{b}._text"))
+
+
+def _verified(docs: DataFrame, benchmark: DataFrame, n: int, broadcast: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, _text, n_words) of every text, and for each (doc_id, _text) with a verified window: hit (word places from 1, each once) and items (ids as strings, sorted)."""
+    windows = stored(benchmark_windows(benchmark, n), "windows")
+    hits = stored(_hits(docs, windows, broadcast), "hits")
+    spans = hits.where("p > 0").groupBy("doc_id", "_text").agg(F.collect_set(F.struct("p", "len")).alias("spans"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("_text")).alias("t").join(spans.alias("s"), _same("t", "s")).select("t.doc_id", "t._text", "spans", _words().alias("words"))
+    found = texts.select("doc_id", "_text", F.explode(F.expr("transform(spans, s -> struct(s.p, s.len, array_join(slice(words, s.p, s.len), ' ') as win))")).alias("f")).select("doc_id", "_text", "f.p", "f.len", "f.win")
+    found = found.join(windows.select("len", "win", "items"), ["len", "win"]).groupBy("doc_id", "_text").agg(
+        F.collect_set(F.struct("p", "len")).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-        F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("copies"),
     )
-    return spans.withColumn("hit", F.expr("array_distinct(flatten(transform(spans, s -> sequence(s.p, s.p + s.len - 1))))")).drop("spans")
+    found = found.withColumn("hit", F.expr("array_distinct(flatten(transform(spans, s -> sequence(s.p, s.p + s.len - 1))))")).drop("spans")
+    return hits.where("p = 0").select("doc_id", "_text", "n_words"), found
 
 
-def report(docs: DataFrame, benchmark: DataFrame, n: int = N, set_bound: int = SET_BOUND) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, n: int = N, broadcast: int = BROADCAST) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
-    found = _verified(docs, benchmark, n, set_bound, ["doc_id", F.xxhash64("text").alias("_text")], ["doc_id", "_text"])
-    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return found.select(
+    texts, found = _verified(docs, benchmark, n, broadcast)
+    none = F.array().cast("array<string>")
+    rows = texts.alias("t").join(found.alias("f"), _same("t", "f"), "left").select("t.doc_id", "n_words", F.coalesce(F.size("hit"), F.lit(0)).alias("n"), F.coalesce("items", none).alias("items"))
+    return rows.select(
         "doc_id",
         "n_words",
-        F.size("hit").cast("long").alias("n_hit"),
+        F.greatest("n", F.lit(0)).cast("long").alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        (F.size("hit") > 0).alias("contaminated"),
+        (F.col("n") > 0).alias("contaminated"),
     )
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, spans: bool = False, n: int = N, set_bound: int = SET_BOUND) -> DataFrame:
+def remove(docs: DataFrame, benchmark: DataFrame, spans: bool = False, n: int = N, broadcast: int = BROADCAST) -> DataFrame:
     """The documents without those that hold a benchmark window, or with the hit words taken out of them.
 
     A word goes together with the separators after it; all other text stays as it is.
     """
     names = docs.columns
-    key = [F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_text")]
-    found = _verified(docs, benchmark, n, set_bound, key, ["_doc", "_text"]).where("size(hit) > 0").select("_doc", "_text", F.col("hit").alias("_hit"))
-    same = [F.col("doc_id").eqNullSafe(F.col("_doc")), F.xxhash64("text") == F.col("_text")]
+    found = _verified(docs, benchmark, n, broadcast)[1].select(F.col("doc_id").alias("_doc"), "_text", F.col("hit").alias("_hit"))
+    found = found.withColumnsRenamed({c: f"{'_' * max(map(len, names))}{c}" for c in found.columns})  # no name of the documents'
+    doc, text, hit = (F.col(c) for c in found.columns)
+    same = [F.col("doc_id").eqNullSafe(doc), F.xxhash64("text") == text]
     if not spans:
         return docs.join(found, same, "left_anti")
     joined = docs.join(found, same, "left")
     pieces = f"regexp_extract_all(text, '([0-9A-Za-z\\\\x{{80}}-\\\\x{{10FFFF}}]+[^0-9A-Za-z\\\\x{{80}}-\\\\x{{10FFFF}}]*)', 1)"
     lead = "regexp_extract(text, '^([^0-9A-Za-z\\\\x{80}-\\\\x{10FFFF}]*)', 1)"
-    cut = F.expr(f"if(_hit is null, text, concat({lead}, array_join(filter({pieces}, (x, i) -> not array_contains(_hit, i + 1)), '')))")
+    cut = F.expr(f"if({found.columns[2]} is null, text, concat({lead}, array_join(filter({pieces}, (x, i) -> not array_contains({found.columns[2]}, i + 1)), '')))")
     return joined.select(*[cut.alias("text") if c == "text" else F.col(f"`{c}`") for c in names])

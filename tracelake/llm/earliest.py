@@ -168,7 +168,7 @@ def by_text(doc: np.ndarray, fp: np.ndarray, start: np.ndarray, length: np.ndarr
 
 def late_rows(records: DataFrame, buckets: int, within: bool) -> DataFrame:
     """(doc, fp, starts, lengths) of the records with an earlier equal one, some rows per text."""
-    rows = records.repartition(buckets, "bucket").groupBy("bucket")
+    rows = records.repartitionById(min(buckets, 1 << 14), F.col("bucket")).groupBy("bucket")
     return rows.applyInArrow(lambda table: found(table, within), FOUND)
 
 
@@ -289,10 +289,10 @@ def collected(slices: list, bits: int, name: str) -> np.ndarray:
     return out
 
 
-def batches(rows: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def batches(rows: Iterator[pa.RecordBatch], most: int = 8 << 20, text: str = "text") -> Iterator[pa.RecordBatch]:
     """Groups of rows with a bounded amount of text."""
     from .kernels import groups
 
     for batch in rows:
-        for i, j in groups(batch.column("text"), most):
+        for i, j in groups(batch.column(text), most):
             yield batch.slice(i, j - i)

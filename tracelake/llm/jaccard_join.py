@@ -365,7 +365,7 @@ def links(docs: DataFrame, sets: DataFrame, n: int, numerator: int, denominator:
     plan = Plan({r["band"]: r["n"] for r in stats}, max(r["most"] for r in stats), numerator, denominator)
     buckets = parts(docs, 8 << 20)
     keyed = docs.select("text").mapInArrow(lambda rows: _keyed(rows, n, plan, buckets), _KEYS)
-    clusters = stored(components(keyed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_edges, "a long, b long")), "clusters")
+    clusters = stored(components(keyed.repartitionById(min(buckets, 1 << 14), F.col("bucket")).groupBy("bucket").applyInArrow(_edges, "a long, b long")), "clusters")
     del keyed
     free_shuffles(docs.sparkSession)  # the keys, the largest of all
     members = clusters.select("node", "root").unionAll(clusters.select(F.col("root").alias("node"), "root").distinct())
@@ -402,7 +402,7 @@ def links(docs: DataFrame, sets: DataFrame, n: int, numerator: int, denominator:
                     raw = [np.frombuffer(x, U64) for x in part.column("elements").to_pylist()]
                     yield from _packed_keys(np.concatenate(raw), np.append(0, np.cumsum([len(x) for x in raw])), part.column("sid").to_numpy(), again, buckets)
 
-        edges = large.select("sid", "elements").mapInArrow(keyed_again, _KEYS).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_edges, "a long, b long")
+        edges = large.select("sid", "elements").mapInArrow(keyed_again, _KEYS).repartitionById(min(buckets, 1 << 14), F.col("bucket")).groupBy("bucket").applyInArrow(_edges, "a long, b long")
         narrow = stored(components(edges), "clusters")
         members = narrow.select("node", "root").unionAll(narrow.select(F.col("root").alias("node"), "root").distinct())
         large = large.select("sid", "elements").join(members, large["sid"] == members["node"])

@@ -20,12 +20,18 @@ def shared_folder(spark: SparkSession) -> str:
 _made: list[str] = []
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables stored so far; for when no result that reads them is needed any more."""
+def made() -> int:
+    """How many tables have been stored so far."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Delete all but the last of the tables stored after the first `since`; for when no other result that reads them is needed any more."""
     jvm = spark.sparkContext._jvm
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+    for name in _made[since:-1]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    del _made[since:-1]
 
 
 def free_shuffles(spark: SparkSession) -> None:

@@ -89,7 +89,7 @@ def anchors(docs: DataFrame, block: int = BLOCK, bits: int = BITS) -> np.ndarray
     """The bitmap of blocks that some other window hits."""
     log = min(parts(docs, 4 << 20).bit_length() - 1, bits - 10)
     probes = docs.select("text").mapInArrow(lambda rows: _probes(rows, log, block), "bucket int, value binary")
-    slices = probes.repartition(min(1 << log, 1 << 14), "bucket").groupBy("bucket").applyInArrow(lambda t: _slice(t, log, bits), "at long, bits binary")
+    slices = probes.repartitionById(min(1 << log, 1 << 14), F.col("bucket")).groupBy("bucket").applyInArrow(lambda t: _slice(t, log, bits), "at long, bits binary")
     return E.collected(slices.collect(), bits, "bits")
 
 
@@ -141,6 +141,7 @@ def late_windows(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, bits
     records = docs.mapInArrow(lambda rows: _records(rows, E.Bitmap(bits, shared.value), buckets, length, block), E.PACKED)
     late = stored(E.settle(records, buckets, within=False), "late")
     del records
+    shared.destroy()
     free_shuffles(docs.sparkSession)
     return late
 

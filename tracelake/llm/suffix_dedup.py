@@ -349,7 +349,7 @@ def late_suffixes(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Data
     buckets = parts(docs, 8 << 20)
     shared = docs.sparkSession.sparkContext.broadcast(hot_anchors(docs, length, hot))
     rows = docs.mapInArrow(lambda batches: _packed(batches, buckets, length, shared.value), _ROWS)
-    late = rows.repartition(min(buckets, 1 << 14), "bucket").groupBy("bucket").applyInArrow(lambda t: _late(t, length), E.FOUND)
+    late = rows.repartitionById(min(buckets, 1 << 14), F.col("bucket")).groupBy("bucket").applyInArrow(lambda t: _late(t, length), E.FOUND)
     out = stored(E.gathered(late), "late")
     del rows, late
     shared.destroy()
