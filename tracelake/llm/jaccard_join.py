@@ -389,6 +389,8 @@ def links(docs: DataFrame, sets: DataFrame, n: int, numerator: int, denominator:
             yield pa.RecordBatch.from_arrays([batch.column("root").take(pa.array(own)), pa.array(sid[own]), batch.column("block").take(pa.array(own)), batch.column("blocks").take(pa.array(own)), raw], names=["root", "sid", "block", "blocks", "elements"])
 
     found = stored(texts.mapInArrow(elements, "root long, sid long, block long, blocks long, elements binary"), "elements")
+    del texts, load, total, sizes
+    free_shuffles(docs.sparkSession)  # the texts
     # clusters that one task can hold are verified; the sets of larger ones are clustered again by wider segments first
     small = found.where("blocks = 1")
     large = found.where("blocks > 1")
@@ -404,6 +406,8 @@ def links(docs: DataFrame, sets: DataFrame, n: int, numerator: int, denominator:
 
         edges = large.select("sid", "elements").mapInArrow(keyed_again, _KEYS).repartitionById(min(buckets, 1 << 14), F.col("bucket")).groupBy("bucket").applyInArrow(_edges, "a long, b long")
         narrow = stored(components(edges), "clusters")
+        del edges
+        free_shuffles(docs.sparkSession)
         members = narrow.select("node", "root").unionAll(narrow.select(F.col("root").alias("node"), "root").distinct())
         large = large.select("sid", "elements").join(members, large["sid"] == members["node"])
         total = large.groupBy("root").agg(F.sum(F.octet_length("elements") / 8).alias("count"))

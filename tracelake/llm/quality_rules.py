@@ -54,6 +54,7 @@ UNITS = np.array([256, 8192, 512, 2048, 2048, 256])
 ORIGIN = np.array([5.5, 1.6, 2.5, 1.3, 1.7, 0.0])
 FLOOR = np.array([0.0, 0.0, 0.0, 0.0, 0.0, 0.5])
 CELL, CELLS, COARSER = 5, 1 << 15, (0, 1, 2, 3, 4, 6, 8)  # bits of a cell's width; most cells of a group; bits added
+GROUPS = 20_000  # languages and sources whose estimates are broadcast
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals", "n_marks", "n_lines")
 
 _SYMBOL, _CAPITAL, _MARK = (np.zeros(256, bool) for _ in range(3))
@@ -260,6 +261,8 @@ def _scored(rows: DataFrame, tail: float, least: int) -> DataFrame:
     whole = found.where("level = 2").select(F.col("level").alias("two"), F.struct("mean", "inverse").alias("e2"))
     groups = groups.join(by_lang, F.col("lang").eqNullSafe(F.col("l1")), "left").join(F.broadcast(whole), "two", "left")  # one row at most
     groups = groups.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), F.when(F.col("n") >= least, F.col("e0")).when(F.col("n1") >= least, F.col("e1")).otherwise(F.col("e2")).alias("e"))
+    groups = stored(groups, "groups")
+    groups = F.broadcast(groups) if groups.count() <= GROUPS else groups  # half a kilobyte each
     joined = rows.join(groups, F.col("_lang").eqNullSafe(F.col("g_lang")) & F.col("_source").eqNullSafe(F.col("g_source")), "left")
     x = [v - F.col("e.mean")[i] for i, v in enumerate(vector())]
     d2 = sum((F.col("e.inverse")[i * D + j] * x[i] * x[j] * (1 if i == j else 2) for i, j in _PAIRS), F.lit(0.0))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,18 +22,20 @@ def shared_folder(spark: SparkSession) -> str:
 _made: list[str] = []
 
 
-def made() -> int:
-    """How many tables have been stored so far."""
-    return len(_made)
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The folders of the tables that are stored inside the block."""
+    paths, before = [], len(_made)
+    yield paths
+    paths += _made[before:]
 
 
-def release(spark: SparkSession, since: int = 0) -> None:
-    """Delete all but the last of the tables stored after the first `since`; for when no other result that reads them is needed any more."""
-    jvm = spark.sparkContext._jvm
-    for name in _made[since:-1]:
-        path = jvm.org.apache.hadoop.fs.Path(name)
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stored tables; for when no result that reads them is needed any more."""
+    for name in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    del _made[since:-1]
+    _made[:] = [name for name in _made if name not in paths]
 
 
 def free_shuffles(spark: SparkSession) -> None:
