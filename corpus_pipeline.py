@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm import bpe, decontamination, jaccard_join, quality_rules, substring_dedup
-from tracelake.llm.runtime import delete, recorded, stored
+from tracelake.llm.runtime import delete, lean, recorded, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 _left: list[str] = []
@@ -20,6 +20,7 @@ def _stage(function: Stage) -> Stage:
 
     @functools.wraps(function)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        lean(spark)
         delete(spark, _left)
         _left.clear()
         with recorded() as paths:
@@ -30,7 +31,6 @@ def _stage(function: Stage) -> Stage:
     return run
 
 
-
 @_stage
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""

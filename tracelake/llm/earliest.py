@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import U64, binary, fingerprints, ids, text_buffer
+from .kernels import U64, binary, fingerprints, groups, ids, text_buffer
+from .runtime import give_back
 
 PACKED = "bucket int, settled boolean, doc binary, fp binary, key binary, owner binary, start binary, length binary, times binary"
 FOUND = "doc long, fp long, start binary, length binary"
@@ -290,9 +291,22 @@ def collected(slices: list, bits: int, name: str) -> np.ndarray:
 
 
 def batches(rows: Iterator[pa.RecordBatch], most: int = 8 << 20, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Groups of rows with a bounded amount of text."""
-    from .kernels import groups
-
+    """Groups of rows with a bounded amount of text; at the end the worker gives back memory."""
     for batch in rows:
         for i, j in groups(batch.column(text), most):
             yield batch.slice(i, j - i)
+    batch = None
+    give_back()
+
+
+def gathered_batches(rows: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about so many bytes, or as they are where they are larger."""
+    some: list[pa.RecordBatch] = []
+    for batch in rows:
+        if some and sum(b.nbytes for b in some) + batch.nbytes > most:
+            yield pa.Table.from_batches(some).combine_chunks().to_batches()[0]
+            some = []
+        if len(batch):
+            some.append(batch)
+    if some:
+        yield pa.Table.from_batches(some).combine_chunks().to_batches()[0]

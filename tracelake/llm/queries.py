@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, decontamination, html_extract, jaccard_join, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup, warc
+from .runtime import lean
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = 8 << 20
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder; the session sets its own only where none is named."""
@@ -38,6 +42,21 @@ def delete(spark: SparkSession, paths: list[str]) -> None:
     _made[:] = [name for name in _made if name not in paths]
 
 
+def lean(spark: SparkSession) -> None:
+    """Arrow batches between the JVM and Python of at most 8 MB, unless the session has set a limit of its own below that."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not str(now).rstrip("bB").isdigit() or not 0 < int(str(now).rstrip("bB")) < BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Hand memory that a Python worker has freed back to the system: the worker stays for the next task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of frames that nobody holds any more (it does so when the driver collects garbage)."""
     gc.collect()

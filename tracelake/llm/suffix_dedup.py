@@ -178,7 +178,7 @@ def _copies(data: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarr
 
 def _packed(rows: Iterator[pa.RecordBatch], buckets: int, length: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """One row per bucket and batch of texts: the ranges that are new in the batch (kind 0), and spans that are late in it (kind 1)."""
-    for batch in E.batches(rows, _BATCH):
+    for batch in E.batches(E.gathered_batches(rows, _BATCH), _BATCH):
         doc, fp = ids(batch.column("doc_id")), batch.column("fp").to_numpy()
         _, one = np.unique(np.stack([doc, fp]), axis=1, return_index=True)  # repeated rows are one text
         batch, doc, fp = batch.take(pa.array(np.sort(one))), doc[np.sort(one)], fp[np.sort(one)]
