@@ -290,7 +290,7 @@ def collected(slices: list, bits: int, name: str) -> np.ndarray:
     return out
 
 
-def batches(rows: Iterator[pa.RecordBatch], most: int = 8 << 20, text: str = "text") -> Iterator[pa.RecordBatch]:
+def batches(rows: Iterator[pa.RecordBatch], most: int = 4 << 20, text: str = "text") -> Iterator[pa.RecordBatch]:
     """Groups of rows with a bounded amount of text; at the end the worker gives back memory."""
     for batch in rows:
         for i, j in groups(batch.column(text), most):

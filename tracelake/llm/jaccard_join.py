@@ -46,13 +46,14 @@ from pyspark.sql import functions as F
 from .components import components
 from .earliest import batches
 from .kernels import LOWER, U64, Words, binary, ids, mix, rolling, spans_hash, prefix, text_buffer
-from .runtime import free_shuffles, parts, stored
+from .runtime import free_shuffles, give_back, parts, stored
 
 N, NUMERATOR, DENOMINATOR = 4, 85, 100
 SHARED = 0.005  # how likely an element of one set is in an unlike one
 LIGHT = 2  # segments of so many elements or fewer are left out where clusters are narrowed
 PAIR_COST = 3000  # of a pair that chance brings together, in keys
 BOUND = 2_000_000  # elements of all sets of a cluster that one task verifies
+AGAIN = 1 << 18  # elements of the sets whose wider segments are indexed at a time
 _NULL = -(2**63)
 
 
@@ -399,10 +400,14 @@ def links(docs: DataFrame, sets: DataFrame, n: int, numerator: int, denominator:
 
         def keyed_again(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in rows:
-                for i in range(0, len(batch), 2000):
-                    part = batch.slice(i, 2000)
-                    raw = [np.frombuffer(x, U64) for x in part.column("elements").to_pylist()]
-                    yield from _packed_keys(np.concatenate(raw), np.append(0, np.cumsum([len(x) for x in raw])), part.column("sid").to_numpy(), again, buckets)
+                sid, at = batch.column("sid").to_numpy(), np.append(0, np.cumsum([len(x) // 8 for x in batch.column("elements").to_pylist()]))
+                i = 0
+                while i < len(sid):
+                    j = max(i + 1, int(np.searchsorted(at, at[i] + AGAIN, "right")) - 1)
+                    raw = np.frombuffer(b"".join(batch.column("elements").slice(i, j - i).to_pylist()), U64)
+                    yield from _packed_keys(raw, at[i : j + 1] - at[i], sid[i:j], again, buckets)
+                    i = j
+            give_back()
 
         edges = large.select("sid", "elements").mapInArrow(keyed_again, _KEYS).repartitionById(min(buckets, 1 << 14), F.col("bucket")).groupBy("bucket").applyInArrow(_edges, "a long, b long")
         narrow = stored(components(edges), "clusters")
