@@ -7,6 +7,7 @@ headers, named secrets) run over Arrow batches, and only on rows that can match.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -26,24 +27,29 @@ SHAPES = [
     ("stripe_restricted_key", r"rk_live_[A-Za-z0-9]{20,}"),
     ("github_pat", r"github_pat_[A-Za-z0-9]{22,}_[A-Za-z0-9]{59,}"),
     ("github_token", r"\b(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{30,}\b"),
-    ("loop_sessions_token", r"\bls[sd]_[A-Za-z0-9_-]{20,}"),
+    ("service_token", r"\bls[sd]_[A-Za-z0-9_-]{20,}"),
     ("aws_access_key_id", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
     ("google_api_key", r"\bAIza[A-Za-z0-9_\-]{35}\b"),
     ("google_oauth_token", r"\bya29\.[A-Za-z0-9_\-]{20,}"),
     ("slack_token", r"\bxox[baprse]-[A-Za-z0-9\-]{20,}"),
     ("jwt", r"\beyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{5,}"),
 ]
+# Patterns whose finds are weighed, values that document a secret rather than being one, openings of code.
 DB_PASSWORD = r"((?i:postgres(?:ql)?|mysql|mariadb|mongodb(?:\+srv)?|rediss?|amqps?))://([^:@/\s\"'\[\]]+):([^@\s\"'\[\]]+)@"
 AWS_SECRET = r"((?i:aws_secret_access_key|aws_secret_key|secret_?access_?key))([\"']?\s*[:=]\s*[\"']?)([A-Za-z0-9/+=]{40})"
 BEARER = r"\b((?i:bearer)\s+)([A-Za-z0-9_\-.=+/]{20,})"
 BASIC = r"\b((?i:basic)\s+)([A-Za-z0-9+/]{16,}={0,2})"
 GENERIC = r"((?i:password|passwd|pwd|secret|token|api[_\-]?key))([\"']?\s*[:=]\s*[\"']?)([A-Za-z0-9_/+=.\-]{16,})"
-PLACEHOLDERS = ("password", "pass", "changeme", "example", "secret", "postgres", "root", "user", "test", "xxx", "xxxx", "xxxxx")
+STOCK_PASSWORDS = ("password", "pass", "passwd", "pwd", "secret", "mypassword", "yourpassword", "changeme", "hunter2", "xxxx", "xxxxx", "xxxxxx", "redacted", "example")
+PLACEHOLDERS = ("your", "example", "placeholder", "changeme", "change_me", "change-me", "dummy", "sample", "insert", "todo", "fixme", "redacted", "xxxx", "....", "process.env", "env.", "os.environ", "null", "none", "undefined")
+REFERENCES = ("process.env", "os.environ")
 CODE_PREFIXES = ("self.", "cls.", "this.", "obj.", "ctx.", "cfg.")
 LEAST_ENTROPY = 3.0
 
 _WEIGHED = r"(?i)://[^\s]*@|bearer\s|basic\s|password|passwd|pwd|secret|token|api[_\-]?key"
 
+_MAYBE = "|".join(["PRIVATE KEY", "hooks\\.slack", "sk-", "[sr]k_live_", "github_pat_", "gh[pousr]_", "ls[sd]_", "AKIA|ASIA", "AIza", "ya29\\.", "xox", "eyJ", _WEIGHED])
+
 
 def mark(kind: str) -> str:
     return f"[REDACTED:{kind}]"
@@ -60,16 +66,21 @@ def looks_random(text: str) -> bool:
 
 
 def placeholder(text: str) -> bool:
-    """A value that stands for a secret rather than being one: a stock word, a variable or a masked value."""
+    """A value that stands for a secret, or names where one is kept."""
     low = text.lower()
-    return low in PLACEHOLDERS or low.startswith(("$", "{", "<", "%", "your")) or "redacted" in low or set(low) <= set("*x.")
+    return low.startswith(PLACEHOLDERS) or any(r in low for r in REFERENCES)
+
+
+def stock_password(text: str) -> bool:
+    return text.lower() in STOCK_PASSWORDS or placeholder(text)
 
 
 def secret(text: str) -> bool:
-    return not placeholder(text) and not text.lower().startswith(("_", *CODE_PREFIXES)) and looks_random(text) and entropy(text) >= LEAST_ENTROPY
+    code = text.startswith("_") or text.lower().startswith(CODE_PREFIXES)
+    return not code and not placeholder(text) and looks_random(text) and entropy(text) >= LEAST_ENTROPY
 
 
-_WEIGHED_FIRST = [("db_password", re.compile(DB_PASSWORD), 3, lambda v: not placeholder(v))]
+_WEIGHED_FIRST = [("db_password", re.compile(DB_PASSWORD), 3, lambda v: not stock_password(v))]
 _WEIGHED_LAST = [
     ("aws_secret_access_key", re.compile(AWS_SECRET), 3, lambda v: True),
     ("auth_bearer", re.compile(BEARER), 2, looks_random),
@@ -120,6 +131,39 @@ def shape_count(text: Column, kind: str) -> Column:
     return F.regexp_count(text, F.lit(dict(SHAPES)[kind]))
 
 
+def scrub_json(value, counts: Counter):
+    """Every string inside a JSON value scrubbed, names of members left as they are."""
+    if isinstance(value, str):
+        text, found = scrub(value)
+        counts.update(found)
+        return text
+    if isinstance(value, list):
+        return [scrub_json(x, counts) for x in value]
+    return {k: scrub_json(x, counts) for k, x in value.items()} if isinstance(value, dict) else value
+
+
+def rescanned(rows: DataFrame, column: str) -> DataFrame:
+    """A column of JSON texts with their strings scrubbed, and caught: how many credentials a second look found.  What is no JSON is scrubbed as text."""
+
+    @F.pandas_udf("struct<json: string, caught: int>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            counts: Counter = Counter()
+            try:
+                value = json.loads(t) if t else None
+            except ValueError:
+                done, counts = scrub(t)
+            else:
+                clean = scrub_json(value, counts)
+                done = json.dumps(clean, ensure_ascii=False, separators=(",", ":")) if counts else t
+            out.append((done, sum(counts.values())))
+        return pd.DataFrame(out, columns=["json", "caught"])
+
+    out = rows.withColumn("_s", F.when(F.col(column).rlike(_MAYBE), run(F.col(column))))
+    return out.withColumn(column, F.coalesce("_s.json", column)).withColumn("caught", F.coalesce("_s.caught", F.lit(0))).drop("_s")
+
+
 def scrubbed(rows: DataFrame, column: str) -> DataFrame:
     """The column scrubbed, and redactions (map of counts).  Rows that no rule can match skip Python."""
 
@@ -128,6 +172,5 @@ def scrubbed(rows: DataFrame, column: str) -> DataFrame:
         done = [scrub(t) for t in texts]
         return pd.DataFrame({"text": [t for t, _ in done], "redactions": [r for _, r in done]})
 
-    maybe = "|".join(["PRIVATE KEY", "hooks\\.slack", "sk-", "[sr]k_live_", "github_pat_", "gh[pousr]_", "ls[sd]_", "AKIA|ASIA", "AIza", "ya29\\.", "xox", "eyJ", _WEIGHED])
-    out = rows.withColumn("_s", F.when(F.col(column).rlike(maybe), run(F.col(column))))
+    out = rows.withColumn("_s", F.when(F.col(column).rlike(_MAYBE), run(F.col(column))))
     return out.withColumn(column, F.coalesce("_s.text", column)).withColumn("redactions", F.coalesce("_s.redactions", F.create_map().cast("map<string,int>"))).drop("_s")
