@@ -24,9 +24,51 @@ def merged_type(c: Column) -> Column:
 
 
 def new_events(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    """Rows of the batch that are not stored yet, each id once (the highest version)."""
-    first = batch.withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy(F.col("capture_version").desc(), "seq"))).where("rn = 1").drop("rn")
-    return first.join(stored.select("id"), "id", "left_anti")
+    """Rows of the batch whose id is not stored yet, each id once (the highest version): the rows that move counters."""
+    return collapsed(batch).join(stored.select("id"), "id", "left_anti")
+
+
+def collapsed(batch: DataFrame) -> DataFrame:
+    """Each id of a batch once: the highest version, of equal ones the first."""
+    w = Window.partitionBy("id").orderBy(F.col("capture_version").desc(), "seq")
+    return batch.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+
+
+def upserted(stored: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
+    """The stored events with a batch merged in by id.
+
+    A higher version replaces the row, a lower or equal one does not; the key
+    columns of either side fill each other's gaps, the batch's going first.
+    """
+    rows = stored.withColumn("_late", F.lit(0)).unionByName(collapsed(batch).withColumn("_late", F.lit(1)))
+    return current(rows, keys, "_late")
+
+
+def current(rows: DataFrame, keys: list[str], arrival: str) -> DataFrame:
+    """One row per id of a table that holds every version: the highest, of equal ones the first to arrive; key columns from the last arrival that has them."""
+    w = Window.partitionBy("id")
+    last = w.orderBy(F.col(arrival)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({c: F.last(c, ignorenulls=True).over(last) for c in keys})
+    return rows.withColumn("rn", F.row_number().over(w.orderBy(F.col("capture_version").desc(), arrival))).where("rn = 1").drop("rn", arrival)
+
+
+IDENTITY = ("session_id", "agent_id", "record_uuid", "type", "tool_use_id")
+
+
+def rekeyed(batch: DataFrame, stored: DataFrame) -> DataFrame:
+    """Transcript rows that are a stored record under another id take the stored id (the least, if several match)."""
+    named = lambda df: [F.coalesce(F.col(c), F.lit("")).alias(f"_{c}") for c in IDENTITY]
+    known = stored.where("origin = 'transcript' and record_uuid is not null").select(*named(stored), "id").groupBy(*[f"_{c}" for c in IDENTITY]).agg(F.min("id").alias("_id"))
+    rows = batch.select("*", *named(batch)).join(known, [f"_{c}" for c in IDENTITY], "left")
+    moved = (F.col("origin") == "transcript") & F.col("record_uuid").isNotNull()
+    return rows.withColumn("id", F.when(moved, F.coalesce("_id", "id")).otherwise(F.col("id"))).select(*batch.columns)
+
+
+def claimed(events: DataFrame, arrival: list[str]) -> DataFrame:
+    """(session_id, email, started_at): the person whose event arrived first owns a session, and it starts with the least of that person's times."""
+    first = events.groupBy("session_id").agg(F.min_by("email", F.struct(*arrival)).alias("owner"))
+    mine = events.join(first, "session_id").where(F.col("email") == F.col("owner"))
+    return mine.groupBy("session_id", "email").agg(F.min("occurred_at").alias("started_at"))
 
 
 def versioned(rows: DataFrame, keys: list[str], version: str, fill: list[str]) -> DataFrame:

@@ -28,28 +28,18 @@ def read_batch(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EVENT).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path).withColumn("reason", verdict())
 
 
-def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """Records of transcript files, with file and line order and a clock that carries the last time forward."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"), F.from_json("value", "type string, timestamp string, uuid string, sessionId string, message struct<role: string, content: string>").alias("r"))
-    w = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = lines.where("r.type is not null").select("file", "line", "r.*").withColumn("at", F.try_to_timestamp("timestamp"))
-    return rows.withColumn("at", F.last("at", ignorenulls=True).over(w))
-
-
-def head(records: DataFrame) -> DataFrame:
-    """Per file the first content record and the last answer."""
-    return records.groupBy("file").agg(
-        F.min_by("uuid", F.when(F.col("type").isin("user", "assistant"), F.col("line"))).alias("first_uuid"),
-        F.max_by("uuid", F.when(F.col("type") == "assistant", F.col("line"))).alias("last_answer"),
-        F.max("at").alias("last_at"),
-    )
-
-
 def forks(heads: DataFrame) -> DataFrame:
     """Files that begin with the same record, and the one that the others were forked from (the earliest, then by name)."""
     w = Window.partitionBy("first_uuid")
     rows = heads.where("first_uuid is not null").withColumn("n", F.count("*").over(w)).where("n > 1")
-    return rows.withColumn("origin", F.first("file").over(w.orderBy("last_at", "file"))).select("file", "first_uuid", "origin")
+    return rows.withColumn("origin", F.first("file").over(w.orderBy("first_at", "file"))).select("file", "first_uuid", "origin")
+
+
+def shared_records(records: DataFrame, forks_: DataFrame) -> DataFrame:
+    """Per fork the records that it has in common with the file it came from."""
+    mine = forks_.where("file <> origin").join(records.select("file", "uuid").where("uuid is not null").distinct(), "file")
+    theirs = records.select(F.col("file").alias("origin"), "uuid").distinct()
+    return mine.join(theirs, ["origin", "uuid"], "left_semi").groupBy("file", "origin").agg(F.count("*").alias("shared"))
 
 
 def vendor_sessions(dump: DataFrame) -> DataFrame:

@@ -10,30 +10,27 @@ from ..operators import merge
 from ..sources.records import EVENT, verdict
 
 _PATH = "_part"
-
-
-def _stored(spark: SparkSession, path: str, schema) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schema)
+KEYS = ["agent_id", "prompt_id", "tool_use_id", "model"]
 
 
 def apply_batch(batch: DataFrame, events_path: str, rejected_path: str, batch_id: int) -> None:
-    """One micro-batch: accepted items that are new go to the events, others to the rejected.
+    """One micro-batch: accepted items go to the events, each id once, others to the rejected.
 
-    Written under the batch's number, so a batch that runs again replaces itself.
+    The event table keeps every version that arrived, so a batch never reads
+    it; `events` has one row per id.  Written under the batch's number, so a
+    batch that runs again replaces itself.
     """
     judged = batch.withColumn("reason", verdict())
     good = judged.where("reason is null").drop("reason", "_corrupt_record").withColumn("day", F.to_date(F.try_to_timestamp("occurred_at")))
-    spark = batch.sparkSession
-    before = _stored(spark, events_path, good.withColumn(_PATH, F.lit(0)).schema).where(F.col(_PATH) != batch_id)
-    merge.new_events(good, before).withColumn(_PATH, F.lit(batch_id)).write.partitionBy(_PATH).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(events_path)
+    merge.collapsed(good).withColumn(_PATH, F.lit(batch_id)).write.partitionBy(_PATH).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(events_path)
     judged.where("reason is not null").withColumn(_PATH, F.lit(batch_id)).write.partitionBy(_PATH).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(rejected_path)
 
 
+def events(spark: SparkSession, events_path: str) -> DataFrame:
+    """The event table as it stands: per id the highest version, whichever batch brought it."""
+    return merge.current(spark.read.parquet(events_path), KEYS, _PATH)
+
+
 def start(spark: SparkSession, landing: str, events_path: str, rejected_path: str, checkpoint: str) -> StreamingQuery:
     """Everything that has landed, then stop; run again for what lands later."""
     stream = spark.readStream.schema(EVENT).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(landing)
