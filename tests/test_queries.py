@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__
 from tests.conftest import SMALL
-from tracelake import registry
+from tracelake import registry, registry_more  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

@@ -31,20 +31,20 @@ def tables(spark, tmp_path, used):
 
 
 def test_small_cells_are_folded(spark, small):
-    got = {tuple(r) for r in registry.QUERIES["q_skill_by_lineage_all"](spark, small).select("plugin", "skill", "invocations", "people", "last_used").collect()}
+    got = {tuple(r) for r in registry.QUERIES["q_skill_by_lineage"](spark, small).select("plugin", "skill", "invocations", "people", "last_used").collect()}
     assert got == {("plugin1", "skill1", 3, 3, datetime(1996, 1, 7)), ("other", "other", 4, 3, None)}
 
 
 def test_last_use_of_small_groups_is_hidden(spark, small):
-    got = {tuple(r) for r in registry.QUERIES["q_skill_last_used_all"](spark, small).select("entry_id", "last_used", "people").collect()}
+    got = {tuple(r) for r in registry.QUERIES["q_skill_last_used"](spark, small).select("entry_id", "last_used", "people").collect()}
     assert got == {(1, datetime(1996, 1, 7), 3), (2, None, 2), (3, None, 1), (4, None, 0)}
 
 
 def test_names_are_looked_up_in_the_whole_catalog(spark, tmp_path):
     folder = tables(spark, tmp_path, USED + UNKNOWN)
-    got = {tuple(r) for r in registry.QUERIES["q_skill_catalog_copy_all"](spark, folder).select("plugin", "skill", "source_repo", "entry_id").collect()}
+    got = {tuple(r) for r in registry.QUERIES["q_skill_catalog_copy"](spark, folder).select("plugin", "skill", "source_repo", "entry_id").collect()}
     assert got == {("plugin1", "skill1", "b", 1), ("plugin2", "skill2", "a", 2), ("plugin3", "skill3", "c", 3), ("plugin5", "skill5", None, None)}
-    got = {tuple(r) for r in registry.QUERIES["q_skill_unknown_all"](spark, folder).select("plugin", "skill", "invocations", "first_seen", "last_seen", "suggestion").collect()}
+    got = {tuple(r) for r in registry.QUERIES["q_skill_unknown"](spark, folder).select("plugin", "skill", "invocations", "first_seen", "last_seen", "suggestion").collect()}
     assert got == {("plugin5", "skill5", 2, datetime(1996, 1, 2), datetime(1996, 1, 9), None)}
 
 
@@ -56,7 +56,7 @@ def test_other_plugins_entries_are_copies_and_suggestions(spark):
 
 
 def test_bundle_holds_every_turn(spark):
-    got = registry.QUERIES["q_bundle_turns"](spark, SMALL).collect()
+    got = registry.QUERIES["q_bundle"](spark, SMALL).collect()
     events = sorted(spark.read.parquet(f"{SMALL}/events.parquet").select("user_id", "ts", "event_id", "event_type").collect(), key=lambda r: (r["ts"], r["event_id"]))
     turns, at = set(), {}
     for r in events:

@@ -39,18 +39,36 @@ def calls_to_action(machines_: DataFrame, mutes: DataFrame, now) -> DataFrame:
     return out.select("email", "kind", order.cast("bigint").alias("rank"), "machines", "since", F.coalesce("own", "general", F.lit(False)).alias("muted"))
 
 
-def conditions(pending: Column, quarantine: Column, parked: Column, drops: Column, blocked: Column, paused: Column) -> Column:
-    """Conditions of a client's report as an array of (kind, level)."""
+#: Fixed values, in seconds and shares: when a backlog is old, when deliveries are dead, the grace of a new enrolment, when capture is stale, and how full the spool may be.
+BACKLOG_OLD, DELIVERY_DEAD, GRACE, STALE, NEAR_CAP = 3600, 3600, 86_400, 259_200, 0.8
+
+
+def conditions(r: dict[str, Column]) -> Column:
+    """Conditions of a client's report as an array of (kind, level).
+
+    r: free_ok, pending, previous (pending of the report before, null: none),
+    oldest_seconds, quarantine, parked, since_success (seconds, null: never),
+    uptime, drops, previous_drops (null: not known), bytes, most_bytes, paused,
+    clock_ahead.
+    """
+    waits = F.coalesce(r["pending"], F.lit(0)) > 0
+    old = F.coalesce(r["oldest_seconds"], F.lit(0)) > BACKLOG_OLD
+    dead = F.coalesce(r["since_success"] > DELIVERY_DEAD, F.lit(False))
+    stalled = waits & old & dead
+    never = r["since_success"].isNull() & (r["uptime"] > GRACE)
     cases = [
-        ("capture_blocked", blocked, "critical"),
-        ("backlog_stalled", pending > 10_000, "critical"),
-        ("backlog_growing", (pending > 1_000) & (pending <= 10_000), "degraded"),
-        ("quarantine", quarantine > 0, "degraded"),
-        ("parked", parked > 0, "degraded"),
-        ("drops_recorded", drops > 0, "degraded"),
-        ("paused", paused, "ok"),
+        ("capture_blocked", ~r["free_ok"], F.lit("critical")),
+        ("quarantine_nonempty", r["quarantine"] > 0, F.lit("critical")),
+        ("parked_nonempty", r["parked"] > 0, F.lit("degraded")),
+        ("backlog_stalled", stalled, F.lit("critical")),
+        ("backlog_growing", waits & ~stalled & r["since_success"].isNotNull() & ~dead & (r["pending"] > r["previous"]), F.lit("degraded")),
+        ("spool_near_cap", (r["most_bytes"] > 0) & (r["bytes"] > 0) & (r["bytes"] >= NEAR_CAP * r["most_bytes"]), F.lit("degraded")),
+        ("drops_recorded", (r["drops"] > 0) & (r["drops"] > r["previous_drops"]), F.lit("degraded")),
+        ("never_delivered", never, F.when(waits & old, "critical").otherwise("degraded")),
+        ("paused", r["paused"], F.lit("info")),
+        ("clock_skew", r["clock_ahead"], F.lit("degraded")),
     ]
-    return F.array_compact(F.array(*[F.when(test, F.struct(F.lit(kind).alias("kind"), F.lit(level).alias("level"))) for kind, test, level in cases]))
+    return F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(kind).alias("kind"), level.alias("level"))) for kind, test, level in cases]))
 
 
 def worst_level(conditions_: Column) -> Column:
@@ -74,3 +92,14 @@ def label_counts(rows: DataFrame, unit: str, edges: list[int]) -> DataFrame:
     """A log metric: per window and label the count, and the values' bucket counts."""
     bucket = sum((F.when(F.col("value") >= e, 1).otherwise(0) for e in edges), F.lit(0))
     return rows.groupBy(F.date_trunc(unit, "at").alias("since"), "label", bucket.cast("bigint").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def summary(machines_: DataFrame, starts: DataFrame, answers: DataFrame) -> DataFrame:
+    """One row of gauges: machines by state, aborted starts and their rate, turns without an answer and their rate."""
+    level = lambda x: F.count_if(F.col("level") == x).alias(x)
+    a = machines_.agg(F.count("*").alias("machines"), F.count_if("enrolled").alias("enrolled"), level("critical"), level("degraded"), level("ok"), level("never"), F.countDistinct("email").alias("people"))
+    b = starts.agg(F.sum("empty").cast("bigint").alias("empty_starts"), F.sum("sessions").cast("bigint").alias("sessions"), F.count_if("alert").alias("start_alerts"))
+    c = answers.agg(F.sum("turns").cast("bigint").alias("turns"), F.sum("answered").cast("bigint").alias("answered"))
+    rows = a.crossJoin(b).crossJoin(c)  # one row each
+    share = lambda x, y: F.round(F.when(F.col(y) > 0, F.col(x) / F.col(y)).otherwise(0.0), 6)
+    return rows.withColumn("empty_rate", share("empty_starts", "sessions")).withColumn("missing_rate", F.round(F.when(F.col("turns") > 0, 1 - F.col("answered") / F.col("turns")).otherwise(0.0), 6))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Reasons that are no loss, and ranks of levels.
 NOT_LOSS = ("recovered_from_transcript", "parked", "tmp_swept")
 LEVELS = {"critical": 3, "degraded": 2}
+#: Aborted starts and their share from which a device is at fault; the share of answers that may be missing; the length of a full commit id.
+EMPTY_LEAST, EMPTY_SHARE, MISSING_SHARE = 20, 0.5, 0.10
 
 
 def is_loss(reason: Column) -> Column:
@@ -60,13 +62,13 @@ def recent_builds(reports: DataFrame) -> DataFrame:
     return reports.where("build <> ''").groupBy("build").agg(F.max("emitted_at").alias("last_seen"), F.min("emitted_at").alias("first_seen"), F.countDistinct("email").alias("people"))
 
 
-def empty_starts(sessions: DataFrame, least: int = 2, share: float = 0.5) -> DataFrame:
-    """Per device: sessions, those that came to nothing, the first five repositories of these, and whether that is too many."""
-    empty = F.col("errors") >= F.col("user_turns") + 1
+def empty_starts(sessions: DataFrame, least: int = EMPTY_LEAST, share: float = EMPTY_SHARE) -> DataFrame:
+    """Per device: sessions, those that were aborted without content, the first five folders of these, and whether that is too many."""
+    empty = (F.col("session_type") == "empty") & F.coalesce(F.col("empty_kind") == "aborted", F.lit(False))
     rows = sessions.groupBy("email", "device_id").agg(
         F.count("*").alias("sessions"),
         F.sum(empty.cast("bigint")).alias("empty"),
-        F.array_join(F.slice(F.array_sort(F.collect_set(F.when(empty, F.col("repo")))), 1, 5), ",").alias("repos"),
+        F.array_join(F.slice(F.array_sort(F.collect_set(F.when(empty & (F.col("cwd") != ""), F.col("cwd")))), 1, 5), ",").alias("cwds"),
     )
     return rows.withColumn("alert", (F.col("empty") >= least) & (F.col("empty") >= share * F.col("sessions")))
 
@@ -92,6 +94,70 @@ def version_state(build: Column, wanted: str) -> Column:
     return F.when(build.isNull() | (build == ""), "unknown").when(build == wanted, "current").when(build.rlike("^[0-9]+[.][0-9]+$"), "lagging").otherwise("unmanaged")
 
 
+def is_commit(build: Column) -> Column:
+    return build.rlike("^[0-9a-f]{7,40}$")
+
+
+def same_commit(a: Column, b: Column) -> Column:
+    """One of two commit ids is a prefix of the other."""
+    return is_commit(a) & is_commit(b) & (a.startswith(b) | b.startswith(a))
+
+
+def commit_state(build: Column, wanted: Column) -> Column:
+    """A build judged against the published commit: unknown without either, unmanaged if it is no commit id."""
+    blank = lambda c: F.coalesce(c, F.lit("")) == ""
+    return F.when(blank(build), "unknown").when(~is_commit(build), "unmanaged").when(blank(wanted), "unknown").when(same_commit(build, wanted), "current").otherwise("lagging")
+
+
+def build_verdicts(reports: DataFrame, wanted: str, now, minutes: int = 60) -> DataFrame:
+    """Per device: current if any report of the last hour had the published build, and which other build it ran beside it; else its newest report's build is judged."""
+    at = F.lit(now).cast("timestamp_ntz")
+    recent = (F.col("emitted_at") > at - F.expr(f"interval {minutes} minutes")) & (F.col("emitted_at") <= at)
+    good = same_commit(F.col("build"), F.lit(wanted))
+    order = F.struct("emitted_at", "id")
+    rows = reports.where((F.col("build") != "") & (F.col("emitted_at") <= at)).groupBy("email", "device_id").agg(
+        F.max_by("build", order).alias("newest"),
+        F.max_by(F.when(recent & good, F.col("build")), F.when(recent & good, order)).alias("published"),
+        F.max_by(F.when(recent & ~good, F.col("build")), F.when(recent & ~good, order)).alias("other"),
+    )
+    hit = F.col("published").isNotNull()
+    return rows.select("email", "device_id", F.coalesce("published", "newest").alias("build"), F.when(hit, "current").otherwise(commit_state(F.col("newest"), F.lit(wanted))).alias("state"), F.when(hit, F.col("other")).alias("also"))
+
+
+def missing_rate(cohorts: DataFrame, over: float = MISSING_SHARE) -> DataFrame:
+    """Over all cohorts of the latest day that has turns: turns, answered, the rate without an answer, and whether it is too high."""
+    some = cohorts.where("turns > 0")
+    day = some.agg(F.max("day").alias("last"))
+    rows = some.join(F.broadcast(day), F.col("day") == F.col("last"))  # one row
+    out = rows.groupBy("day").agg(F.sum("turns").cast("bigint").alias("turns"), F.sum("answered").cast("bigint").alias("answered"))
+    rate = 1 - F.col("answered") / F.col("turns")
+    return out.withColumn("rate", F.round(rate, 6)).withColumn("alert", rate > over)
+
+
+def silence_minutes(last: Column, now: Column, first_expected: Column, counted: Column) -> Column:
+    """Counted minutes since the last row; a series that never had one is silent for ever (100000) once a day of grace is over."""
+    never = F.when(F.timestamp_diff("HOUR", first_expected, now) < 24, F.lit(0)).otherwise(F.lit(100_000))
+    return F.when(last.isNull(), never).otherwise(counted)
+
+
+def decoded(report: Column, schema: str = "schema_version int, spool struct<pending: long, parked: long, dropped: map<string,long>>, empty_starts long, host string, device string") -> Column:
+    """A report's values; parked and empty_starts were not sent before version 2: null there, 0 from then on if left out."""
+    r = F.from_json(report, schema)
+    later = lambda c: F.when(r["schema_version"] >= 2, F.coalesce(c, F.lit(0)))
+    return F.struct(r["schema_version"].alias("schema_version"), r["spool"]["pending"].alias("pending"), later(r["spool"]["parked"]).alias("parked"), later(r["empty_starts"]).alias("empty_starts"), r["spool"]["dropped"].alias("dropped"), r["host"].alias("host"))
+
+
+def redacted(host: Column, tokens: Column, text: Column) -> tuple[Column, Column]:
+    """The host's digest, and a text in which none of the identifying tokens is left."""
+    return F.left(F.sha2(host, 256), F.lit(12)), F.aggregate(F.filter(tokens, lambda t: F.length(t) > 2), text, lambda out, t: F.replace(out, t, F.lit("<redacted>")))
+
+
+def hours_since(hours: DataFrame, since) -> DataFrame:
+    """Drops by device and reason of the hours since then; reasons is a map of counts."""
+    rows = hours.where(F.col("hour") >= F.lit(since).cast("timestamp_ntz")).select("email", "device_id", F.explode("reasons").alias("reason", "n"))
+    return rows.groupBy("email", "device_id", "reason").agg(F.sum("n").cast("bigint").alias("drops"))
+
+
 def loss_windows(sessions: DataFrame, drops: DataFrame, minutes: int = 5) -> DataFrame:
     """Sessions with a drop hour of their device around them.
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STOP = frozenset("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
@@ -88,3 +88,36 @@ def snippet(text: Column, term: str, width: int = 120) -> Column:
     at = F.instr(F.lower(text), term)
     start = F.greatest(F.lit(1), at - F.lit(width // 3))
     return F.when(at > 0, F.substring(text, start, F.lit(width))).otherwise(F.left(text, F.lit(width)))
+
+
+def candidates(messages: DataFrame, text: str, readable: DataFrame, most: int = CANDIDATES, types: list[str] | None = None) -> DataFrame:
+    """The newest matches among the sessions that may be read, of the wanted types; capped tells whether there were more."""
+    seen = readable if types is None else readable.where(F.col("session_type").isin(types))
+    hits = messages.withColumn("tokens", tokens(F.col("text"))).where(matches(parse(text))).join(seen.select("session_id", "email"), "session_id")
+    return hits.orderBy(F.col("occurred_at").desc(), "event_id").limit(most)
+
+
+def capped_count(hits: DataFrame, most: int = CANDIDATES) -> DataFrame:
+    """How many hits there are, and whether the cap cut them."""
+    return hits.limit(most).agg(F.count("*").alias("hits")).withColumn("capped", F.col("hits") >= most)
+
+
+def audit(hits: DataFrame, viewer: str) -> DataFrame:
+    """One row for each session of somebody else in the hits."""
+    return hits.where(F.col("email") != viewer).select("session_id").distinct().withColumn("viewer", F.lit(viewer))
+
+
+def hits_on_list(listed: DataFrame, hits: DataFrame) -> DataFrame:
+    """Listed sessions with their first hit, and after them the sessions that only have a hit."""
+    w = Window.partitionBy("session_id").orderBy(F.col("score").desc(), F.col("occurred_at").desc(), "event_id")
+    first = hits.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("session_id", "event_id", "score")
+    return listed.select("session_id", F.lit(True).alias("listed")).join(first, "session_id", "full").withColumn("listed", F.coalesce("listed", F.lit(False)))
+
+
+def highlighted(text: Column, terms: list[str], most: int = 20) -> Column:
+    """Segments of a text as (text, marked): the first places of the terms, the longest term first, at most so many marks."""
+    quoted = sorted(map(re.escape, terms), key=len, reverse=True)
+    parts = F.regexp_extract_all(text, F.lit(f"(?is)({'|'.join(quoted)}|(?:(?!{'|'.join(quoted)}).)+)"))
+    pieces = F.transform(parts, lambda p: F.struct(p.alias("text"), p.rlike(f"(?is)^(?:{'|'.join(quoted)})$").alias("marked")))
+    shown = F.transform(pieces, lambda p, i: F.struct(p["text"].alias("text"), (p["marked"] & (F.size(F.filter(F.slice(pieces, F.lit(1), i + 1), lambda q: q["marked"])) <= most)).alias("marked")))
+    return shown

@@ -130,7 +130,10 @@ register("q_health_hourly", "reports", _HOURLY)(health.hourly)
 register("q_kinds_histogram", "reports", "select date_trunc('hour', emitted_at) as hour, reason || '/' || worst as kind, count(*) as n from reports group by 1, 2")(health.kinds)
 register("q_latest_reports", "reports", "select * exclude (rn) from (select *, row_number() over (partition by email, device_id order by emitted_at desc, id desc) as rn from reports) where rn = 1")(health.latest_reports)
 register("q_recent_builds", "reports", "select build, max(emitted_at) as last_seen, min(emitted_at) as first_seen, count(distinct email) as people from reports where build <> '' group by 1")(health.recent_builds)
-register("q_empty_starts", "sessions", "select *, empty >= 2 and empty >= 0.5 * sessions as alert from (select email, device_id, count(*) as sessions, count(*) filter (where errors >= user_turns + 1) as empty, coalesce(array_to_string(list_slice(list_sort(list_distinct(list(repo) filter (where errors >= user_turns + 1))), 1, 5), ','), '') as repos from sessions group by 1, 2)")(health.empty_starts)
+_ABORTED = "session_type = 'empty' and tokens % 8 <> 0"
+register("q_empty_starts", "sessions", f"select *, empty >= 20 and empty >= 0.5 * sessions as alert from (select email, device_id, count(*) as sessions, count(*) filter (where {_ABORTED}) as empty, coalesce(array_to_string(list_slice(list_sort(list_distinct(list(repo) filter (where {_ABORTED} and repo <> ''))), 1, 5), ','), '') as cwds from sessions group by 1, 2)")(
+    lambda s: health.empty_starts(s.withColumns({"empty_kind": F.expr("if(tokens % 8 <> 0, 'aborted', 'blank')"), "cwd": F.col("repo")}))
+)
 register("q_missing_answers", "events_c", """select cast(occurred_at as date) as day, origin, count(distinct session_id) as sessions, count(distinct case when answers = 0 then session_id end) as missing from (select *, count(*) filter (where type = 'user_prompt') over (partition by session_id) as prompts, count(*) filter (where type = 'assistant_turn') over (partition by session_id) as answers from events_c) where prompts > 0 group by 1, 2""")(health.missing_answers)
 register("q_silence", "devices reports", "select coalesce(d.email, r.email) as email, d.email is not null as enrolled, r.last_at, r.last_at is null or date_sub('second', r.last_at, timestamp '2024-01-30 12:00:00') > 86400 as silent from (select distinct email from devices where not revoked) d full join (select email, max(emitted_at) as last_at from reports group by 1) r on r.email = d.email")(
     lambda d, r: health.silence(d, r, "2024-01-30 12:00:00")
@@ -154,21 +157,17 @@ _FOLD = "case when people < 3 then 'other' else {0} end as {0}"
 _CELLS = "(select plugin, skill, count(*) as invocations, count(distinct actor_email) as people, max(occurred_at) as last_used from skills where {} group by 1, 2)"
 register("q_skill_totals", "skills", "select count(*) as invocations, count(distinct skill) as skills, count(distinct actor_email) as people, count(distinct session_ref) as sessions, count(*) filter (where outcome = 'failed') as failed, count(*) filter (where trigger = 'user') as by_user, count(*) filter (where trust = 'device' and origin = 'derived') as proven from skills")(skills.totals)
 register("q_skill_by_bucket", "skills", "select cast(date_trunc('month', occurred_at) as date) as bucket, platform, count(*) as invocations, count(distinct actor_email) as people from skills group by 1, 2 having count(distinct actor_email) >= 3")(lambda r: skills.by_bucket(r, "month", False))
-register("q_skill_by_lineage", "skills", f"select {_FOLD.format('plugin')}, {_FOLD.format('skill')}, cast(sum(invocations) as bigint) as invocations, cast(sum(people) as bigint) as people, max(case when people >= 3 then last_used end) as last_used from {_CELLS.format('occurred_at < timestamp ' + repr('1994-01-01 00:00:00'))} group by 1, 2")(lambda r: skills.by_lineage(r.where("occurred_at < timestamp_ntz '1994-01-01 00:00:00'")))
-register("q_skill_by_lineage_all", "skills", f"select {_FOLD.format('plugin')}, {_FOLD.format('skill')}, cast(sum(invocations) as bigint) as invocations, cast(sum(people) as bigint) as people, max(case when people >= 3 then last_used end) as last_used from {_CELLS.format('true')} group by 1, 2")(skills.by_lineage)
+register("q_skill_by_lineage", "skills", f"select {_FOLD.format('plugin')}, {_FOLD.format('skill')}, cast(sum(invocations) as bigint) as invocations, cast(sum(people) as bigint) as people, max(case when people >= 3 then last_used end) as last_used from {_CELLS.format('true')} group by 1, 2")(skills.by_lineage)
 register("q_skill_by_lineage_prefix", "skills", f"select plugin, skill, invocations, people, last_used from {_CELLS.format('starts_with(skill, ' + repr('skill1') + ')')}")(lambda r: skills.by_lineage(r, "skill1", True))
 register("q_skill_by_platform", "skills", f"select {_FOLD.format('platform')}, {_FOLD.format('origin')}, {_FOLD.format('trust')}, cast(sum(invocations) as bigint) as invocations, cast(sum(people) as bigint) as people from (select platform, origin, trust, count(*) as invocations, count(distinct actor_email) as people from skills group by 1, 2, 3) group by 1, 2, 3")(skills.by_platform)
 register("q_skill_by_person", "skills", """select actor_email, cast(sum(n) as bigint) as invocations, count(*) as skills, max(case when rn = 1 then skill end) as top_skill, any_value(platforms) as platforms from (select *, row_number() over (partition by actor_email order by n desc, skill) as rn, (select string_agg(distinct platform, ',' order by platform) from skills k where k.actor_email = c.actor_email) as platforms from (select actor_email, skill, count(*) as n from skills group by 1, 2) c) group by 1""")(skills.by_person)
 register("q_skill_by_repo", "skills", "select repo, count(*) as invocations, count(distinct skill) as skills from skills group by 1 order by 2 desc, 1 limit 500")(skills.by_repo)
-register("q_skill_catalog_copy", "skills catalog", "select plugin, skill, source_repo, entry_id from (select n.plugin, n.skill, c.source_repo, c.entry_id, row_number() over (partition by n.plugin, n.skill order by case when c.plugin = n.plugin then 0 else 1 end, c.source_repo nulls last, c.entry_id) as rn from (select distinct plugin, skill from skills) n left join (select * from catalog where entry_id % 3 <> 0) c on c.skill = n.skill) where rn = 1")(lambda r, c: skills.with_catalog(r, c.where("entry_id % 3 <> 0")))
-register("q_skill_catalog_copy_all", "skills catalog", "select plugin, skill, source_repo, entry_id from (select n.plugin, n.skill, c.source_repo, c.entry_id, row_number() over (partition by n.plugin, n.skill order by case when c.plugin = n.plugin then 0 else 1 end, c.source_repo nulls last, c.entry_id) as rn from (select distinct plugin, skill from skills) n left join catalog c on c.skill = n.skill) where rn = 1")(skills.with_catalog)
-register("q_skill_last_used", "skills catalog", "select c.entry_id, case when u.people >= 3 then u.last_used end as last_used, coalesce(u.people, 0) as people from catalog c left join (select plugin, skill, max(occurred_at) as last_used, count(distinct actor_email) as people from skills where occurred_at < timestamp '1994-01-01 00:00:00' group by 1, 2) u on u.plugin = c.plugin and u.skill = c.skill")(lambda r, c: skills.last_used(r.where("occurred_at < timestamp_ntz '1994-01-01 00:00:00'"), c).select("entry_id", "last_used", "people"))
-register("q_skill_last_used_all", "skills catalog", "select c.entry_id, case when u.people >= 3 then u.last_used end as last_used, coalesce(u.people, 0) as people from catalog c left join (select plugin, skill, max(occurred_at) as last_used, count(distinct actor_email) as people from skills group by 1, 2) u on u.plugin = c.plugin and u.skill = c.skill")(lambda r, c: skills.last_used(r, c).select("entry_id", "last_used", "people"))
+register("q_skill_catalog_copy", "skills catalog", "select plugin, skill, source_repo, entry_id from (select n.plugin, n.skill, c.source_repo, c.entry_id, row_number() over (partition by n.plugin, n.skill order by case when c.plugin = n.plugin then 0 else 1 end, c.source_repo nulls last, c.entry_id) as rn from (select distinct plugin, skill from skills) n left join catalog c on c.skill = n.skill) where rn = 1")(skills.with_catalog)
+register("q_skill_last_used", "skills catalog", "select c.entry_id, case when u.people >= 3 then u.last_used end as last_used, coalesce(u.people, 0) as people from catalog c left join (select plugin, skill, max(occurred_at) as last_used, count(distinct actor_email) as people from skills group by 1, 2) u on u.plugin = c.plugin and u.skill = c.skill")(lambda r, c: skills.last_used(r, c).select("entry_id", "last_used", "people"))
 _UNUSED = "not exists (select 1 from skills s where s.plugin = c.plugin and s.skill = c.skill and s.occurred_at >= timestamp '2001-06-01 00:00:00')"
 register("q_skill_unused", "skills catalog", f"select entry_id, plugin, skill from catalog c where {_UNUSED}")(lambda r, c: skills.unused(r, c, "2001-06-01 00:00:00").select("entry_id", "plugin", "skill"))
 register("q_skill_pruning", "skills catalog", f"select entry_id, plugin, skill, case when age_days < 5 then 'too_new' when not installable then 'not_installable' else 'archive' end as verdict, case when age_days >= 5 and installable then 'archive_pr' else 'flag_only' end as action from catalog c where {_UNUSED}")(lambda r, c: skills.pruning(r, c, "2001-06-01 00:00:00"))
-register("q_skill_unknown", "skills catalog", "select s.plugin, s.skill, count(*) as invocations, min(s.occurred_at) as first_seen, max(s.occurred_at) as last_seen, any_value((select min_by(c.plugin, c.source_repo || lpad(cast(c.entry_id as varchar), 12, '0')) from catalog c where c.skill = s.skill)) as suggestion from skills s where not exists (select 1 from catalog c where c.entry_id % 4 <> 0 and c.plugin = s.plugin and c.skill = s.skill) group by 1, 2")(lambda r, c: skills.unknown(r, c.where("entry_id % 4 <> 0"), c))
-register("q_skill_unknown_all", "skills catalog", "select s.plugin, s.skill, count(*) as invocations, min(s.occurred_at) as first_seen, max(s.occurred_at) as last_seen, any_value((select min_by(c.plugin, c.source_repo || lpad(cast(c.entry_id as varchar), 12, '0')) from catalog c where c.skill = s.skill)) as suggestion from skills s where not exists (select 1 from catalog c where c.plugin = s.plugin and c.skill = s.skill) group by 1, 2")(lambda r, c: skills.unknown(r, c, c))
+register("q_skill_unknown", "skills catalog", "select s.plugin, s.skill, count(*) as invocations, min(s.occurred_at) as first_seen, max(s.occurred_at) as last_seen, any_value((select min_by(c.plugin, c.source_repo || lpad(cast(c.entry_id as varchar), 12, '0')) from catalog c where c.skill = s.skill)) as suggestion from skills s where not exists (select 1 from catalog c where c.plugin = s.plugin and c.skill = s.skill) group by 1, 2")(lambda r, c: skills.unknown(r, c, c))
 _RUNS = "(values ('web', date '1997-01-01', date '1997-12-31'), ('cli', date '1997-06-01', date '1998-05-31'), ('web', date '1997-12-01', date '1998-01-31')) as t(platform, first_day, last_day)"
 register("q_skill_compliance", "skills", f"""select day, platform, beacon, case when covered then reconciler end as reconciler, case when covered and reconciler > 0 then round(least(1.0, beacon / reconciler), 6) end as share from
  (select *, exists (select 1 from {_RUNS} where t.platform = c.platform and c.day between first_day and last_day) as covered from (select cast(occurred_at as date) as day, platform, count(*) filter (where origin = 'api') as beacon, count(*) filter (where origin = 'derived') as reconciler from skills group by 1, 2) c)""")(
@@ -203,15 +202,43 @@ register("q_scrub", "events_c", "select id, 'postgres://app:[REDACTED:db_passwor
 )
 
 # turns, exports, search, sources
-register("q_turn_fold", "events_c", None)(
-    lambda e: fold.turns(
-        e.select(
-            "session_id", F.col("id").cast("string").alias("id"), "seq", "type", "origin", F.expr("if(id % 17 = 0, concat('agent-', left(sha2(session_id, 256), 16)), null)").alias("agent_id"), "occurred_at",
-            F.expr("if(type = 'user_prompt' and id % 2 = 0, concat('p', seq), null)").alias("prompt_id"), F.expr("if(type = 'assistant_turn', concat('m', id div 2), null)").alias("message_id"),
-            F.lit(None).cast("string").alias("tool_use_id"), F.expr("if(type = 'user_prompt', 'human', null)").alias("kind"), F.expr("id % 5 <> 0").alias("has_text"), F.expr("id % 3 <> 0").alias("has_usage"), F.expr("left(sha2(cast(id div 2 as string), 256), 8)").alias("text_hash"),
-        )
+def _foldable(e: DataFrame) -> DataFrame:
+    return e.select(
+        "session_id", F.col("id").cast("string").alias("id"), "seq", "type", "origin", F.expr("if(id % 17 = 0, concat('agent-', left(sha2(session_id, 256), 16)), null)").alias("agent_id"), "occurred_at",
+        F.expr("if(type = 'user_prompt' and id % 2 = 0, concat('p', seq), null)").alias("prompt_id"), F.expr("if(type = 'assistant_turn', concat('m', id div 2), null)").alias("message_id"),
+        F.lit(None).cast("string").alias("tool_use_id"), F.expr("if(type = 'user_prompt', 'human', null)").alias("kind"), F.expr("id % 5 <> 0").alias("has_text"), F.expr("id % 3 <> 0").alias("has_usage"), F.expr("left(sha2(cast(id div 2 as string), 256), 8)").alias("text_hash"),
     )
+
+
+register("q_turn_fold", "events_c", None)(lambda e: fold.turns(_foldable(e)))
+# one capture, one thread, no prompt ids, texts that never repeat: a turn is what lies between two prompts
+register("q_turn_fold_plain", "events_c", """with e as (select *, case when type = 'user_prompt' then 0 else 1 end as late from events_c),
+ n as (select *, cast(sum(case when type = 'user_prompt' then 1 else 0 end) over (partition by session_id order by occurred_at, late, seq, cast(id as varchar)) as bigint) as turn, min(type = 'user_prompt') over (partition by session_id) as whole from e),
+ f as (select *, first_value(type) over (partition by session_id order by occurred_at, late, seq, cast(id as varchar)) <> 'user_prompt' as headed, lag(occurred_at) over (partition by session_id, turn order by occurred_at, seq, cast(id as varchar)) as before from n),
+ t as (select session_id, turn - case when bool_or(headed) then 0 else 1 end as turn_index, case when turn = 0 then 'head' else 'ts:' || cast(epoch(date_trunc('second', min(occurred_at) filter (where type = 'user_prompt'))) as bigint) || ':' || min(left(sha256(cast(id as varchar)), 8)) filter (where type = 'user_prompt') end as key,
+  count(*) filter (where type = 'user_prompt') as prompts, count(*) filter (where type = 'tool_call') as tools, count(*) filter (where type = 'tool_failed') as errors, max_by(cast(id as varchar), (occurred_at, seq, cast(id as varchar))) filter (where type = 'assistant_turn') as final_event_id,
+  min(occurred_at) as a, max(occurred_at) as b, cast(coalesce(sum(case when date_sub('microsecond', before, occurred_at) <= 300000000 then date_sub('microsecond', before, occurred_at) // 1000 else 0 end), 0) as bigint) as active_ms, count(*) filter (where type <> 'user_prompt') as work from f group by session_id, turn)
+ select session_id, turn_index, key, prompts, tools, errors, final_event_id, active_ms, date_sub('microsecond', a, b) // 1000 as wall_ms, case when date_sub('microsecond', b, lead(a) over w) // 1000 > 0 then date_sub('microsecond', b, lead(a) over w) // 1000 end as waiting_ms,
+  case when final_event_id is not null then 'answered' when lead(a) over w is null then 'in_progress' when work > 0 then 'no_answer_captured' else 'no_work' end as outcome from t window w as (partition by session_id order by turn_index)""")(
+    lambda e: fold.turns(_foldable(e).withColumns({"origin": F.lit("transcript"), "agent_id": F.lit(None).cast("string"), "prompt_id": F.lit(None).cast("string"), "has_text": F.lit(True), "text_hash": F.left(F.sha2(F.col("id"), 256), F.lit(8))}))
+    .select("session_id", "turn_index", "key", "prompts", "tools", "errors", "final_event_id", "active_ms", "wall_ms", "waiting_ms", "outcome")
+)
+# every prompt and answer captured twice: the hook's copy, two seconds late, yields to the transcript's
+register("q_superseded", "events_c", """select 'h' || id as event_id, 't' || id as superseded_by from events_c where type in ('user_prompt', 'assistant_turn')""")(
+    lambda e: fold.turn_events(_twice(e)).where("superseded_by is not null").select("event_id", "superseded_by")
+)
+register("q_paired_tools", "events_c", "select count(*) as turns_events, cast(sum(case when type in ('tool_call', 'tool_failed') then 1 else 0 end) as bigint) as tools from events_c where type <> 'file_changed'")(
+    lambda e: fold.turns(_twice(e)).agg(F.lit(0).alias("x"), F.sum(F.col("tools") + F.col("errors")).cast("bigint").alias("tools")).crossJoin(e.where("type <> 'file_changed'").agg(F.count("*").alias("turns_events"))).select("turns_events", "tools")
 )
+
+
+def _twice(e: DataFrame) -> DataFrame:
+    rows = _foldable(e.where("type <> 'file_changed'")).withColumns({"agent_id": F.lit(None).cast("string"), "prompt_id": F.when(F.col("type") == "user_prompt", F.col("id")), "message_id": F.when(F.col("type") == "assistant_turn", F.col("id")), "tool_use_id": F.when(F.col("type").startswith("tool"), F.col("id"))})
+    script = rows.withColumns({"origin": F.lit("transcript"), "id": F.concat(F.lit("t"), "id")})
+    hook = rows.withColumns({"origin": F.lit("hook"), "id": F.concat(F.lit("h"), "id")})
+    return script.unionByName(hook)
+
+
 register("q_search", "messages", """select count(*) as hits from messages where list_contains(list_transform(regexp_extract_all(lower(text), '([\\p{L}\\p{N}_]+)', 1), lambda w: case when length(regexp_replace(w, '(ingly|edly|ing|edly|ed|ly|ies|es|s)$', '')) >= 3 then regexp_replace(w, '(ingly|edly|ing|edly|ed|ly|ies|es|s)$', '') else w end), 'eron')
  and not list_contains(list_transform(regexp_extract_all(lower(text), '([\\p{L}\\p{N}_]+)', 1), lambda w: case when length(regexp_replace(w, '(ingly|edly|ing|edly|ed|ly|ies|es|s)$', '')) >= 3 then regexp_replace(w, '(ingly|edly|ing|edly|ed|ly|ies|es|s)$', '') else w end), 'handly')""")(
     lambda m: m.withColumn("tokens", search.tokens(F.col("text"))).where(search.matches(search.Query((("eron",),), ("handly",), ()))).agg(F.count("*").alias("hits"))
@@ -221,10 +248,7 @@ register("q_retention", "events_c sessions", "select e.id, case when e.occurred_
     lambda e, s: export.retained(e.withColumn("body", F.concat(F.lit("body"), "id")), "2024-01-20 00:00:00", "2024-01-10 00:00:00", s).select("id", "body")
 )
 register("q_anonymise", "skills", "select id, case when session_ref % 3 <> 0 then actor_email end as actor_email, case when session_ref % 3 <> 0 then repo end as repo, skill, occurred_at from skills")(lambda r: export.anonymised(r, r.where("session_ref % 3 = 0").select("session_ref")))
-register("q_bundle", "sessions events_c", "select session_id, 0 as part, session_id as k1, n_events as k2 from sessions union all select session_id, 2, cast(id as varchar), seq from events_c where type not in ('compaction', 'system_reminder')")(
-    lambda s, e: export.bundle(s, s.select("session_id", F.lit(0).alias("turn_index")).where("false"), e.withColumn("occurred_at", F.col("id"))).select("session_id", "part", "k1", "k2")
-)
-register("q_bundle_turns", "sessions events_c", """select session_id, 0 as part, session_id as k1, n_events as k2 from sessions union all select session_id, 2, cast(id as varchar), seq from events_c where type not in ('compaction', 'system_reminder')
+register("q_bundle", "sessions events_c", """select session_id, 0 as part, session_id as k1, n_events as k2 from sessions union all select session_id, 2, cast(id as varchar), seq from events_c where type not in ('compaction', 'system_reminder')
  union all select distinct session_id, 1, session_id, turn_index from (select session_id, cast(sum(case when type = 'user_prompt' then 1 else 0 end) over (partition by session_id order by seq) as bigint) as turn_index from events_c)""")(
     lambda s, e: export.bundle(s, activity.interval_turns(e.withColumns({"role": F.expr("case type when 'user_prompt' then 'user' when 'assistant_turn' then 'assistant' end"), "event_id": F.col("id")})), e.withColumn("occurred_at", F.col("id"))).select("session_id", "part", "k1", "k2")
 )
@@ -281,8 +305,14 @@ register("q_calls_to_action", "devices reports principals", f"""select email, ki
  from (select *, case level when 'never' then 'enrolled_never_seen' when 'critical' then 'capture_blocked' when 'degraded' then 'degraded' end as kind from ({_MACHINES})) where kind is not null group by 1, 2""")(
     lambda d, r, p: fleet.calls_to_action(fleet.machines(d, r, p), d.sparkSession.sql("select * from values ('*', 'degraded', timestamp_ntz '2025-01-01 00:00:00'), ('u1@b.example', 'capture_blocked', timestamp_ntz '2025-01-01 00:00:00'), ('*', 'capture_blocked', timestamp_ntz '2023-01-01 00:00:00') as t(email, kind, until)"), "2024-01-30 00:00:00")
 )
-register("q_client_conditions", "reports", "select id, (case when reason = 'error' then 1 else 0 end) + (case when total * 200 > 1000 then 1 else 0 end) + (case when quarantine > 0 then 1 else 0 end) + (case when total % 3 > 0 then 1 else 0 end) as n, case when reason = 'error' or total * 200 > 10000 then 'critical' when total * 200 > 1000 or quarantine > 0 or total % 3 > 0 then 'degraded' else 'ok' end as worst from reports")(
-    lambda r: r.select("id", fleet.conditions(F.col("total") * 200, F.col("quarantine"), F.lit(0), F.col("total") % 3, F.col("reason") == "error", F.lit(False)).alias("c")).select("id", F.size("c").cast("bigint").alias("n"), fleet.worst_level(F.col("c")).alias("worst"))
+register("q_client_conditions", "reports", """select id, (reason = 'error')::bigint + (quarantine > 100)::bigint + (total % 3 > 0)::bigint + (case when since > 3600 and total * 60 > 3600 and total > 0 then 1 when total > 0 and since is not null and since <= 3600 and total > total // 2 then 1 else 0 end)::bigint + (since is null and id % 7 > 3)::bigint as n,
+ case when reason = 'error' or quarantine > 100 or (since > 3600 and total * 60 > 3600 and total > 0) or (since is null and id % 7 > 3 and total > 0 and total * 60 > 3600) then 'critical'
+  when total % 3 > 0 or (total > 0 and since is not null and since <= 3600 and total > total // 2) or (since is null and id % 7 > 3) then 'degraded' else 'ok' end as worst
+ from (select *, case when id % 5 = 0 then null else (id % 4) * 1800 end as since from reports)""")(
+    lambda r: r.select("id", fleet.conditions({
+        "free_ok": F.col("reason") != "error", "pending": F.col("total"), "previous": F.floor(F.col("total") / 2), "oldest_seconds": F.col("total") * 60, "quarantine": F.when(F.col("quarantine") > 100, 1).otherwise(0), "parked": F.col("total") % 3,
+        "since_success": F.expr("if(id % 5 = 0, null, id % 4 * 1800)"), "uptime": F.expr("(id % 7) * 25000"), "drops": F.lit(0), "previous_drops": F.lit(0), "bytes": F.lit(0), "most_bytes": F.lit(0), "paused": F.lit(False), "clock_ahead": F.lit(False),
+    }).alias("c")).select("id", F.size("c").cast("bigint").alias("n"), fleet.worst_level(F.col("c")).alias("worst"))
 )
 register("q_drops_between", "reports", "select reason, cast(sum(total) filter (where emitted_at >= timestamp '2024-01-15 00:00:00') - sum(total) filter (where emitted_at < timestamp '2024-01-15 00:00:00') as bigint) as grown from reports group by 1 having sum(total) filter (where emitted_at >= timestamp '2024-01-15 00:00:00') > sum(total) filter (where emitted_at < timestamp '2024-01-15 00:00:00')")(
     lambda r: fleet.drops_between(r.where("emitted_at < timestamp_ntz '2024-01-15 00:00:00'").groupBy("reason").agg(F.sum("total").alias("n")), r.where("emitted_at >= timestamp_ntz '2024-01-15 00:00:00'").groupBy("reason").agg(F.sum("total").alias("n")))
