@@ -1,7 +1,7 @@
 """Distributed test: does the same string start earlier?
 
-Records are (key, text, start, length): a hash of a string, the text that holds
-it and where.  Each group of texts packs its records into one row per bucket,
+Records are (key, text, start, length): a hash of a string in 128 bits, the text
+that holds it and where.  Each group of texts packs its records into one row per bucket,
 after settling among themselves all that it can: of equal keys only the
 earliest goes on, so a string that a third of all texts share reaches its
 bucket once per group and not once per text.  A bucket sorts its keys and names
@@ -42,11 +42,11 @@ def earlier_than(doc: np.ndarray, fp: np.ndarray, start: np.ndarray, first: np.n
 
 
 def not_earliest(key: np.ndarray, doc: np.ndarray, fp: np.ndarray, start: np.ndarray, within: bool) -> np.ndarray:
-    """Of records in any order, those with an earlier one of the same key."""
+    """Of records in any order, those with an earlier one of the same key; key: two columns, 128 bits."""
     if not len(key):
         return np.zeros(0, bool)
-    order = np.argsort(key, kind="stable")
-    k = key[order]
+    order = np.argsort(key[:, 0], kind="stable")
+    k = key[order, 0]
     new = np.empty(len(k), bool)
     new[0] = True
     np.not_equal(k[1:], k[:-1], out=new[1:])
@@ -54,9 +54,9 @@ def not_earliest(key: np.ndarray, doc: np.ndarray, fp: np.ndarray, start: np.nda
     alone = new & np.append(new[1:], True)
     many = order[~alone]
     if len(many):
-        many = many[np.lexsort((start[many], fp[many], doc[many], key[many]))]
+        many = many[np.lexsort((start[many], fp[many], doc[many], key[many, 1], key[many, 0]))]
         k = key[many]
-        head = np.append(True, k[1:] != k[:-1])
+        head = np.append(True, (k[1:] != k[:-1]).any(1))
         first = np.flatnonzero(head)[np.cumsum(head) - 1]
         out[many] = earlier_than(doc[many], fp[many], start[many], first, within)
     return out
@@ -110,7 +110,7 @@ def packed(texts: Texts, key, owner, start, length, route, buckets: int, within:
                     pa.array(np.full(rows, settled)),
                     binary(texts.doc[ro[who]], doc_cuts),
                     binary(texts.fp[ro[who]], doc_cuts),
-                    binary(np.zeros(0, U64), np.zeros(rows + 1, np.int64)) if settled else binary(k[order], np.append(cut, len(o))),
+                    binary(np.zeros(0, U64), np.zeros(rows + 1, np.int64)) if settled else binary(k[order].ravel(), 2 * np.append(cut, len(o))),
                     binary(local.astype(np.uint32), run_cuts),
                     binary(s[head].astype(np.uint32), run_cuts),
                     binary(unit.astype(np.uint32), run_cuts),
@@ -138,7 +138,7 @@ def _unpack(table: pa.Table):
     start, length, times = (join(take(c, np.uint32), np.uint32).astype(np.int64) for c in ("start", "length", "times"))
     step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
     doc, fp, start, length = (np.repeat(x, times) for x in (doc, fp, start, length))
-    return doc, fp, start + step * length, length, join(take("key", U64), U64)
+    return doc, fp, start + step * length, length, join(take("key", U64), U64).reshape(-1, 2)
 
 
 def found(table: pa.Table, within: bool) -> pa.Table:

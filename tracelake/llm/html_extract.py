@@ -30,7 +30,10 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 HIDDEN = frozenset("head title noscript template svg iframe select textarea object canvas audio video map math dialog datalist".split())
 _BLOCK_IN_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>|<(?=[a-zA-Z/!?])[^<>]*\Z", re.S | re.I)
+# quotes hold a value only after =, as in the standard; nothing is tried twice (possessive), so a page is read in linear time
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*+>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>\"'=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[\"'=])*+)>|<[!?][^>]*+>", re.S | re.I)
+_CLOSED = re.compile(r"-->\Z|</(?:script|style)\s*>\Z", re.I)
+_TAIL = re.compile(r"<!--.*|<(?:script|style)\b.*|<(?=[a-zA-Z/!?])[^<>]*\Z", re.S | re.I)
 _HINT = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
@@ -44,46 +47,79 @@ def _hints(attributes: str) -> tuple[str, ...]:
     return tuple(sorted(f".{p}" for p in found))
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, tuple[str, ...]]]:
-    """('tag', name, ()) and ('text', raw text, features of the elements around) in page order."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    features: tuple[str, ...] = ("",)
-    hidden = 0
+class _Open:
+    """The elements around a place: how many of each name, and their features, each once, in the order in which they came."""
+
+    def __init__(self, known):
+        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.names: dict[str, int] = {}
+        self.counts: dict[str, int] = {}
+        self.known = known
+        self.hidden = self.shown = 0  # hidden elements; elements below `shown` no longer hide
+        self.tuple: tuple[str, ...] | None = ("",)
+
+    def push(self, name: str, hints: tuple[str, ...]) -> None:
+        features = tuple(f for f in dict.fromkeys((name, *hints)) if self.known is None or f in self.known)
+        self.stack.append((name, features))
+        self.names[name] = self.names.get(name, 0) + 1
+        for f in features:
+            self.counts[f] = self.counts.get(f, 0) + 1
+        self.hidden += name in HIDDEN
+        self.tuple = None
+
+    def close(self, name: str) -> None:
+        """Up to and with the last element of the name."""
+        while self.stack:
+            n, features = self.stack.pop()
+            self.names[n] -= 1
+            for f in features:
+                self.counts[f] -= 1
+                if not self.counts[f]:
+                    del self.counts[f]
+            self.hidden -= n in HIDDEN and len(self.stack) >= self.shown
+            self.shown = min(self.shown, len(self.stack))
+            self.tuple = None
+            if n == name:
+                break
+
+    def show(self) -> None:
+        self.hidden, self.shown = 0, len(self.stack)
+
+    def features(self) -> tuple[str, ...]:
+        if self.tuple is None:
+            self.tuple = ("", *self.counts)
+        return self.tuple
+
+
+def tokens(page: str, known=None) -> Iterator[tuple[str, str, tuple[str, ...]]]:
+    """('tag', name, ()) and ('text', raw text, features of the elements around) in page order; known: the only features that matter."""
+    around = _Open(known)
+    end = page.rfind(">") + 1  # no tag ends after this
     at = 0
-
-    def around() -> tuple[str, ...]:
-        return ("", *dict.fromkeys(f for name, hints in stack for f in (name, *hints)))
-
-    for m in _TOKEN.finditer(page):
-        if m.start() > at and not hidden:
-            yield "text", page[at : m.start()], features
+    for m in _TOKEN.finditer(page, 0, end):
+        if m.start() > at and not around.hidden:
+            yield "text", page[at : m.start()], around.features()
         at = m.end()
         name = (m.group(3) or "").lower()
         if not name:
+            if at == end and (m.group(1) or m.group().startswith("<!--")) and not _CLOSED.search(m.group()):
+                return  # a comment, script or style that never ends
             continue
         yield "tag", name, ()
         if m.group(2):
-            if any(name == n for n, _ in stack):
-                while stack:
-                    n, _ = stack.pop()
-                    hidden -= n in HIDDEN
-                    if n == name:
-                        break
-                features = around()
+            if around.names.get(name):
+                around.close(name)
         elif name not in VOID and not m.group(4).endswith("/"):
-            if name in _BLOCK_IN_P and any(n == "p" for n, _ in stack):
-                while stack:
-                    n, _ = stack.pop()
-                    hidden -= n in HIDDEN
-                    if n == "p":
-                        break
+            if name in _BLOCK_IN_P and around.names.get("p"):
+                around.close("p")
             if name == "body":
-                hidden, stack = 0, [x for x in stack if x[0] not in HIDDEN]
-            stack.append((name, _hints(m.group(4))))
-            hidden += name in HIDDEN
-            features = around()
-    if at < len(page) and not hidden:
-        yield "text", page[at:], features
+                around.show()
+            around.push(name, _hints(m.group(4)))
+    rest = page[at:]
+    m = _TAIL.search(page, max(at, end)) if end <= len(page) else None
+    rest = page[at : m.start()] if m else rest
+    if rest and not around.hidden:
+        yield "text", rest, around.features()
 
 
 class Weights:
@@ -149,7 +185,7 @@ def extract(page: str | None, weights: Weights | None = None) -> str:
     weights = weights or default_weights()
     # blocks of text between block tags: (score of the tags before, [(text, score)])
     nodes: list[tuple[float, str | None]] = []
-    for kind, value, features in tokens(page):
+    for kind, value, features in tokens(page, weights.words):
         if kind == "tag":
             nodes.append((weights.tag(value), None if value not in INLINE else ""))
         else:

@@ -5,7 +5,8 @@ Expectation-maximisation over all documents' vote patterns estimates how often
 each labeller votes what on good and on poor documents, without any true label,
 and gives each pattern a posterior.  The posteriors train a linear scorer on
 hashed words and a few statistics, by logistic regression on a bounded sample
-(`sample` documents, those with the smallest hash of id and text); it then
+(at most `sample` documents, those with the smallest hash of id and text, and of
+these the first that have SAMPLE_WORDS hashed words together: 32 MB); it then
 scores every whole text.
 
 Patterns are counted over all documents; there are at most 3 ** labellers of
@@ -32,7 +33,7 @@ from .kernels import U64, Words, binary, text_buffer
 from .quality_rules import COUNTS, counts
 from .runtime import stored
 
-SAMPLE, BITS = 8_000, 16
+SAMPLE, SAMPLE_WORDS, BITS = 8_000, 4_000_000, 16
 STATISTICS = 8
 
 
@@ -139,10 +140,14 @@ def scored(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS) -> DataFrame
             slot, n = np.unique(slot, return_counts=True)
             cut = np.searchsorted(slot, np.arange(len(batch) + 1) << bits)
             c = counts(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([binary((slot & ((1 << bits) - 1)).astype(np.int32), cut), binary(n.astype(np.int32), cut), *[pa.array(c[k]) for k in COUNTS]], names=["slots", "times", *COUNTS])
+            yield pa.RecordBatch.from_arrays([batch.column("h"), binary((slot & ((1 << bits) - 1)).astype(np.int32), cut), binary(n.astype(np.int32), cut), *[pa.array(c[k]) for k in COUNTS]], names=["h", "slots", "times", *COUNTS])
 
     pattern = sum((F.lit(3**i) * (v + 1) for i, v in enumerate(votes())), F.lit(0)).cast("int")
-    rows = chosen.mapInArrow(features, "slots binary, times binary, " + ", ".join(f"{c} long" for c in COUNTS)).withColumn("pattern", pattern).collect()  # at most `sample`
+    found = stored(chosen.mapInArrow(features, "h long, slots binary, times binary, " + ", ".join(f"{c} long" for c in COUNTS)).withColumn("pattern", pattern), "features")
+    sizes = found.select("h", (F.octet_length("slots") / 4).cast("long").alias("n")).orderBy("h").collect()  # at most `sample`
+    most = np.searchsorted(np.cumsum([r["n"] for r in sizes]), SAMPLE_WORDS, "right")
+    rows = found.where(F.col("h") <= sizes[min(int(most), len(sizes) - 1)]["h"]).orderBy("h").collect() if sizes else []
+    rows = rows[: max(1, int(most))]
     known = {r["pattern"]: r["posterior"] for r in labelled.select("pattern", "posterior").distinct().collect()}
     slots = [np.frombuffer(r["slots"], np.int32).astype(np.int64) for r in rows]
     shares = [np.frombuffer(r["times"], np.int32) / max(r["n_words"], 1) for r in rows]

@@ -10,6 +10,11 @@ their partition, dealt by those counts, exchanged by block, and permuted again
 inside the block.  A shard is one or more blocks of at most `block_rows` rows,
 so no task holds a shard; sizes of shards differ by one row at most.
 
+The rows themselves, texts included, are stored with their partition and place,
+and exchanged and sorted by Spark; Python sees partitions, places and ranks
+only.  Where a row goes follows from the seed, its partition and its place: the
+same table read in other partitions is shuffled otherwise, as uniformly.
+
 Defined cases.  Null text: size 1, CRC of nothing.  Empty table: no rows.  Fewer
 rows than shards: the last shards are empty.  Repeated rows are rows like others.
 Null ids stay null; extra columns stay as they are in `shuffled`.
@@ -18,13 +23,11 @@ Null ids stay null; extra columns stay as they are in `shuffled`.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import stored
@@ -91,28 +94,22 @@ def shuffled(rows: DataFrame, shards: int = SHARDS, seed: int = SEED, block_rows
     """All columns, and shard (int) and slot (long): a uniform permutation of the rows, cut into shards."""
     names = rows.columns
     packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    kind = packed.schema["row"].dataType.simpleString()
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.full(len(batch), part, np.int32)), pa.array(np.arange(n, n + len(batch)))], names=["row", "part", "place"])
-            n += len(batch)
-
+    number = F.monotonically_increasing_id()  # a row's partition, and its place there in the lower 33 bits
     # stored: from here on a row's partition and place are data, whatever is lost and run again
-    placed = stored(packed.mapInArrow(number, f"row {kind}, part int, place long"), "placed")
+    placed = stored(packed.withColumn("part", F.spark_partition_id()).withColumn("place", number.bitwiseAND((1 << 33) - 1)), "placed")
     counts = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row for each partition
     parts = sorted(counts)
     index = {p: i for i, p in enumerate(parts)}
     before = np.append(0, np.cumsum([counts[p] for p in parts])).astype(np.int64)
     shard, first, room = blocks(int(before[-1]), shards, block_rows)
-    shared = rows.sparkSession.sparkContext.broadcast((index, before, shard, first, room))
+    shared = rows.sparkSession.sparkContext.broadcast((index, before, first, room))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, before, _, _, room = shared.value
+    def deal(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        """The block of each row, from its partition and place."""
+        index, before, _, room = shared.value
         known: tuple[int, np.ndarray] = (-1, np.zeros(0, np.int32))
-        for batch in batches:
-            part, place = batch.column("part").to_numpy(), batch.column("place").to_numpy()
+        for part, place in columns:
+            part, place = part.to_numpy(), place.to_numpy()
             block = np.empty(len(part), np.int32)
             for p in np.unique(part).tolist():
                 if known[0] != p:
@@ -120,19 +117,28 @@ def shuffled(rows: DataFrame, shards: int = SHARDS, seed: int = SEED, block_rows
                     to = np.repeat(np.arange(len(room), dtype=np.int32), matrix_row(i, before, room, seed))
                     known = (p, np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, 2, i]))).permutation(to))
                 block[part == p] = known[1][place[part == p]]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block)], names=["row", "part", "place", "block"])
-
-    def permute(table: pa.Table) -> pa.Table:
-        _, _, shard, first, _ = shared.value
-        block = table.column("block")[0].as_py()
-        table = table.sort_by([("part", "ascending"), ("place", "ascending")])
-        slot = np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, 3, block]))).permutation(len(table)) + int(first[block])
-        return pa.table({"row": table.column("row"), "shard": pa.array(np.full(len(table), shard[block], np.int32)), "slot": pa.array(slot.astype(np.int64))})
-
-    dealt = placed.mapInArrow(deal, f"row {kind}, part int, place long, block int")
-    out = dealt.groupBy("block").applyInArrow(permute, f"row {kind}, shard int, slot long")
+            yield pd.Series(block)
+
+    def permute(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        """The slot of each row, from its block and rank there."""
+        _, _, first, room = shared.value
+        known: tuple[int, np.ndarray] = (-1, np.zeros(0, np.int64))
+        for block, rank in columns:
+            block, rank = block.to_numpy(), rank.to_numpy()
+            slot = np.empty(len(block), np.int64)
+            for b in np.unique(block).tolist():
+                if known[0] != b:
+                    known = (b, np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, 3, b]))).permutation(int(room[b])) + int(first[b]))
+                slot[block == b] = known[1][rank[block == b] - 1]
+            yield pd.Series(slot)
+
+    dealt = placed.withColumn("block", F.pandas_udf(deal, "int")("part", "place"))
+    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("block").orderBy("part", "place")))
+    out = ranked.withColumn("slot", F.pandas_udf(permute, "long")("block", "rank"))
+    of = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))  # the first block of each shard
+    shard_of = F.size(F.filter(F.lit([int(x) for x in of]), lambda x: x <= F.col("block"))) - 1
     keep = [c for c in names if c not in ("shard", "slot")]
-    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in keep], "shard", "slot")
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in keep], shard_of.cast("int").alias("shard"), "slot")
 
 
 def write_shards(rows: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED) -> None:
@@ -142,15 +148,7 @@ def write_shards(rows: DataFrame, path: str, shards: int = SHARDS, seed: int = S
 
 
 def digests(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row."""
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = batch.column("text").cast(pa.large_binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x or b"") + 1 for x in raw], pa.int64()), pa.array([zlib.crc32(x or b"") for x in raw], pa.int64())],
-                names=["doc_id", "size", "text_crc32"],
-            )
-
-    measured = docs.select("doc_id", "text").mapInArrow(measure, "doc_id long, size long, text_crc32 long")
-    return shuffled(measured, shards, seed).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row, measured where the rows arrive."""
+    rows = shuffled(docs.select("doc_id", "text"), shards, seed)
+    text = F.coalesce("text", F.lit(""))
+    return rows.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -10,7 +10,8 @@ always has an anchor: a block of one text that a window of the other hits.
    executors get.  A full bitmap only lets more candidates through.
 2. Each text extends its hits: all windows of `length` words that hold a hit
    are candidates, and those that start in a document with a smaller id are
-   found by their hashes (module earliest); their union is the maximal repeats.
+   found by their hashes of 128 bits (module earliest); their union is the
+   maximal repeats.
 3. Covered words go.
 
 Defined cases.  Null or empty text: no words, result empty.  Texts of fewer than
@@ -35,6 +36,7 @@ from .kernels import U64, Words, binary, covered, mix, rolling
 from .runtime import free_shuffles, parts, stored
 
 LENGTH, BLOCK, BITS = 50, 25, 28
+_SECOND = U64(0x5851F42D4C957F2D)
 
 
 def _windows(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +110,11 @@ def _candidates(words: Words, bitmap: E.Bitmap, length: int, block: int):
         by = min(step, reach - step)
         least = np.append(np.minimum(least[:-by], least[by:]), least[len(least) - by :]) if len(least) > by else least
         step += by
-    return start, _windows(words, length)[0][start], mix(least[start])
+    whole_hash = _windows(words, length)[0][start]
+    second = np.zeros(len(h), U64)
+    r = rolling(mix(words.hash ^ _SECOND), length)
+    second[: len(r)] = r
+    return start, np.stack([whole_hash, second[start]], 1), mix(least[start])
 
 
 def _records(rows: Iterator[pa.RecordBatch], bitmap: E.Bitmap, buckets: int, length: int, block: int) -> Iterator[pa.RecordBatch]:

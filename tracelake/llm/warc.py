@@ -19,7 +19,7 @@ rows.  Extra columns stay; a column with the name of a result is replaced.
 
 from __future__ import annotations
 
-import gzip
+import zlib
 import re
 from collections.abc import Iterator
 
@@ -149,9 +149,22 @@ def header_text(headers: Column) -> Column:
 _HEAD = re.compile(rb"WARC/1\.[01]\r\n(.*?)\r\n\r\n", re.S)
 
 
+def _inflated(raw: bytes) -> bytes:
+    """All gzip members up to the first that is broken or cut, of which what can be read."""
+    out = []
+    while raw[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(raw))
+        except zlib.error:
+            break
+        raw = member.unused_data
+    return b"".join(out)
+
+
 def parse_warc(raw: bytes) -> Iterator[dict]:
-    """Records of one file, plain or gzip (all members): type, url, date, digest, HTTP headers and payload.  Stops at broken data."""
-    raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+    """Records of one file, plain or gzip (all members): type, url, date, digest, HTTP headers and payload.  Stops at broken data; a record cut short is left out."""
+    raw = _inflated(raw) if raw[:2] == b"\x1f\x8b" else raw
     at = 0
     while (m := _HEAD.search(raw, at)) is not None:
         fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in m.group(1).decode("utf-8", "replace").split("\r\n"))}
@@ -159,6 +172,8 @@ def parse_warc(raw: bytes) -> Iterator[dict]:
             size = int(fields.get("content-length", "0"))
         except ValueError:
             return
+        if size < 0 or m.end() + size > len(raw):
+            return
         body, at = raw[m.end() : m.end() + size], m.end() + size
         head, _, payload = body.partition(b"\r\n\r\n") if body.startswith(b"HTTP/") else (b"", b"", body)
         headers = {k.strip().lower(): v.strip() for k, s, v in (line.partition(":") for line in head.decode("latin-1").split("\r\n")[1:]) if s}
@@ -166,19 +181,22 @@ def parse_warc(raw: bytes) -> Iterator[dict]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all WARC files below a path; record_id is a hash of the record's own id."""
-    schema = "kind string, warc_id string, url string, captured_at string, digest string, etag string, last_modified string, headers map<string,string>, payload binary"
+    """Records of all WARC files below a path; record_id is a hash of the record's own id, or of the file and the record's place in it.
+
+    A task reads one file whole, as a compressed file can't be split.
+    """
+    schema = "kind string, warc_id string, url string, captured_at string, digest string, etag string, last_modified string, headers map<string,string>, payload binary, own string"
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = {"headers": pa.map_(pa.string(), pa.string()), "payload": pa.binary()}
         names = [c.split()[0] for c in schema.split(", ")]
         for batch in rows:
-            for raw in batch.column("content").to_pylist():
-                found = list(parse_warc(raw))
+            for path, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                found = [r | {"own": r["warc_id"] or f"{path}#{i}"} for i, r in enumerate(parse_warc(raw))]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], types.get(c, pa.string())) for c in names], names=names)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("content").mapInArrow(run, schema).withColumn("record_id", F.xxhash64("warc_id"))
+    return files.select("path", "content").mapInArrow(run, schema).withColumn("record_id", F.xxhash64("own")).drop("own")
 
 
 SECTION = "^([A-Za-z]+://[^/?#]*/[^/?#]*).*$"
