@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import U64, binary, fingerprints, groups, ids, text_buffer
+from .kernels import U64, binary, groups, ids, text_buffer
 from .runtime import give_back
 
 PACKED = "bucket int, settled boolean, doc binary, fp binary, key binary, owner binary, start binary, length binary, times binary"
@@ -25,12 +25,12 @@ FOUND = "doc long, fp long, start binary, length binary"
 
 
 class Texts:
-    """One group of rows of a documents batch: ids, fingerprints and bytes."""
+    """One group of rows of a documents batch (doc_id, text, fp): ids, hashes of the texts and bytes."""
 
     def __init__(self, batch: pa.RecordBatch | pa.Table):
         self.doc = ids(batch.column("doc_id"))
         self.data, self.at = text_buffer(batch.column("text"))
-        self.fp = fingerprints(self.data, self.at)
+        self.fp = batch.column("fp").to_numpy()
 
 
 def earlier_than(doc: np.ndarray, fp: np.ndarray, start: np.ndarray, first: np.ndarray, within: bool) -> np.ndarray:
@@ -183,74 +183,15 @@ def settle(records: DataFrame, buckets: int, within: bool) -> DataFrame:
     return gathered(late_rows(records, buckets, within))
 
 
-def _late_places(doc: np.ndarray, fp: np.ndarray, bits: int) -> np.ndarray:
-    return place_of(mix_id(doc ^ mix_id(fp).view(np.int64)), bits)
-
-
-def bitmap_of(rows: DataFrame, places, bits: int) -> np.ndarray:
-    """A bitmap of fixed size from the places of each batch of rows."""
-    slices = 1 << 10
-
-    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_:
-            place = np.unique(places(batch))
-            of = place // ((1 << bits) // slices)
-            cut = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else of
-            low = (place - of * ((1 << bits) // slices)).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array(of[cut], pa.int64()), binary(low, np.append(cut, len(of)))], names=["slice", "places"])
-
-    def one(table: pa.Table) -> pa.Table:
-        size = (1 << bits) // slices
-        place = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("places").to_pylist()]).astype(np.int64)
-        data = np.zeros(size >> 3, np.uint8)
-        np.bitwise_or.at(data, place >> 3, np.left_shift(1, place & 7).astype(np.uint8))
-        return pa.table({"at": pa.array([table.column("slice")[0].as_py() * (size >> 3)], pa.int64()), "bits": pa.array([data.tobytes()], pa.binary())})
-
-    found_ = rows.mapInArrow(run, "slice long, places binary").groupBy("slice").applyInArrow(one, "at long, bits binary").collect()
-    return collected(found_, bits, "bits")
-
-
-def late_bitmap(late: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of fixed size over the texts that have late records; other texts need not be shuffled."""
-    return bitmap_of(late.select("doc", "fp"), lambda batch: _late_places(batch.column("doc").to_numpy(), batch.column("fp").to_numpy(), bits), bits)
-
-
-def asks(texts: Texts, bitmap: np.ndarray, bits: int) -> np.ndarray:
-    """Texts that may have late records."""
-    place = _late_places(texts.doc, texts.fp, bits)
-    return (bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
-
-
-LATE_BITS = 26
+def hashed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and a hash of the text that tells rows of one id apart."""
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("fp"))
 
 
 def with_late(texts: DataFrame, late: DataFrame) -> DataFrame:
-    """doc_id, text and late (null: none) of every row; texts: doc_id, text, fp."""
+    """Every row with late (null: none); texts: doc_id, fp and more."""
     keyed = texts.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
-    return keyed.join(late, ["doc", "fp"], "left").select("doc_id", "text", "late")
-
-
-def split_by_late(docs: DataFrame, late: DataFrame, measure) -> DataFrame:
-    """Per row of docs: doc_id, n and sha of its text where it has no late record; else its text (asked) and them (late).
-
-    measure gives n of each text of a group, and the sha of one text's bytes.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(late_bitmap(late, LATE_BITS))
-    count, digest = measure
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows):
-            texts = Texts(batch)
-            ask = asks(texts, shared.value, LATE_BITS).tolist()
-            sha = [None if a else digest(texts.data[texts.at[i] : texts.at[i + 1]].tobytes()) for i, a in enumerate(ask)]
-            asked = [t if a else None for t, a in zip(batch.column("text").to_pylist(), ask, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(texts.doc), pa.array(texts.fp), pa.array(count(texts), pa.int64()), pa.array(sha, pa.string()), pa.array(asked, pa.string())],
-                names=["doc_id", "doc", "fp", "n", "sha", "asked"],
-            )
-
-    rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, doc long, fp long, n long, sha string, asked string")
-    return rows.join(late, ["doc", "fp"], "left")
+    return keyed.join(late, ["doc", "fp"], "left").drop("doc", "fp")
 
 
 def spans(value) -> tuple[np.ndarray, np.ndarray]:

@@ -145,26 +145,6 @@ class Words:
         return np.arange(len(self.start)) + k <= last
 
 
-def fingerprints(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A signed 64-bit hash of each whole text."""
-    out = np.empty(len(at) - 1, U64)
-    i = 0
-    while i < len(out):
-        j = max(i + 1, int(np.searchsorted(at, at[i] + SLICE, "right")) - 1)
-        if at[j] - at[i] > SLICE:  # one long text: a hash of its slices' hashes
-            parts = [np.array([at[j] - at[i]], U64)]
-            for s in range(int(at[i]), int(at[j]), SLICE):
-                piece = data[s : min(s + SLICE, int(at[j]))]
-                parts.append(spans_hash(prefix(_TABLE[piece]), np.array([0]), np.array([len(piece)])))
-            whole = np.concatenate(parts)
-            out[i] = spans_hash(prefix(whole), np.array([0]), np.array([len(whole)]))[0]
-        else:
-            j = min(j, len(out))
-            out[i:j] = spans_hash(prefix(_TABLE[data[at[i] : at[j]]]), at[i:j] - at[i], at[i + 1 : j + 1] - at[i])
-        i = j
-    return out.view(np.int64)
-
-
 def covered(n: int, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
     """True at each of n places inside any of the spans."""
     delta = np.zeros(n + 1, np.int64)

@@ -126,10 +126,6 @@ def _records(rows: Iterator[pa.RecordBatch], bitmap: E.Bitmap, buckets: int, len
         yield E.packed(texts, key, owner, start - words.first[owner], np.ones(len(start), np.int64), route, buckets, within=False)
 
 
-def _digest(data: bytes) -> str:
-    return hashlib.sha256(b" ".join(data.split())).hexdigest()
-
-
 def _kept(text: str, late, length: int) -> tuple[list[bytes], int]:
     words = text.encode().split()
     starts, count = E.spans(late)
@@ -141,7 +137,7 @@ def late_windows(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, bits
     """Starts of the windows that an earlier document has, one row per (doc, fp)."""
     if length < 2 * block - 1:
         raise ValueError("a window of `length` words must hold a whole block: length >= 2 * block - 1")
-    docs = docs.select("doc_id", "text")
+    docs = E.hashed(docs)
     shared = docs.sparkSession.sparkContext.broadcast(anchors(docs, block, bits))
     buckets = parts(docs, 8 << 20)
     records = docs.mapInArrow(lambda rows: _records(rows, E.Bitmap(bits, shared.value), buckets, length, block), E.PACKED)
@@ -155,51 +151,36 @@ def late_windows(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, bits
 def digests(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, bits: int = BITS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
     late = late_windows(docs, length, block, bits)
-    rows = E.split_by_late(docs, late, (lambda texts: Words(texts.data, texts.at, hashes=False).counts(), _digest))
 
     def finish(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            removed, sha = [], batch.column("sha").to_pylist()
-            for i, (text, late) in enumerate(zip(batch.column("asked").to_pylist(), batch.column("late").to_pylist(), strict=True)):
-                n = 0
-                if text is not None:
-                    words, n = _kept(text, late, length)
-                    sha[i] = hashlib.sha256(b" ".join(words)).hexdigest()
-                removed.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+        for batch in E.batches(rows):
+            n, removed, sha = [], [], []
+            for text, found in zip(batch.column("text").to_pylist(), batch.column("late").to_pylist(), strict=True):
+                words, gone = _kept(text or "", found, length)
+                n.append(len(words) + gone)
+                removed.append(gone)
+                sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return rows.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return E.with_late(E.hashed(docs), late).mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def dedupe(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, bits: int = BITS) -> DataFrame:
     """The documents with covered words taken out; a text that loses none stays as it is, a shortened one is its kept words joined by a space."""
     late = late_windows(docs, length, block, bits)
-    shared = docs.sparkSession.sparkContext.broadcast(E.late_bitmap(late, E.LATE_BITS))
     names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id"), F.col("text"))
-    kind = packed.schema["row"].dataType.simpleString()
-
-    def keys(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in E.batches(rows):
-            texts = E.Texts(batch)
-            ask = pa.array(E.asks(texts, shared.value, E.LATE_BITS))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts.doc), pa.array(texts.fp)], names=["row", "doc", "fp"]).filter(ask)
-
-    def others(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in E.batches(rows):
-            ask = E.asks(E.Texts(batch), shared.value, E.LATE_BITS)
-            yield batch.select(["row"]).filter(pa.array(~ask))
+    others = [c for c in names if c != "text"]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"d{i}") for i, c in enumerate(others)]).alias("row"), "doc_id", "text", F.xxhash64("text").alias("fp"))
+    kind = rows.schema["row"].dataType.simpleString()
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in E.batches(rows):
             text = batch.column("text").to_pylist()
-            for i, value in enumerate(batch.column("late").to_pylist()):
-                if value:
-                    words, n = _kept(text[i], value, length)
+            for i, found in enumerate(batch.column("late").to_pylist()):
+                if found:
+                    words, n = _kept(text[i], found, length)
                     text[i] = b" ".join(words).decode() if n else text[i]
             yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), batch.column("row")], names=["text", "row"])
 
-    touched = packed.mapInArrow(keys, f"row {kind}, doc long, fp long").join(late, ["doc", "fp"], "left").select(F.col("row.text").alias("text"), "late", "row")
-    done = touched.mapInArrow(cut, f"text string, row {kind}").select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names])
-    rest = packed.mapInArrow(others, f"row {kind}").select(*[F.col(f"row.`{c}`").alias(c) for c in names])
-    return done.unionByName(rest)
+    done = E.with_late(rows, late).select("text", "row", "late").mapInArrow(cut, f"text string, row {kind}")
+    return done.select(*[F.col("text") if c == "text" else F.col(f"row.d{others.index(c)}").alias(c) for c in names])

@@ -337,15 +337,11 @@ def hot_anchors(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> np.nda
     return np.array([r["route"] for r in sums.where(F.col("n") >= least).orderBy(F.col("n").desc()).limit(1 << 16).collect()], np.int64).view(U64)
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("fp"))
-
-
 def late_suffixes(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """Starts of the strings that start earlier too, one row per (doc, fp)."""
     if not 16 <= length <= 400:
         raise ValueError("length must be 16 to 400 bytes")
-    docs = _texts(docs)
+    docs = E.hashed(docs)
     buckets = parts(docs, 8 << 20)
     shared = docs.sparkSession.sparkContext.broadcast(hot_anchors(docs, length, hot))
     rows = docs.mapInArrow(lambda batches: _packed(batches, buckets, length, shared.value), _ROWS)
@@ -370,7 +366,7 @@ def _kept(data: bytes, late, length: int) -> tuple[bytes, int, int]:
 def digests(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     late = late_suffixes(docs, length, hot)
-    rows = E.with_late(_texts(docs), late)
+    rows = E.with_late(E.hashed(docs), late)
 
     def finish(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in E.batches(rows):
