@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.functions import scrub, text
-from tracelake.operators import fold, merge, reads, search, timeline
+from tracelake.operators import fold, merge, pairing, reads, search, timeline
 from tracelake.plans import export
 from tracelake.sources import records, transcripts
 from tracelake.streaming import ingest
@@ -282,3 +282,50 @@ def test_slash_command_and_summary(spark):
 def test_keyset_is_an_order(spark):
     rows = spark.createDataFrame([(a, b) for a in range(3) for b in range(3)], "a int, b int")
     assert {tuple(r) for r in rows.where(timeline.after([F.col("a"), F.col("b")], [F.lit(1), F.lit(1)])).collect()} == {(1, 2), (2, 0), (2, 1), (2, 2)}
+
+
+def test_nearest_pairs(spark):
+    """Against all candidates sorted by gap."""
+    rng = random.Random(4)
+    a = [(s, "n", 100 * s + i, rng.randrange(2000)) for s in range(5) for i in range(30)]
+    b = [(s, "n", 10_000 + 100 * s + i, rng.randrange(2000)) for s in range(5) for i in range(30)]
+    frame = lambda rows: spark.createDataFrame([(str(s), n, i, t) for s, n, i, t in rows], "session_id string, name string, id long, seconds long")
+    got = {(r["a_id"], r["b_id"], r["gap"]) for r in pairing.nearest(frame(a), frame(b), 120).collect()}
+    want, used = set(), set()
+    for gap, i, j in sorted((abs(x[3] - y[3]), x[2], y[2]) for x in a for y in b if x[0] == y[0]):
+        if gap <= 120 and i not in used and j not in used:
+            want.add((i, j, gap))
+            used |= {i, j}
+    assert got == want
+
+
+def test_line_diff():
+    assert pairing.line_diff("a\nb\nc", "a\nx\nc") == [(" ", "a"), ("-", "b"), ("+", "x"), (" ", "c")]
+    assert pairing.line_diff("a\nb", "a\nb") == [] and pairing.line_diff(None, "a") == [("+", "a")]
+    rng = random.Random(9)
+    for _ in range(200):
+        a, b = ([rng.choice("abc") for _ in range(rng.randrange(9))] for _ in range(2))
+        out = pairing.line_diff("\n".join(a), "\n".join(b))
+        best = max((len(x) for x in _subsequences(a) if _holds(b, x)), default=0)
+        assert sum(m == "-" for m, _ in out) == len(a) - best and sum(m == "+" for m, _ in out) == len(b) - best
+    gap = [str(i) for i in range(40)]
+    assert ("~", "32") in pairing.line_diff("\n".join(["x", *gap[1:-1], "y"]), "\n".join(["z", *gap[1:-1], "w"]))
+
+
+def _subsequences(a):
+    return [[x for i, x in enumerate(a) if k >> i & 1] for k in range(1 << len(a))]
+
+
+def _holds(b, x):
+    it = iter(b)
+    return all(c in it for c in x)
+
+
+def test_dump_replaces_its_platform(spark, tmp_path):
+    path = str(tmp_path / "dump")
+    frame = lambda rows: spark.createDataFrame(rows, "platform string, id int")
+    export.replaced_by(frame([("a", 1), ("b", 2)]), path, "platform")
+    export.replaced_by(frame([("a", 3)]), path, "platform")
+    assert sorted((r["platform"], r["id"]) for r in spark.read.parquet(path).collect()) == [("a", 3), ("b", 2)]
+    export.put_lines(frame([("a", 1)]), str(tmp_path / "lines"))
+    assert list((tmp_path / "lines").glob("*.json.gz")) and spark.read.json(str(tmp_path / "lines")).count() == 1

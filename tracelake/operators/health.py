@@ -33,6 +33,15 @@ def counter_deltas(reports: DataFrame) -> DataFrame:
     return rows.withColumn("delta", delta.cast("bigint")).drop("before", "device_first")
 
 
+def seeded(reports: DataFrame, since, until) -> DataFrame:
+    """Deltas of a window of time: its reports, and of each device and reason the newest report before it as the baseline."""
+    a, b = (F.lit(x).cast("timestamp_ntz") for x in (since, until))
+    inside = reports.where((F.col("emitted_at") >= a) & (F.col("emitted_at") < b)).withColumn("_in", F.lit(True))
+    w = Window.partitionBy("email", "device_id", "reason").orderBy(F.col("emitted_at").desc(), F.col("id").desc())
+    before = reports.where(F.col("emitted_at") < a).withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn").withColumn("_in", F.lit(False))
+    return counter_deltas(before.unionByName(inside)).where("_in").drop("_in")
+
+
 def hourly(reports: DataFrame, seconds: int = 300) -> DataFrame:
     """Per device and hour: reports, worst level, loss, maxima, blocked seconds (at most an hour) and the last total."""
     rows = counter_deltas(reports).withColumn("hour", F.date_trunc("hour", "emitted_at"))

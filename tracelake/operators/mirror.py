@@ -41,3 +41,33 @@ def live_milestones(links: DataFrame, posted_keys: DataFrame) -> DataFrame:
     """Pull requests whose link was not posted, each URL once per session."""
     rows = links.where("kind = 'pr'").select("session_id", "url", url_key(F.col("url")).alias("key")).distinct()
     return rows.join(posted_keys, "key", "left_anti")
+
+
+#: Fixed value: the shape of a channel's id.
+CHANNEL = "^[CG][A-Z0-9]{6,20}$"
+
+
+def live_eligible(sessions: DataFrame, preferences: DataFrame, attached: DataFrame, closed: DataFrame, fresh_after, limit: int = 200) -> DataFrame:
+    """Fresh sessions that ask to be narrated live: their person has it on, no group narrates them, they are no continuation, shown by default and not closed."""
+    asks = F.col("mirror_request").isin("on", "dm") | F.col("mirror_request").rlike(CHANNEL)
+    shown = ~(F.col("session_type").isin("empty", "internal") & (F.col("head_state") != "capture_loss"))
+    rows = sessions.where(asks & shown & F.col("parent_session_id").isNull() & (F.col("started_at") >= F.lit(fresh_after).cast("timestamp_ntz")))
+    rows = rows.join(preferences.where("mode <> 'off'").select("email", "mode"), "email").join(attached.where("detached_at is null").select("session_id"), "session_id", "left_anti")
+    return rows.join(closed.select("session_id"), "session_id", "left_anti").orderBy(F.col("started_at").desc(), "session_id").limit(limit)
+
+
+def group_eligible(attached: DataFrame, sessions: DataFrame, groups: DataFrame, preferences: DataFrame, closed: DataFrame, fresh_after, limit: int = 200) -> DataFrame:
+    """Active pairs of session and group: attached, the group in use, the person's live posts not off, active lately and not closed for this group."""
+    rows = attached.where("detached_at is null").join(sessions.where(F.col("updated_at") >= F.lit(fresh_after).cast("timestamp_ntz")), "session_id")
+    rows = rows.join(groups.where("not disabled").select("group_id", "name"), "group_id").join(preferences.where("live_disabled").select("email"), "email", "left_anti")
+    return rows.join(closed.select("session_id", "group_id"), ["session_id", "group_id"], "left_anti").orderBy(F.col("updated_at").desc(), "session_id", "group_id").limit(limit)
+
+
+def promoted(sessions: DataFrame, groups: DataFrame, fresh_after) -> DataFrame:
+    """Fresh sessions that ask for a group by name, each with one group: the person's own before one of everybody's."""
+    named = ~F.col("mirror_request").isin("", "on", "dm") & ~F.col("mirror_request").rlike(CHANNEL)
+    rows = sessions.where(named & F.col("parent_session_id").isNull() & (F.col("started_at") >= F.lit(fresh_after).cast("timestamp_ntz")))
+    open_ = groups.where("not disabled").select("group_id", F.col("name").alias("mirror_request"), "owner_email", "visibility")
+    found = rows.join(open_, "mirror_request").where((F.col("owner_email") == F.col("email")) | (F.col("visibility") == "org"))
+    w = Window.partitionBy("session_id").orderBy((F.col("owner_email") != F.col("email")), "group_id")
+    return found.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("session_id", "group_id", "email")

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import difflib
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WITHIN = 120  # seconds
-DIFF_ALIGN, DIFF_CONTEXT = 600, 3
+DIFF_ALIGN, DIFF_CONTEXT, DIFF_READ, DIFF_SHOWN = 600, 3, 4000, 1200
 
 
 def _greedy(frame: pd.DataFrame) -> pd.DataFrame:
@@ -50,9 +48,48 @@ def calls_with_results(calls: DataFrame, results: DataFrame) -> DataFrame:
     return left.join(right, ["session_id", "k"], "left").drop("k")
 
 
+def _aligned(x: list[str], y: list[str]) -> list[tuple[str, str]]:
+    """A change of x into y that keeps a longest common subsequence; where both ways keep as much, what goes stands first."""
+    keep = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x) - 1, -1, -1):
+        row, below = keep[i], keep[i + 1]
+        for j in range(len(y) - 1, -1, -1):
+            row[j] = below[j + 1] + 1 if x[i] == y[j] else max(below[j], row[j + 1])
+    i = j = 0
+    out = []
+    while i < len(x) or j < len(y):
+        if i < len(x) and j < len(y) and x[i] == y[j]:
+            out.append((" ", x[i]))
+            i, j = i + 1, j + 1
+        elif j == len(y) or i < len(x) and keep[i + 1][j] >= keep[i][j + 1]:
+            out.append(("-", x[i]))
+            i += 1
+        else:
+            out.append(("+", y[j]))
+            j += 1
+    return out
+
+
+def _collapsed(lines: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Only what lies within DIFF_CONTEXT lines of a change; a gap in between is one line marked '~' that says how many are left out."""
+    near = [False] * len(lines)
+    for i, (m, _) in enumerate(lines):
+        if m != " ":
+            for j in range(max(0, i - DIFF_CONTEXT), min(len(lines), i + DIFF_CONTEXT + 1)):
+                near[j] = True
+    out, gap = [], 0
+    for line, n in zip(lines, near, strict=True):
+        if n:
+            if gap and out:
+                out.append(("~", str(gap)))
+            out.append(line)
+        gap = 0 if n else gap + 1
+    return out
+
+
 def line_diff(before: str | None, after: str | None) -> list[tuple[str, str]]:
     """Lines of a change as (mark, line): ' ' around, '-' gone, '+' new; a long unlike middle is one block of each."""
-    a, b = (before or "").splitlines(), (after or "").splitlines()
+    a, b = (before or "").splitlines()[:DIFF_READ], (after or "").splitlines()[:DIFF_READ]
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
         head += 1
@@ -60,15 +97,10 @@ def line_diff(before: str | None, after: str | None) -> list[tuple[str, str]]:
     while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
     x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    if len(x) > DIFF_ALIGN or len(y) > DIFF_ALIGN:
-        middle = [("-", s) for s in x] + [("+", s) for s in y]
-    else:
-        middle = []
-        for tag, i, j, k, m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
-            middle += [(" ", s) for s in x[i:j]] if tag == "equal" else [("-", s) for s in x[i:j]] + [("+", s) for s in y[k:m]]
+    middle = [("-", s) for s in x] + [("+", s) for s in y] if max(len(x), len(y)) > DIFF_ALIGN else _aligned(x, y)
     if not middle:
         return []
-    return [(" ", s) for s in a[max(0, head - DIFF_CONTEXT) : head]] + middle + [(" ", s) for s in a[len(a) - tail :][:DIFF_CONTEXT]]
+    return _collapsed([(" ", s) for s in a[:head]] + middle + [(" ", s) for s in a[len(a) - tail :]])[:DIFF_SHOWN]
 
 
 def diffs(rows: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from datetime import date, datetime, time, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import safe_cut
+
 BUNDLE_FIELD_MOST = 16_384
 
 
@@ -84,10 +86,20 @@ def bundle(session: DataFrame, turns: DataFrame, events: DataFrame) -> DataFrame
 
 
 def capped(body: Column, paths: list[str], most: int = BUNDLE_FIELD_MOST) -> tuple[list[Column], Column]:
-    """Fields of a JSON text cut to `most` characters, and the names of those cut."""
+    """Fields of a JSON text cut to `most` bytes, no character cut in two, and the names of those cut."""
     values = [F.get_json_object(body, f"$.{p}") for p in paths]
-    cut = F.array_compact(F.array(*[F.when(F.length(v) > most, F.lit(p)) for p, v in zip(paths, values, strict=True)]))
-    return [F.left(v, F.lit(most)).alias(p) for p, v in zip(paths, values, strict=True)], cut
+    cut = F.array_compact(F.array(*[F.when(F.octet_length(v) > most, F.lit(p)) for p, v in zip(paths, values, strict=True)]))
+    return [safe_cut(v, most).alias(p) for p, v in zip(paths, values, strict=True)], cut
+
+
+def put_lines(rows: DataFrame, path: str) -> None:
+    """Rows as gzip-compressed lines of JSON."""
+    rows.write.mode("overwrite").option("compression", "gzip").json(path)
+
+
+def replaced_by(dump: DataFrame, path: str, key: str) -> None:
+    """An imported dump in place of all rows that its values of the key had before (delete, then insert, as one write of whole partitions)."""
+    dump.write.partitionBy(key).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
 def retained(events: DataFrame, bodies_before, sessions_before, sessions: DataFrame) -> DataFrame:

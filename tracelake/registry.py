@@ -243,7 +243,9 @@ register("q_search", "messages", """select count(*) as hits from messages where
  and not list_contains(list_transform(regexp_extract_all(lower(text), '([\\p{L}\\p{N}_]+)', 1), lambda w: case when length(regexp_replace(w, '(ingly|edly|ing|edly|ed|ly|ies|es|s)$', '')) >= 3 then regexp_replace(w, '(ingly|edly|ing|edly|ed|ly|ies|es|s)$', '') else w end), 'handly')""")(
     lambda m: m.withColumn("tokens", search.tokens(F.col("text"))).where(search.matches(search.Query((("eron",),), ("handly",), ()))).agg(F.count("*").alias("hits"))
 )
-register("q_search_ranked", "messages", None)(lambda m: search.search(m.withColumn("occurred_at", F.col("seq")).withColumn("kind", F.when(F.col("role") == "user", "human").otherwise("assistant_text")).withColumn("final", F.lit(False)), "the or and or er"))
+_TOKENS = "list_transform(regexp_extract_all(lower(text), '([\\p{L}\\p{N}_]+)', 1), lambda w: case when length(regexp_replace(w, '(ingly|edly|ing|edly|ed|ly|ies|es|s)$', '')) >= 3 then regexp_replace(w, '(ingly|edly|ing|edly|ed|ly|ies|es|s)$', '') else w end)"
+register("q_search_ranked", "messages", f"""select event_id, session_id, score from (select event_id, session_id, seq, round(case when role = 'user' then 2.0::double when role = 'assistant' then 1.3::double else 1.0::double end * len(list_filter(tokens, lambda w: w = 'er')) / (1 + ln(len(tokens) + 1.0)), 6) as score
+ from (select *, {_TOKENS} as tokens from messages) where list_contains(tokens, 'er') order by seq desc, event_id limit 500) order by score desc, seq desc, event_id limit 50""")(lambda m: search.search(m.withColumn("occurred_at", F.col("seq")).withColumn("kind", F.when(F.col("role") == "user", "human").otherwise("assistant_text")).withColumn("final", F.lit(False)), "the or and or er"))
 register("q_retention", "events_c sessions", "select e.id, case when e.occurred_at < timestamp '2024-01-20 00:00:00' then '{\"expired\":true}' else 'body' || e.id end as body from events_c e where exists (select 1 from sessions s where s.session_id = e.session_id and s.ended_at >= timestamp '2024-01-10 00:00:00')")(
     lambda e, s: export.retained(e.withColumn("body", F.concat(F.lit("body"), "id")), "2024-01-20 00:00:00", "2024-01-10 00:00:00", s).select("id", "body")
 )
@@ -329,5 +331,8 @@ register("q_calls_with_results", "events_c", """select c.id, r.id as result_id f
  left join (select *, case when id % 3 = 0 then 'k' || (id // 10) else '#' || row_number() over (partition by session_id, id % 3 <> 0 order by seq) end as k from events_c where type = 'tool_failed') r on r.session_id = c.session_id and r.k = c.k""")(
     lambda e: pairing.calls_with_results(*[e.where(f"type = '{t}'").withColumn("tool_use_id", F.expr("if(id % 3 = 0, concat('k', id div 10), null)")) for t in ("tool_call", "tool_failed")]).select("id", "result_id")
 )
-register("q_line_diff", "messages", None)(lambda m: pairing.diffs(m.select("event_id", F.col("text").alias("before"), F.replace("text", F.lit(". "), F.lit(".\n")).alias("after"))).select("event_id", F.size("diff").alias("lines")))
+_ONE_LINE = "trim(replace(replace(text, chr(10), ' '), chr(13), ' '))"
+register("q_line_diff", "messages", f"select event_id, case when contains(t, '. ') then 2 + (length(t) - length(replace(t, '. ', '.'))) else 0 end as lines from (select event_id, {_ONE_LINE} as t from messages)")(
+    lambda m: pairing.diffs(m.select("event_id", F.expr(_ONE_LINE.replace("chr(", "char(")).alias("before")).withColumn("after", F.replace("before", F.lit(". "), F.lit(".\n")))).select("event_id", F.size("diff").alias("lines"))
+)
 register("q_version_first_seen", "reports", "select build, min(emitted_at) as first_seen from reports group by 1")(lambda r: health.recent_builds(r).select("build", "first_seen"))

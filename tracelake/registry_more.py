@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import keys, scrub, text
-from .operators import cost, derive, fleet, health, invocations, merge, reads, search, timeline
+from .operators import cost, derive, fleet, health, invocations, merge, mirror, reads, search, timeline
+from .plans import export
 from .registry import register
-from .sources import transcripts
+from .sources import records, transcripts
 
 # credentials: one text per event, its kind by the event's number
 _KINDS = [
@@ -333,3 +334,33 @@ register("q_hits_on_list", "sessions turns_c", "select coalesce(s.session_id, t.
     lambda s, t: search.hits_on_list(s.where("user_id % 2 = 0"), t.where("turn_index > 0").select("session_id", F.col("turn_index").alias("event_id"), F.col("active_ms").alias("score"), F.col("started_at").alias("occurred_at"))).select("session_id", "listed", "event_id")
 )
 register("q_highlighted", "messages", "select event_id, len(regexp_extract_all(lower(text), 'er|on')) as marks from messages")(lambda m: m.select("event_id", F.size(F.filter(search.highlighted(F.col("text"), ["er", "on"], 1 << 20), lambda p: p["marked"])).cast("bigint").alias("marks")))
+
+# batches, windows, mirrors
+_ITEM = "concat('{', if(id % 7 = 0, '', concat('\"id\":\"e', id, '\",')), '\"session_id\":\"', if(id % 11 = 0, '', session_id), '\",\"type\":\"', if(id % 13 = 0, 'odd', type), '\",\"source\":\"x\",\"origin\":\"hook\",\"occurred_at\":\"', if(id % 17 = 0, 'then', '2024-01-01T00:00:00Z'), '\",\"capture_version\":', if(id % 19 = 0, 9, 1), '}')"
+register("q_item_verdicts", "events_c", """select id as batch, 0 as place, case when id % 23 = 0 then 'bad payload' when id % 7 = 0 then 'missing id' when id % 11 = 0 then 'missing session_id' when id % 13 = 0 or id % 17 = 0 then 'invalid' when id % 19 = 0 then 'capture_version out of range' end as reason from events_c
+ union all select id, 1, 'missing id' from events_c where id % 23 <> 0""")(
+    lambda e: records.items_of(e.select(F.col("id").alias("batch"), F.expr(f"if(id % 23 = 0, '{{', concat('[', {_ITEM}, ',{{}}]'))".replace("{{", "{").replace("}}", "}")).alias("body"))).select("batch", F.coalesce("place", F.lit(0)).alias("place"), "reason")
+)
+_SEEDED = """(select *, case when prev is null then case when first then 0 else total end when total < prev then total else total - prev end as delta from (select *, lag(total) over (partition by email, device_id, reason order by emitted_at, id) as prev, lag(id) over (partition by email, device_id order by emitted_at, id) is null as first from reports))"""
+register("q_seeded_deltas", "reports", f"select id, cast(delta as bigint) as delta from {_SEEDED} where emitted_at >= timestamp '2024-01-10 00:00:00' and emitted_at < timestamp '2024-01-20 00:00:00'")(lambda r: health.seeded(r, "2024-01-10 00:00:00", "2024-01-20 00:00:00").select("id", "delta"))
+register("q_bundle_fields", "events_c", "select id, left(sha256(cast(id as varchar)), 20) || 'é' as output, 'in' as input, 'output' as cut from events_c")(
+    lambda e: (lambda fields, cut: e.withColumn("body", F.concat(F.lit('{"output":"'), F.left(F.sha2(F.col("id").cast("string"), 256), F.lit(20)), F.lit('éé","input":"in"}'))).select("id", *fields, F.array_join(cut, ",").alias("cut")))(*export.capped(F.col("body"), ["output", "input"], 23))
+)
+_REQ = "case user_id % 5 when 0 then 'on' when 1 then 'C12345678' when 2 then 'team' when 3 then '' else 'dm' end"
+register("q_live_eligible", "sessions principals", f"""select session_id from (select *, {_REQ} as req from sessions) s where (req in ('on', 'dm') or regexp_matches(req, '^[CG][A-Z0-9]{{6,20}}$')) and not (session_type in ('empty', 'internal') and head_state <> 'capture_loss') and tokens % 3 <> 0 and started_at >= timestamp '2024-01-15 00:00:00'
+ and exists (select 1 from principals p where p.email = s.email and not p.disabled) and tokens % 7 <> 0 and tokens % 5 <> 0 order by started_at desc, session_id limit 200""")(
+    lambda s, p: mirror.live_eligible(s.withColumns({"mirror_request": F.expr(_REQ), "parent_session_id": F.expr("if(tokens % 3 = 0, 'p', null)")}), p.withColumn("mode", F.expr("if(disabled, 'off', 'dm')")), s.where("tokens % 7 = 0").withColumn("detached_at", F.lit(None).cast("timestamp_ntz")), s.where("tokens % 5 = 0"), "2024-01-15 00:00:00").select("session_id")
+)
+register("q_group_eligible", "sessions principals", """select s.session_id, g.i as group_id from sessions s join (values (0), (1), (2)) g(i) on g.i <= s.tokens % 3 where g.i <> 2 and ended_at >= timestamp '2024-01-15 00:00:00' and not exists (select 1 from principals p where p.email = s.email and p.disabled)
+ and not (g.i = 1 and s.tokens % 4 = 0) order by ended_at desc, s.session_id, group_id limit 200""")(
+    lambda s, p: mirror.group_eligible(
+        s.select("session_id", F.explode(F.expr("sequence(0, cast(tokens % 3 as int))")).alias("group_id"), F.lit(None).cast("timestamp_ntz").alias("detached_at")), s.withColumn("updated_at", F.col("ended_at")), s.sparkSession.sql("select * from values (0, 'a', false), (1, 'b', false), (2, 'c', true) as t(group_id, name, disabled)"),
+        p.withColumn("live_disabled", F.col("disabled")), s.where("tokens % 4 = 0").select("session_id", F.lit(1).alias("group_id")), "2024-01-15 00:00:00",
+    ).select("session_id", "group_id")
+)
+register("q_promoted_groups", "sessions", "select session_id, case when user_id % 4 = 2 then 1 else 3 end as group_id from sessions where user_id % 5 = 2 and user_id % 4 in (2, 3) and started_at >= timestamp '2024-01-10 00:00:00'")(
+    lambda s: mirror.promoted(
+        s.withColumns({"mirror_request": F.expr("if(user_id % 5 = 2, case when user_id % 4 in (2, 3) then 'team' else 'nobodys' end, 'on')"), "parent_session_id": F.lit(None).cast("string"), "email": F.expr("concat('u', user_id % 4)")}),
+        s.sparkSession.sql("select * from values (1, 'team', 'u2', 'private', false), (2, 'team', 'u3', 'private', true), (3, 'team', 'u9', 'org', false), (4, 'nobodys', 'u9', 'private', false) as t(group_id, name, owner_email, visibility, disabled)"), "2024-01-10 00:00:00",
+    ).select("session_id", "group_id")
+)

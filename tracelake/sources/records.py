@@ -23,6 +23,22 @@ def verdict() -> Column:
     )
 
 
+#: Bytes of a batch's body, and the multiple of it from which nothing of it is read.
+BODY_MOST, BODY_HARD = 4 << 20, 8
+
+
+def items_of(bodies: DataFrame, column: str = "body") -> DataFrame:
+    """Every item of JSON array bodies, each with its verdict; a body that is too big or no array is one rejected item."""
+    text = F.col(column)
+    items = F.from_json(F.when(F.octet_length(text) <= BODY_MOST * BODY_HARD, text), "array<string>")
+    rows = bodies.withColumn("_items", items).withColumn("_too_big", F.octet_length(text) > BODY_MOST * BODY_HARD)
+    rows = rows.select(*[c for c in bodies.columns if c != column], "_too_big", F.posexplode_outer("_items").alias("place", "item"))
+    parsed = rows.withColumn("_e", F.from_json("item", EVENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    out = parsed.select(*[c for c in parsed.columns if c not in ("_e", "_too_big")], "_too_big", "_e.*")
+    reason = F.when(F.col("_too_big"), "batch too big").when(F.col("item").isNull(), "bad payload").otherwise(verdict())
+    return out.withColumn("reason", reason).drop("_too_big", "_corrupt_record")
+
+
 def read_batch(spark: SparkSession, path: str) -> DataFrame:
     """One item a line, each with its verdict."""
     return spark.read.schema(EVENT).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path).withColumn("reason", verdict())
