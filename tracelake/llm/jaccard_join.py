@@ -414,10 +414,12 @@ def links(docs: DataFrame, sets: DataFrame, n: int, numerator: int, denominator:
         del edges
         free_shuffles(docs.sparkSession)
         members = narrow.select("node", "root").unionAll(narrow.select(F.col("root").alias("node"), "root").distinct())
-        large = large.select("sid", "elements").join(members, large["sid"] == members["node"])
-        total = large.groupBy("root").agg(F.sum(F.octet_length("elements") / 8).alias("count"))
-        large = large.join(total, "root").withColumn("blocks", F.when(F.col("count") <= bound, F.lit(1)).otherwise(F.ceil(2 * F.col("count") / bound)).cast("long"))
-        large = large.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks"))).select(*found.columns)
+        # who goes where is worked out without the elements, which then move once to meet it
+        sizes = large.select("sid", (F.octet_length("elements") / 8).alias("n")).join(members, F.col("sid") == members["node"]).select("sid", members["root"].alias("root"), "n")
+        total = sizes.groupBy("root").agg(F.sum("n").alias("count"))
+        blocks = F.when(F.col("count") <= bound, F.lit(1)).otherwise(F.ceil(2 * F.col("count") / bound)).cast("long")
+        dealt = sizes.join(total, "root").select(F.col("sid").alias("_sid"), "root", F.pmod(F.xxhash64("sid"), blocks).alias("block"), blocks.alias("blocks"))
+        large = large.select("sid", "elements").join(dealt, F.col("sid") == F.col("_sid")).select(*found.columns)
         found = small.unionByName(large)
     pairs = found.withColumn("with", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("root", "sid", "block", F.least("block", "with").alias("part"), F.greatest("block", "with").alias("other"), "elements")
     verified = pairs.groupBy("root", "part", "other").applyInArrow(lambda t: _links(t, numerator, denominator), "a long, b long")

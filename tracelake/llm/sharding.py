@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .runtime import stored
 
-SHARDS, SEED, BLOCK_ROWS = 16, 7, 1 << 16
+SHARDS, SEED, BLOCK_ROWS = 16, 7, 1 << 14
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
