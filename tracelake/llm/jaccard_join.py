@@ -53,6 +53,7 @@ SHARED = 0.005  # how likely an element of one set is in an unlike one
 LIGHT = 2  # segments of so many elements or fewer are left out where clusters are narrowed
 PAIR_COST = 3000  # of a pair that chance brings together, in keys
 BOUND = 2_000_000  # elements of all sets of a cluster that one task verifies
+SMALL = 1 << 20  # sets whose place in the narrowed clusters is broadcast, 32 bytes each
 AGAIN = 1 << 18  # elements of the sets whose wider segments are indexed at a time
 _NULL = -(2**63)
 
@@ -267,14 +268,18 @@ def _packed_keys(h: np.ndarray, first: np.ndarray, sid: np.ndarray, plan: Plan,
         of, k, m = of[order], k[order], m[order]
         cut = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
         cuts = np.append(cut, len(of))
-        yield pa.RecordBatch.from_arrays([pa.array(of[cut], pa.int32()), pa.array(np.full(len(cut), kind, np.int32)), binary(k, cuts), binary(m, cuts)], names=["bucket", "kind", "key", "member"])
+        packed = binary(k, cuts) if kind else binary(k.view(np.uint8).reshape(-1, 8)[:, 2:].ravel(), 6 * cuts)  # of a key the upper 48 bits; its bucket has the lowest
+        yield pa.RecordBatch.from_arrays([pa.array(of[cut], pa.int32()), pa.array(np.full(len(cut), kind, np.int32)), packed, binary(m, cuts)], names=["bucket", "kind", "key", "member"])
 
 
 def _edges(table: pa.Table) -> pa.Table:
     kind = table.column("kind").to_pylist()
     key, member = table.column("key").to_pylist(), table.column("member").to_pylist()
     take = lambda which, x, t: np.concatenate([np.zeros(0, t), *[np.frombuffer(v, t) for v, k in zip(x, kind, strict=True) if k == which]])
-    _, _, a, b = _stars(take(0, key, U64), take(0, member, np.int64))
+    short = take(0, key, np.uint8).reshape(-1, 6)  # keys that agree by chance only bring sets together that are compared exactly later
+    whole = np.zeros((len(short), 8), np.uint8)
+    whole[:, 2:] = short
+    _, _, a, b = _stars(whole.view(U64).ravel(), take(0, member, np.int64))
     a, b = np.concatenate([a, take(1, key, np.int64)]), np.concatenate([b, take(1, member, np.int64)])
     a, b = forest(a, b)
     return pa.table({"a": a, "b": b})
@@ -419,6 +424,8 @@ def links(docs: DataFrame, sets: DataFrame, n: int, numerator: int, denominator:
         total = sizes.groupBy("root").agg(F.sum("n").alias("count"))
         blocks = F.when(F.col("count") <= bound, F.lit(1)).otherwise(F.ceil(2 * F.col("count") / bound)).cast("long")
         dealt = sizes.join(total, "root").select(F.col("sid").alias("_sid"), "root", F.pmod(F.xxhash64("sid"), blocks).alias("block"), blocks.alias("blocks"))
+        dealt = stored(dealt, "dealt")
+        dealt = F.broadcast(dealt) if dealt.count() <= SMALL else dealt
         large = large.select("sid", "elements").join(dealt, F.col("sid") == F.col("_sid")).select(*found.columns)
         found = small.unionByName(large)
     pairs = found.withColumn("with", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("root", "sid", "block", F.least("block", "with").alias("part"), F.greatest("block", "with").alias("other"), "elements")
@@ -451,6 +458,8 @@ def deduplicated(docs: DataFrame, n: int = 5, numerator: int = 80, denominator:
     """
     first = _grouped(docs, n, numerator, denominator, bound).where("component is null or doc = component")
     first = first.groupBy("root", "doc", F.when(F.col("root").isNull(), F.col("fp"))).agg(F.min("fp").alias("_fp")).select(F.col("doc").alias("_doc"), "_fp").distinct()
-    rows = docs.dropDuplicates(["doc_id", "text"])
-    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)) == F.col("_doc")) & (F.xxhash64("text") == F.col("_fp"))
-    return rows.join(first, same, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = docs.columns
+    # one shuffle of the documents: equal rows meet where the join puts them
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"d{i}") for i, c in enumerate(names)], F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("_doc"), F.xxhash64("text").alias("_fp"))
+    kept = rows.join(first, ["_doc", "_fp"], "left_semi").dropDuplicates(["_doc", "_fp"])
+    return kept.select(*[F.col(f"d{i}").alias(c) for i, c in enumerate(names)])
