@@ -149,6 +149,50 @@ def test_segment_budgets_lose_no_pair(budgets):
         assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
 
 
+@pytest.mark.parametrize("budgets", [(0, 3, 0), (2, 2, 1), (5, 0, 0)])
+@pytest.mark.parametrize("shared", [0, 3, 12, 30, 34])
+def test_common_elements_lose_no_pair(budgets, shared):
+    """Nor do they where some or all elements are common, with as many segments left out as the reserve lets."""
+    zeros, ones, reserve = budgets
+    need = zeros + 2 * ones - reserve
+    rng = np.random.default_rng(4)
+    pool = rng.integers(0, 2**63, 60).astype(np.uint64)
+    plan = jaccard_join.Plan({}, 60, 85, 100, common=pool)
+    plan.segments = [budgets] * len(plan.segments)
+    for i in range(200):
+        base = np.concatenate([rng.choice(pool, shared, replace=False), rng.integers(0, 2**63, 34 - shared).astype(np.uint64)])
+        base = rng.permutation(base)  # what differs is common or not
+        gone = (need - 1) // 2 if i % 2 else 0
+        other = np.concatenate([base[: 34 - gone], rng.integers(0, 2**63, need - 1 - gone).astype(np.uint64)])
+        pair = [np.sort(base), np.sort(other)]
+        keys, owner = jaccard_join.keys_of(np.concatenate(pair), np.array([0, 34, 34 + len(other)]), plan)
+        assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
+
+
+def test_shared_passages_hold_no_cluster_together(spark):
+    """Unlike texts with passages that very many texts share stay apart: as candidates they were one cluster, which grew with the corpus."""
+    rng = random.Random(6)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passages = [say(40) for _ in range(6)]
+    rows = [(i, f"{say(60)} {rng.choice(passages)} {say(60)}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    shared = jaccard_join.common(docs, 5)
+    assert len(shared) == 6 * 36
+    h, first = jaccard_join.shingle_sets(pa.array([t for _, t in rows]), 5)
+    sid = jaccard_join.set_ids(h, first)
+
+    def largest(plan):
+        key, owner = jaccard_join.keys_of(h, first, plan)
+        _, _, a, b = jaccard_join._stars(key, sid[owner])
+        _, root = jaccard_join.forest(a, b)
+        return int(np.unique(root, return_counts=True)[1].max(initial=0))
+
+    size = int(np.diff(first).max())
+    counts = dict.fromkeys(range(99), 20_000)  # as in a large corpus
+    assert largest(jaccard_join.Plan(counts, size, 80, 100)) > 50
+    assert largest(jaccard_join.Plan(counts, size, 80, 100, common=shared)) < 5
+
+
 def test_connected_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(1000, 1060)]

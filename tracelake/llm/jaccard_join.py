@@ -13,6 +13,14 @@ leave empty segments out, are chosen by a cost model from the number of sets
 and their size.  Sets with more empty segments than the reserve also index
 those.
 
+Passages that very many documents share would fill whole segments and hold
+unlike sets together, in clusters that grow with the corpus.  Elements found in
+several sets of one group of texts are counted, and the most frequent ones (at
+most COMMON) are common.  A segment of common elements only counts against the
+reserve as an empty one does and is not indexed; a set for which that is too
+much indexes all its segments that are not empty.  Which elements are common
+only decides what is compared: any choice gives the same links.
+
 1. Keys meet by hash bucket.  Of all sets with one key only the pairs with the
    smallest go on (a star, never all pairs), and only a spanning forest of each
    bucket.  Equal sets count once throughout.
@@ -55,6 +63,9 @@ PAIR_COST = 3000  # of a pair that chance brings together, in keys
 BOUND = 2_000_000  # elements of all sets of a cluster that one task verifies
 SMALL = 1 << 20  # sets whose place in the narrowed clusters is broadcast, 32 bytes each
 AGAIN = 1 << 18  # elements of the sets whose wider segments are indexed at a time
+COMMON = 1 << 17  # elements that count as common, at most
+OFTEN = 3  # sets of a group of texts that hold an element which is counted
+RARE = 0.85  # share of rare elements that segments are laid out for
 _NULL = -(2**63)
 
 
@@ -104,7 +115,7 @@ def differences(hi: int, numerator: int = NUMERATOR, denominator: int = DENOMINA
     return (denominator - numerator) * hi // numerator
 
 
-def allocate(hi: int, sets: int, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> tuple[int, int, int]:
+def allocate(hi: int, sets: int, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, rare: float = 1.0) -> tuple[int, int, int]:
     """Segments of budget 0, of budget 1, and reserve: the cheapest by keys written and pairs that chance alone brings together."""
     need = differences(hi, numerator, denominator) + 1
     lo = max(1, hi * numerator // denominator)
@@ -117,7 +128,8 @@ def allocate(hi: int, sets: int, numerator: int = NUMERATOR, denominator: int =
             if not m:
                 continue
             mean = lo / m
-            weak = zeros * math.exp(-mean) + 2 * ones * math.exp(-mean) * (1 + mean)  # capacity that a set must leave out
+            own = mean * rare
+            weak = zeros * math.exp(-own) + 2 * ones * math.exp(-own) * (1 + own)  # capacity that a set must leave out
             over, term = 1.0, math.exp(-weak)
             for k in range(reserve + 1):
                 over -= term
@@ -153,13 +165,15 @@ class Plan:
     more capacity than the reserve: these index all they have.
     """
 
-    def __init__(self, counts: dict[int, int], most: int, numerator: int, denominator: int, least: int = 1):
+    def __init__(self, counts: dict[int, int], most: int, numerator: int, denominator: int, least: int = 1, common: np.ndarray | None = None):
         self.limits = band_limits(most, numerator, denominator)
         self.least = least
+        self.common = np.zeros(0, U64) if common is None else np.sort(common)
+        rare = RARE if len(self.common) else 1.0
         if least > 1:
             self.segments = [wide(self.limits[b + 1] - 1, least, numerator, denominator) for b in range(len(self.limits) - 1)]
             return
-        self.segments = [allocate(self.limits[b + 1] - 1, counts.get(b, 0) + counts.get(b + 1, 0), numerator, denominator) for b in range(len(self.limits) - 1)]
+        self.segments = [allocate(self.limits[b + 1] - 1, counts.get(b, 0) + counts.get(b + 1, 0), numerator, denominator, rare) for b in range(len(self.limits) - 1)]
 
 
 def keys_of(h: np.ndarray, first: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
@@ -167,6 +181,9 @@ def keys_of(h: np.ndarray, first: np.ndarray, plan: Plan) -> tuple[np.ndarray, n
     size = np.diff(first)
     band = np.searchsorted(np.array(plan.limits), size, "right") - 1
     owner = np.repeat(np.arange(len(size)), size)
+    rare = np.ones(len(h), bool)
+    if len(plan.common):
+        rare = plan.common[np.minimum(np.searchsorted(plan.common, h), len(plan.common) - 1)] != h
     keys, sets = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
     for lower in (0, 1):  # the band's own index, and the one below, where a larger partner is looked for
         of = band - lower
@@ -181,28 +198,30 @@ def keys_of(h: np.ndarray, first: np.ndarray, plan: Plan) -> tuple[np.ndarray, n
             value = mix(element + salt)
             place = local * m + segment
             order = np.argsort(place, kind="stable")
-            place, value = place[order], value[order]
+            place, value, own = place[order], value[order], rare[pick][order]
             head = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
             full = place[head]
             total = np.add.reduceat(value, head)
             count = np.diff(np.append(head, len(place)))
             tag = lambda p: mix((p % m).astype(U64) * U64(0x9E3779B97F4A7C15) + salt)  # noqa: E731, B023
-            # an agreeing segment that is not light in one set has keys of `least` elements or more in both
-            present = np.zeros(len(mine) * m, np.int64)
-            present[full] = count
-            present = present.reshape(len(mine), m)
-            light = (present[:, :zeros] < plan.least).sum(1) + 2 * (present[:, zeros:] <= plan.least).sum(1)
-            over = light > reserve
-            emit = (count >= plan.least) | over[full // m]
+            count_rare = np.add.reduceat(own.astype(np.int64), head)
+            # an agreeing segment that is not light in one set has keys of `least` rare elements or more in both
+            present, present_rare = np.zeros((2, len(mine) * m), np.int64)
+            present[full], present_rare[full] = count, count_rare
+            present, present_rare = present.reshape(len(mine), m), present_rare.reshape(len(mine), m)
+            lightness = lambda x: (x[:, :zeros] < plan.least).sum(1) + 2 * (x[:, zeros:] <= plan.least).sum(1)  # noqa: E731, B023
+            over = lightness(present_rare) > reserve  # all that is not empty is indexed: the set meets every partner of either kind there,
+            bare = lightness(present) > reserve  # unless both leave out too much even so: then what is empty is indexed as well
+            emit = (count_rare >= plan.least) | over[full // m]
             keys.append(mix(total[emit] ^ tag(full[emit])))
             sets.append(mine[full[emit] // m])
             if ones:  # segments from `zeros` on may differ in one element
-                may = (place % m >= zeros) & ((np.repeat(count, count) > plan.least) | over[place // m])
+                may = (place % m >= zeros) & ((np.repeat(count_rare, count) > plan.least) | over[place // m])
                 gone = np.repeat(total, count)[may] - value[may]
                 keys.append(mix(gone ^ tag(place[may])))
                 sets.append(mine[place[may] // m])
-            if over.any():
-                i, s = np.nonzero((present == 0) & over[:, None])
+            if bare.any():
+                i, s = np.nonzero((present == 0) & bare[:, None])
                 keys.append(mix(tag(s)))
                 sets.append(mine[i])
     return np.concatenate(keys), np.concatenate(sets)
@@ -242,20 +261,38 @@ def _stars(key: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return key[head], member[head], member[other], least[other]
 
 
+def _distinct(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Elements, starts and ids of the sets that are not empty, equal ones once."""
+    sid = set_ids(h, first)
+    _, one = np.unique(sid, return_index=True)
+    one = one[np.diff(first)[one] > 0]
+    pick = np.concatenate([np.zeros(0, U64), *[h[first[i] : first[i + 1]] for i in one]])
+    return pick, np.append(0, np.cumsum(np.diff(first)[one])), sid[one]
+
+
+def common(docs: DataFrame, n: int) -> np.ndarray:
+    """The elements that the most sets hold, by counts over all texts of those held by OFTEN sets or more of a group of texts."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(rows):
+            element, held = np.unique(_distinct(*shingle_sets(batch.column("text"), n))[0], return_counts=True)
+            often = held >= OFTEN
+            yield pa.RecordBatch.from_arrays([pa.array(element[often].view(np.int64)), pa.array(held[often])], names=["element", "held"])
+
+    counted = docs.select("text").mapInArrow(run, "element long, held long").groupBy("element").agg(F.sum("held").alias("held"))
+    top = counted.orderBy(F.desc("held"), "element").limit(COMMON).select("element").toArrow()
+    return top.column("element").to_numpy().view(U64)
+
+
 _KEYS = "bucket int, kind int, key binary, member binary"
 
 
 def _keyed(rows: Iterator[pa.RecordBatch], n: int, plan: Plan, buckets: int) -> Iterator[pa.RecordBatch]:
     """Packed keys by bucket (kind 0: key, smallest set here) and the stars inside this group of texts (kind 1: edges)."""
     for batch in batches(rows):
-        h, first = shingle_sets(batch.column("text"), n)
-        sid = set_ids(h, first)
-        _, one = np.unique(sid, return_index=True)  # equal sets once
-        one = one[np.diff(first)[one] > 0]
-        if not len(one):
-            continue
-        pick = np.concatenate([h[first[i] : first[i + 1]] for i in one])
-        yield from _packed_keys(pick, np.append(0, np.cumsum(np.diff(first)[one])), sid[one], plan, buckets)
+        h, first, sid = _distinct(*shingle_sets(batch.column("text"), n))
+        if len(sid):
+            yield from _packed_keys(h, first, sid, plan, buckets)
 
 
 def _packed_keys(h: np.ndarray, first: np.ndarray, sid: np.ndarray, plan: Plan, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -368,7 +405,7 @@ def links(docs: DataFrame, sets: DataFrame, n: int, numerator: int, denominator:
     stats = sets.where("n_shingles > 0").groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.max("n_shingles").alias("most")).collect()  # a row for each band
     if not stats:
         return docs.sparkSession.createDataFrame([], "node long, root long")
-    plan = Plan({r["band"]: r["n"] for r in stats}, max(r["most"] for r in stats), numerator, denominator)
+    plan = Plan({r["band"]: r["n"] for r in stats}, max(r["most"] for r in stats), numerator, denominator, common=common(docs, n))
     buckets = parts(docs, 8 << 20)
     keyed = docs.select("text").mapInArrow(lambda rows: _keyed(rows, n, plan, buckets), _KEYS)
     clusters = stored(components(keyed.repartitionById(min(buckets, 1 << 14), F.col("bucket")).groupBy("bucket").applyInArrow(_edges, "a long, b long")), "clusters")
